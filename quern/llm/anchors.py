@@ -34,7 +34,7 @@ class Powers:
 
     def upto(self, n: int) -> "Powers":
         if n > self.n:
-            self.n = max(n, 1 << 20)
+            self.n = max(n, 1 << 19)
             self.up = [_powers(b, self.n) for b in _BASES]
             self.down = [_powers(pow(b, -1, 1 << 64), self.n) for b in _BASES]
         return self

@@ -38,14 +38,15 @@ from .suffix_sort import common_prefix, deep_shallow_sort
 
 GRAM = 32
 #: Contexts of one gram that are sorted together.
-LARGE = 64
+LARGE = 256
 #: Bytes of text hashed at a time, and anchors held before they are sent.
-CHUNK, HELD = 1 << 20, 1 << 19
+CHUNK, HELD = 1 << 18, 1 << 19
 
 _DOC = np.dtype([("id", "<i8"), ("th", "<i8")])
-_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i4"), ("at", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
+_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i4"), ("lo", "<i4"), ("off", "<u2"), ("run", "<u2")])
 _SPAN = np.dtype([("id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("end", "<i4")])
 _OPEN = np.dtype([("h", "<u8"), ("at", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("large", "<i4")])
+_WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("id", "<i8"), ("th", "<i8"), ("at", "<i4")])
 _RANGE = np.dtype([("start", "<i4"), ("end", "<i4")])
 
 SCANNED = "bucket int, docs binary, rows binary, spans binary"
@@ -66,18 +67,18 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of gram, context, document and place; which begin a gram; which are (a copy of) a context's first."""
-    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["c"], rows["h"]))]
+    rows = rows[np.lexsort((rows["lo"], rows["doc"], rows["c"], rows["h"]))]
     gram = np.r_[True, rows["h"][1:] != rows["h"][:-1]]
     context = gram | np.r_[True, rows["c"][1:] != rows["c"][:-1]]
     of = np.flatnonzero(context)[np.cumsum(context) - 1]
-    return rows, gram, (rows["doc"] == rows["doc"][of]) & (rows["at"] == rows["at"][of])
+    return rows, gram, (rows["doc"] == rows["doc"][of]) & (rows["lo"] == rows["lo"][of])
 
 
 def _spans(rows: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
     rows = rows[np.lexsort((rows["lo"], rows["doc"]))]
     out = np.empty(len(rows), _SPAN)
     out["id"], out["th"] = docs["id"][rows["doc"]], docs["th"][rows["doc"]]
-    out["start"], out["end"] = rows["lo"], rows["hi"] + width
+    out["start"], out["end"] = rows["lo"], rows["lo"] + rows["run"] + width
     return _merged(out)
 
 
@@ -122,8 +123,7 @@ def scan(width: int, gram: int, buckets: int):
             rows = np.empty(len(h), _ROW)
             rows["h"] = h
             rows["c"] = mixed(hashes.of(1, lo, hi + width) ^ ((at - lo) * 1024 + hi - lo).astype(np.uint64))
-            rows["doc"], base = text + len(docs), bounds[text]
-            rows["at"], rows["lo"], rows["hi"] = at - base, lo - base, hi - base
+            rows["doc"], rows["lo"], rows["off"], rows["run"] = text + len(docs), lo - bounds[text], at - lo, hi - lo
             docs.extend(keys)
             parts.append(rows)
             held += len(rows)
@@ -156,7 +156,7 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def settle(width: int):
+def settle(width: int, large: int):
     def run(got: pa.Table) -> pa.Table:
         docs = [np.frombuffer(x, _DOC) for x in got["docs"].to_pylist()]
         parts = [np.frombuffer(x, _ROW) for x in got["rows"].to_pylist()]
@@ -172,9 +172,9 @@ def settle(width: int):
         contexts = np.bincount(which, weights=new)[which] if len(rows) else np.empty(0)
         more = first & new & (contexts > 1)
         left = np.empty(more.sum(), _OPEN)
-        for name in ("h", "at", "lo", "hi"):
-            left[name] = rows[name][more]
-        left["large"] = contexts[more] > LARGE
+        left["h"], left["lo"] = rows["h"][more], rows["lo"][more]
+        left["at"], left["hi"] = left["lo"] + rows["off"][more], left["lo"] + rows["run"][more]
+        left["large"] = contexts[more] > large
         found: dict[tuple[int, int], list] = {}
         for k, x in (("spans", np.concatenate(spans)), ("open", None)):
             if k == "spans":
@@ -191,10 +191,33 @@ def settle(width: int):
 
 
 def contexts(width: int):
-    """The open contexts of each text; for grams with many, the hashes of their windows."""
+    """The open contexts of each text.  For grams with many, the hashes of their windows, each task's first of equal ones; the others are settled."""
     schema = _schema(CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows["at"], rows["th"], rows["id"], rows["w2"], rows["w1"]))]
+            new = np.r_[True, (rows["w1"][1:] != rows["w1"][:-1]) | (rows["w2"][1:] != rows["w2"][:-1])]
+            of = np.flatnonzero(new)[np.cumsum(new) - 1]
+            again = (rows["at"] != rows["at"][of]) | (rows["id"] != rows["id"][of]) | (rows["th"] != rows["th"][of])
+            first, late = rows[new], rows[again]
+            n = len(first)
+            yield pa.record_batch([pa.array([True] * n), first["w1"], first["w2"], first["id"], first["th"], first["at"], first["at"], first["at"], pa.nulls(n, pa.binary())], schema=schema)
+            late = late[np.lexsort((late["at"], late["th"], late["id"]))]
+            spans = np.empty(len(late), _SPAN)
+            spans["id"], spans["th"], spans["start"], spans["end"] = late["id"], late["th"], late["at"], late["at"] + width
+            spans = _merged(spans)
+            keys, own = np.unique(spans[["id", "th"]], return_inverse=True)
+            cut_ = [spans[["start", "end"]][at].astype(_RANGE).tobytes() for _, at in _groups(own, len(keys))]
+            n, zero = len(keys), np.zeros(len(keys), "<i4")
+            yield pa.record_batch([pa.nulls(n, pa.bool_()), zero.astype("<i8"), zero.astype("<i8"), keys["id"].copy(), keys["th"].copy(), zero, zero, zero, pa.array(cut_, pa.binary())], schema=schema)
+
         for batch in batches:
             for i, th, text, opened in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
                 data = (text or "").encode()
@@ -202,13 +225,20 @@ def contexts(width: int):
                 small, large = rows[rows["large"] == 0], rows[rows["large"] == 1]
                 n = len(small)
                 if n:
-                    cut = [data[a : b + width] for a, b in zip(small["lo"].tolist(), small["hi"].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array([False] * n), small["h"].view("<i8"), np.zeros(n, "<i8"), np.full(n, i), np.full(n, th), small["at"], small["lo"], small["hi"], pa.array(cut, pa.binary())], schema=schema)
+                    parts = [data[a : b + width] for a, b in zip(small["lo"].tolist(), small["hi"].tolist(), strict=True)]
+                    yield pa.record_batch([pa.array([False] * n), small["h"].view("<i8"), np.zeros(n, "<i8"), np.full(n, i), np.full(n, th), small["at"], small["lo"], small["hi"], pa.array(parts, pa.binary())], schema=schema)
                 if len(large):
                     start = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(large["lo"].tolist(), large["hi"].tolist(), strict=True)]))
                     hashes = Hashes(np.frombuffer(data, np.uint8))
-                    n, place = len(start), start.astype(np.int32)
-                    yield pa.record_batch([pa.array([True] * n), hashes.of(0, start, start + width).view("<i8"), hashes.of(1, start, start + width).view("<i8"), np.full(n, i), np.full(n, th), place, place, place, pa.nulls(n, pa.binary())], schema=schema)
+                    got = np.empty(len(start), _WINDOW)
+                    got["w1"], got["w2"] = hashes.of(0, start, start + width).view("<i8"), hashes.of(1, start, start + width).view("<i8")
+                    got["id"], got["th"], got["at"] = i, th, start
+                    held.append(got)
+                    size += len(got)
+                    if size >= HELD:
+                        yield from flush()
+                        held, size = [], 0
+        yield from flush()
 
     return run
 
@@ -264,7 +294,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     n = partitions(spark)
     keyed = docs.select(id_key(doc_id).alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
     scanned = keyed.where(F.octet_length("text") >= width).mapInArrow(scan(width, GRAM, n), SCANNED)
-    settled = scanned.groupBy("bucket").applyInArrow(settle(width), SETTLED)
+    settled = scanned.groupBy("bucket").applyInArrow(settle(width, LARGE), SETTLED)
     settled = settled.groupBy("id", "th").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open"))
     settled = table(settled, "settled")
     release(spark)
@@ -279,7 +309,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     first = windows.groupBy("g1", "g2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["g1", "g2"]).where("place > first").select("place.*")
     later = later.groupBy("id", "th").agg(F.sort_array(F.collect_list("at")).alias("at")).mapInArrow(_ranges(width, schema), "id long, th long, spans binary")
-    more = by_sort.unionByName(later).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
+    at_once = opened.where(F.col("large").isNull()).select("id", "th", F.col("context").alias("spans"))
+    more = by_sort.unionByName(later).unionByName(at_once).groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
     found = settled.where(F.size("spans") > 0).select("id", "th", "spans").unionByName(more)
     return found.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

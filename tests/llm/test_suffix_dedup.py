@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 
+from quern.llm import suffix_dedup
 from quern.llm.suffix_dedup import digests, remove_repeats
 from quern.llm.suffix_sort import deep_shallow_sort
 
@@ -53,8 +54,9 @@ def test_sort():
         assert shared == [0, *(len(os.path.commonprefix([a, b])) for a, b in zip(got, got[1:]))]
 
 
-def test_against_brute_force(spark):
-    for seed in (1, 2):
+def test_against_brute_force(spark, monkeypatch):
+    for seed, large in ((1, 256), (2, 5)):
+        monkeypatch.setattr(suffix_dedup, "LARGE", large)
         rows = corpus(seed)
         got = digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
         assert sorted(tuple(r)[1:] for r in got.collect()) == brute(rows)
