@@ -38,7 +38,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(default_pattern()).findall
         self.special = self.tokenizer.token_to_id(SPECIAL)
         self.known: dict[str, bytes] = {}
 
@@ -62,8 +61,61 @@ class Words:
         for k, part in enumerate(text.split(SPECIAL) if self.special is not None else (text,)):
             if k:
                 out.append(int(self.special).to_bytes(4, "little"))
-            pieces = self.pieces(part)
+            pieces = cut(part)
             if not self.known.keys() >= (distinct := set(pieces)):
                 self.learn(distinct)
             out += map(self.known.__getitem__, pieces)
         return b"".join(out)
+
+
+class Classes:
+    """Letters, numbers and white space as the libraries' Unicode version has them.
+
+    ``regex`` and ``unicodedata`` bracket that version: where they agree, so do
+    the libraries; on the few thousand other code points the library is asked.
+    """
+
+    _known: "Classes | None" = None
+
+    def __init__(self) -> None:
+        import unicodedata
+
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        points = np.frombuffer(every.encode("utf-32-le"), "<u4")
+        self.kind = np.full(0x110000, 3, np.uint8)  # 0 letter, 1 number, 2 space, 3 other
+        for k, pattern in enumerate((r"\p{L}", r"\p{N}", r"\s")):
+            self.kind[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = k
+        major = np.full(0x110000, 3, np.uint8)
+        major[points] = ["LN".find(unicodedata.category(c)[0]) % 4 for c in every]
+        major[self.kind == 2] = 2
+        self.odd = np.flatnonzero(major != self.kind)
+        for c in self.odd.tolist():
+            x = chr(c)
+            self.kind[c] = next((k for k, lead in ((0, "a"), (1, "1"), (3, "!")) if len(cut(lead + x)) == 1), 2)
+        self.search = regex.compile("[" + "".join(regex.escape(chr(c)) for c in self.odd.tolist()) + "]").search
+        self.cut = cut
+
+    @classmethod
+    def get(cls) -> "Classes":
+        if cls._known is None:
+            cls._known = cls()
+        return cls._known
+
+
+_LATE = regex.compile("[Ԁ-\U0010ffff]").search
+_FIND = None
+
+
+def cut(text: str) -> list[str]:
+    """The pieces of ``text`` that the pre-tokenizer's pattern matches."""
+    global _FIND
+    if _FIND is None:
+        _FIND = regex.compile(default_pattern()).findall
+    if not text.isascii() and _LATE(text):
+        classes = Classes.get()
+        if classes.search(text):
+            return [text[a:b] for _, (a, b) in classes.cut(text)]
+    return _FIND(text)
