@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import sliced, strings, table
 from .vocabulary import Words, default_path
 
 SIZE, END = 1024, 2
@@ -119,10 +119,10 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, size: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seen = Words.of(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64).tolist()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
-            for i, x in zip(batch.column(0).to_pylist(), strings(batch, "text"), strict=True):
-                ids = words.ids(x) + last
+            for i, ids in zip(batch.column(0).to_pylist(), words.ids(strings(batch, "text")), strict=True):
+                ids += last
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:

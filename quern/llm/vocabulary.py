@@ -8,7 +8,7 @@ import numpy as np
 import regex
 
 #: Words remembered by a Python worker; beyond that the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -55,17 +55,15 @@ class Words:
         got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in got), strict=True))
 
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers; the special token's string is that token."""
-        out = []
-        for k, part in enumerate(text.split(SPECIAL) if self.special is not None else (text,)):
-            if k:
-                out.append(int(self.special).to_bytes(4, "little"))
-            pieces = cut(part)
-            if not self.known.keys() >= (distinct := set(pieces)):
-                self.learn(distinct)
-            out += map(self.known.__getitem__, pieces)
-        return b"".join(out)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers; the special token's string is that token."""
+        special = b"" if self.special is None else int(self.special).to_bytes(4, "little")
+        parts = [[cut(x) for x in (text.split(SPECIAL) if special else (text,))] for text in texts]
+        distinct = set().union(*(x for part in parts for x in part))
+        if not self.known.keys() >= distinct:
+            self.learn(distinct)
+        known = self.known.__getitem__
+        return [special.join([b"".join(map(known, x)) for x in part]) for part in parts]
 
 
 class Classes:
