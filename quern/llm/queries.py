@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_rules, simhash, suffix_dedup, token_counts
+from . import byte_bpe, chat_format, line_templates, packing, quality_rules, simhash, suffix_dedup, token_counts, vector_approximation, warc
 from .common import documents
 
 
@@ -14,10 +15,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scores(documents(spark, sf_dir))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(documents(spark, sf_dir, "pages"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repaired(documents(spark, sf_dir, "conversations"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digests(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -26,6 +39,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_approximation.top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,7 +53,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op4_token_counts, op6_best_fit_packing, op7_suffix_dedup, op9_simhash, op10_byte_bpe)
+    for f in (
+        op1_quality_rules, op2_warc, op3_chat_format, op4_token_counts, op5_line_templates,
+        op6_best_fit_packing, op7_suffix_dedup, op8_top_k, op9_simhash, op10_byte_bpe,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL over the whole tables, where it is fast enough there.
+ORACLES: dict[str, str] = {
+    "op8_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.w::DOUBLE[], c.w::DOUBLE[]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
