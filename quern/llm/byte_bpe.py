@@ -3,9 +3,9 @@
 A task gathers the distinct pieces that its texts have and that it doesn't know
 yet.  In the recursive query a row is a token of a word with its place; each step
 joins neighbours with the merge table and contracts each word's leftmost pair of
-least rank; a word without such a pair takes no further step.  An ordered
-aggregation over the last step's rows gives the ids, another one over the same
-rows joined with the vocabulary gives the bytes that they decode to.
+least rank; a word without such a pair takes no further step.  Ordered
+aggregations over each word's last step, joined with the vocabulary, give the ids
+and the bytes that they decode to.
 
 The recursive query's work grows with the square of a word's length, so words of
 over ``LONG`` bytes are contracted in the same order with a heap instead.
@@ -26,35 +26,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, strings
-from .vocabulary import REMEMBERED, cut, default_path
+from .token_counts import read
+from .vocabulary import Memory, default_path
 
 LONG = 256
+#: Words remembered by a Python worker.
+REMEMBERED = 350_000
 #: Words of one recursive query.
 WORDS = 20_000
 
+#: A token's place is 1024 * word + its first byte; it ends where its right neighbour begins.
 CONTRACT = """
-CREATE OR REPLACE TEMP TABLE final AS
-WITH RECURSIVE work(word, step, pos, tok, nxt) AS (
-  SELECT word, 0, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) FROM start
+WITH RECURSIVE work(step, pos, fin, tok) AS (
+  SELECT 0, pos, fin, tok FROM begin_rows
   UNION ALL (
   WITH paired AS (
-    SELECT w.*, m.rank FROM work w LEFT JOIN merges m ON m.l = w.tok AND m.r = w.nxt
-  ), best AS (
-    SELECT word, min(rank::BIGINT * 1024 + pos) AS least FROM paired WHERE rank IS NOT NULL GROUP BY word
+    SELECT a.pos >> 10 AS word, a.pos, a.fin, b.fin AS fin2, m.rank
+    FROM work a JOIN work b ON b.pos = a.fin JOIN merges m ON m.l = a.tok AND m.r = b.tok
+  ), least AS (
+    SELECT word, min(rank::BIGINT * 1024 + (pos & 1023)) AS least FROM paired GROUP BY word
+  ), chosen AS (
+    SELECT p.* FROM paired p JOIN least l ON l.word = p.word AND l.least = p.rank::BIGINT * 1024 + (p.pos & 1023)
   )
-  SELECT word, step + 1, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos)
-  FROM (
-    SELECT p.word, p.step, p.pos, least & 1023 AS spot,
-           CASE WHEN p.pos = (least & 1023) THEN (least >> 10)::INT ELSE p.tok END AS tok,
-           lag(p.pos) OVER (PARTITION BY p.word ORDER BY p.pos) AS before
-    FROM paired p JOIN best USING (word)
-  )
-  WHERE before IS DISTINCT FROM spot)
+  SELECT w.step + 1, w.pos, CASE WHEN w.pos = c.pos THEN c.fin2 ELSE w.fin END, CASE WHEN w.pos = c.pos THEN c.rank ELSE w.tok END
+  FROM work w JOIN chosen c ON c.word = w.pos >> 10
+  WHERE w.pos <> c.fin)
+), last AS (
+  SELECT pos >> 10 AS word, max(step) AS step FROM work GROUP BY 1
 )
-SELECT word, pos, tok FROM work WHERE (word, step) IN (SELECT (word, max(step)) FROM work GROUP BY word)
+SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded
+FROM work w JOIN last l ON l.word = w.pos >> 10 AND l.step = w.step JOIN vocabulary USING (tok)
+GROUP BY word ORDER BY word
 """
-ENCODED = "SELECT array_to_string(list(tok ORDER BY pos), ' ') AS ids FROM final GROUP BY word ORDER BY word"
-DECODED = "SELECT list(bytes ORDER BY pos) AS parts FROM final JOIN vocabulary USING (tok) GROUP BY word ORDER BY word"
 
 
 class Encoder:
@@ -70,10 +73,11 @@ class Encoder:
         pairs = sorted((ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        self._table("merges", dict(zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True)))
-        self._table("vocabulary", {"tok": list(self.bytes_of), "bytes": list(self.bytes_of.values())})
-        self.ids_of: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        for name, columns in (("merges", dict(zip(("l", "r", "rank"), zip(*pairs, strict=True), strict=True))), ("vocabulary", {"tok": list(self.bytes_of), "hex": [t.hex() for t in self.bytes_of.values()]})):
+            self.db.register("given", pa.table({k: pa.array(v, pa.string() if k == "hex" else pa.int32()) for k, v in columns.items()}))
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+            self.db.unregister("given")
+        self.known = Memory(REMEMBERED)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -81,26 +85,22 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _table(self, name: str, columns: dict) -> None:
-        self.db.register("given", pa.table({k: pa.array(v, pa.binary() if k == "bytes" else pa.int32()) for k, v in columns.items()}))
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
-        self.db.unregister("given")
-
     def contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
         """The ids, in decimal, and the decoded bytes of each word."""
-        whole = [self.ranks.get(w) for w in words]
-        size = np.array([len(w) if r is None else 1 for w, r in zip(words, whole, strict=True)], np.int64)
-        first = np.cumsum(size) - size
-        token = np.empty(size.sum(), np.int32)
-        split = np.repeat(np.array([r is None for r in whole]), size)
-        token[split] = self.single[np.frombuffer(b"".join(w for w, r in zip(words, whole, strict=True) if r is None), np.uint8)]
-        token[~split] = [r for r in whole if r is not None]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-        self._table("start", {"word": word, "pos": (np.arange(len(token)) - first[word]).astype(np.int32), "tok": token})
-        self.db.execute(CONTRACT)
-        ids = self.db.sql(ENCODED).to_arrow_table()["ids"].to_pylist()
-        parts = self.db.sql(DECODED).to_arrow_table()["parts"].to_pylist()
-        return [(i.encode(), b"".join(p)) for i, p in zip(ids, parts, strict=True)]
+        whole = [self.ranks.get(w, -1) for w in words]
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        known = np.array(whole) >= 0
+        rows = np.where(known, 1, length)
+        word = np.repeat(np.arange(len(words)), rows)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(rows) - rows, rows)
+        one = known[word]
+        token = np.array(whole, np.int32)[word]
+        token[~one] = self.single[np.frombuffer(b"".join(w for w, r in zip(words, whole, strict=True) if r < 0), np.uint8)]
+        pos = 1024 * word + at
+        self.db.register("begin_rows", pa.table({"pos": pos, "fin": pos + np.where(one, length[word], 1), "tok": token}))
+        found = self.db.sql(CONTRACT).to_arrow_table()
+        self.db.unregister("begin_rows")
+        return [(i.encode(), d) for i, d in zip(found["ids"].to_pylist(), found["decoded"].to_pylist(), strict=True)]
 
     def contract_long(self, word: bytes) -> tuple[bytes, bytes]:
         ranks, n = self.ranks, len(word)
@@ -129,17 +129,14 @@ class Encoder:
         return " ".join(map(str, ids)).encode(), b"".join(self.bytes_of[i] for i in ids)
 
     def learn(self, pieces: set[str]) -> None:
-        new = sorted(pieces.difference(self.ids_of))
-        if len(self.ids_of) + len(new) > REMEMBERED:
-            self.ids_of, self.decoded, new = {}, {}, sorted(pieces)
+        new = self.known.unknown(pieces)
         short = [w for w in new if len(w) <= LONG // 4]
         for i in range(0, len(short), WORDS):
             part = short[i : i + WORDS]
-            for w, (ids, decoded) in zip(part, self.contract([x.encode() for x in part]), strict=True):
-                self.ids_of[w], self.decoded[w] = ids, decoded
+            self.known.update(zip(part, self.contract([x.encode() for x in part]), strict=True))
         for w in new:
             if len(w) > LONG // 4:
-                self.ids_of[w], self.decoded[w] = self.contract_long(w.encode())
+                self.known[w] = self.contract_long(w.encode())
 
 
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
@@ -150,13 +147,16 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in sliced(batches, "text", 4 << 20):
-            texts = [cut(x) for x in strings(batch, "text")]
-            encoder.learn(set().union(*texts))
-            rows = []
-            for pieces in texts:
-                ids = b" ".join(map(encoder.ids_of.__getitem__, pieces))
-                decoded = b"".join(map(encoder.decoded.__getitem__, pieces))
+        for batch in sliced(batches, "text"):
+            state, pieces, ends = read(strings(batch, "text"))
+            words = [x.decode() for x in pieces]
+            encoder.learn(set(words))
+            ids_of, bytes_of = zip(*(encoder.known[w] for w in words), strict=True) if words else ((), ())
+            rows, begin = [], 0
+            for end in ends.tolist():
+                own, begin = state[begin:end].tolist(), end
+                ids = b" ".join(map(ids_of.__getitem__, own))
+                decoded = b"".join(map(bytes_of.__getitem__, own))
                 rows.append((ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pa.record_batch([batch.column("doc_id"), *(list(c) for c in zip(*rows, strict=True))], schema=schema)
 

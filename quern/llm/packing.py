@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sliced, strings, table
-from .vocabulary import Words, default_path
+from .token_counts import ids as ids_of
+from .vocabulary import default_path
 
 SIZE, END = 1024, 2
 #: Pieces planned at a time; bounds the plan that tasks get: 8 bytes a piece.
@@ -118,10 +119,10 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, size: int =
     last = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = Words.of(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64).tolist()
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64).tolist()
         for batch in sliced(batches, "text"):
             rows = []
-            for i, ids in zip(batch.column(0).to_pylist(), words.ids(strings(batch, "text")), strict=True):
+            for i, ids in zip(batch.column(0).to_pylist(), ids_of(strings(batch, "text"), tokenizer), strict=True):
                 ids += last
                 n = len(ids) // 4
                 at, k = 0, 0

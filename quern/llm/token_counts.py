@@ -18,7 +18,9 @@ as the library takes it by default.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, strings
-from .vocabulary import REMEMBERED, SPECIAL, Classes, Words, default_path
+from .vocabulary import REMEMBERED, SPECIAL, Classes, Memory, default_path
 
 # classes
 SPACE, OTHER_SPACE, LETTER, NUMBER, OTHER, APOSTROPHE, STMD, R, V, L_, E_, END = range(12)
@@ -38,6 +40,8 @@ NONE, ONE_SPACE, ONE_OTHER, RUN_SPACE, RUN_OTHER, LETTERS, NUMBERS, OTHERS, QUOT
 HERE, BEFORE = 1, 2
 WORDS = (LETTER, STMD, R, V, L_, E_)
 LONG = 256
+#: Bytes that stand for the special token; no text has them.
+MARK = b"\xed\xa0\x81"
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -155,60 +159,82 @@ def end_states(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple
     return number, example
 
 
-class Counter:
-    """Annotations: tokens emitted on the way to a state, by the bytes that lead there."""
+def read(texts: list[str], special: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The end state of each piece of ``texts``, in order; the bytes that lead to each state; how many pieces there are up to each text's end.
 
-    _open: dict[str, "Counter"] = {}
+    ``special``: the special token's string is a piece of its own, ``MARK``.
+    """
+    joined = "".join([f"{x.replace(SPECIAL, chr(0xD801)) if special and SPECIAL in x else x}\ud800" for x in texts])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass") + bytes(8), np.uint8)
+    classes = class_table()[points]
+    starts = piece_starts(classes) if len(points) else np.empty(0, bool)
+    if special:
+        starts |= points == 0xD801
+    edges = np.flatnonzero(starts | (classes == END))
+    place = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64))][edges]
+    which = np.flatnonzero(starts[edges])
+    start, length = place[which], place[np.minimum(which + 1, len(place) - 1)] - place[which]
+    state, example = end_states(data, start, length)
+    raw = data.tobytes()
+    pieces = [raw[a : a + n] for a, n in zip(start[example].tolist(), length[example].tolist(), strict=True)]
+    return state, pieces, np.searchsorted(edges[which], np.flatnonzero(points == 0xD800))
+
+
+class Annotations:
+    """What is emitted on the way to a state: its tokens' ids, little-endian unsigned 32-bit numbers."""
+
+    _open: dict[str, "Annotations"] = {}
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Words.of(path).tokenizer
-        self.known: dict[bytes, int] = {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        special = self.tokenizer.token_to_id(SPECIAL)
+        self.special = None if special is None else int(special).to_bytes(4, "little")
+        self.known = Memory(REMEMBERED)
 
     @classmethod
-    def of(cls, path: str) -> "Counter":
+    def of(cls, path: str) -> "Annotations":
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def counts(self, pieces: list[bytes]) -> np.ndarray:
-        new = [x for x in pieces if x not in self.known]
-        known = self.known
-        if len(known) + len(new) > REMEMBERED:
-            kept = {x: known[x] for x in pieces if x in known}
-            known = self.known = kept if len(pieces) <= REMEMBERED else {}
-            new = [x for x in pieces if x not in known]
-        got = {}
+    def of_states(self, pieces: list[bytes]) -> list[bytes]:
+        distinct = set(pieces)
+        distinct.discard(MARK)
+        new = self.known.unknown(distinct)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
-            got.update(zip(part, (len(x) for x in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)), strict=True))
-        out = np.array([known[x] if x in known else got[x] for x in pieces], np.int64)
-        if len(known) + len(got) <= REMEMBERED:
-            known.update(got)
-        return out
+            got = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            ids = [x.ids for x in got]
+            ends = np.cumsum(list(map(len, ids))) * 4
+            flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
+            self.known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+        return [self.special if x == MARK else self.known[x] for x in pieces]
 
 
 def count(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
-    if not texts:
-        return np.empty(0, np.int64)
-    special = Words.of(path).special is not None
-    joined = "".join([f"{x.replace(SPECIAL, chr(0xD801)) if special and SPECIAL in x else x}\ud800" for x in texts])
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
-    data = np.frombuffer(joined.encode("utf-8", "surrogatepass") + bytes(8), np.uint8)
-    classes = class_table()[points]
-    ends = np.flatnonzero(points == 0xD800)
-    starts = piece_starts(classes)
-    edges = np.flatnonzero(starts | (classes == END))
-    begins = starts[edges]
-    place = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64))][edges]
-    which = np.flatnonzero(begins)
-    start, length = place[which], place[np.minimum(which + 1, len(place) - 1)] - place[which]
-    state, example = end_states(data, start, length)
-    raw = data.tobytes()
-    pieces = [raw[a : a + n] for a, n in zip(start[example].tolist(), length[example].tolist(), strict=True)]
-    total = np.r_[0, np.cumsum(Counter.of(path).counts(pieces)[state])]
-    upto = total[np.searchsorted(edges[which], ends)] + np.searchsorted(np.flatnonzero(points == 0xD801), ends)
-    return np.diff(np.r_[0, upto])
+    annotations = Annotations.of(path)
+    state, pieces, ends = read(texts, annotations.special is not None)
+    emitted = np.array([len(x) // 4 for x in annotations.of_states(pieces)], np.int64)
+    return np.diff(np.r_[0, np.cumsum(emitted[state])][np.r_[0, ends]])
+
+
+def ids(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text, as little-endian unsigned 32-bit numbers."""
+    annotations = Annotations.of(path)
+    state, pieces, ends = read(texts, annotations.special is not None)
+    emitted = annotations.of_states(pieces)
+    size = np.array([len(x) // 4 for x in emitted], np.int64)
+    flat, first = np.frombuffer(b"".join(emitted), "<u4"), np.cumsum(size) - size
+    n = size[state]
+    total = np.r_[0, np.cumsum(n)]
+    out = flat[np.repeat(first[state] - total[:-1], n) + np.arange(total[-1])].tobytes()
+    cuts = (4 * total[np.r_[0, ends]]).tolist()
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, limit: int = 512) -> DataFrame:
@@ -217,7 +243,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text"):
             got = count(strings(batch, "text"), path)
             size = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             yield pa.record_batch([batch.column("doc_id"), size, got, got > limit], schema=schema)

@@ -1,9 +1,7 @@
-"""Token ids of words, through the public tokenizer libraries, with caches of bounded size."""
+"""Paths of the public vocabularies, character classes as their libraries have them, and memories of bounded size."""
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import regex
 
@@ -18,52 +16,24 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def default_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
-class Words:
-    """Pieces of text as the byte-level pre-tokenizer cuts them, and each piece's ids.
-
-    The library's merges never cross pieces, so a text's ids are its pieces' ids
-    in a row; the library is asked once for each distinct piece.
-    """
-
-    _open: dict[str, "Words"] = {}
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class Memory(dict):
+    """What is known of pieces; when full, it keeps what more than one batch had."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = self.tokenizer.token_to_id(SPECIAL)
-        self.known: dict[str, bytes] = {}
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.again = most, set()
 
-    @classmethod
-    def of(cls, path: str) -> "Words":
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(pieces)
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in got), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers; the special token's string is that token."""
-        special = b"" if self.special is None else int(self.special).to_bytes(4, "little")
-        parts = [[cut(x) for x in (text.split(SPECIAL) if special else (text,))] for text in texts]
-        distinct = set().union(*(x for part in parts for x in part))
-        if not self.known.keys() >= distinct:
-            self.learn(distinct)
-        known = self.known.__getitem__
-        return [special.join([b"".join(map(known, x)) for x in part]) for part in parts]
+    def unknown(self, pieces: set) -> list:
+        """Those of a batch's ``pieces`` to find out and put in, in order, after room is made."""
+        known = pieces & self.keys()
+        self.again |= known
+        new = pieces - known
+        if len(self) + len(new) > self.most:
+            kept = {x: self[x] for x in self.again} if len(self.again) < self.most // 2 else {x: self[x] for x in known}
+            self.clear()
+            self.update(kept)
+            self.again = set()
+        return sorted(new)
 
 
 class Classes:
@@ -89,31 +59,12 @@ class Classes:
         major = np.full(0x110000, 3, np.uint8)
         major[points] = ["LN".find(unicodedata.category(c)[0]) % 4 for c in every]
         major[self.kind == 2] = 2
-        self.odd = np.flatnonzero(major != self.kind)
-        for c in self.odd.tolist():
+        for c in np.flatnonzero(major != self.kind).tolist():
             x = chr(c)
             self.kind[c] = next((k for k, lead in ((0, "a"), (1, "1"), (3, "!")) if len(cut(lead + x)) == 1), 2)
-        self.search = regex.compile("[" + "".join(regex.escape(chr(c)) for c in self.odd.tolist()) + "]").search
-        self.cut = cut
 
     @classmethod
     def get(cls) -> "Classes":
         if cls._known is None:
             cls._known = cls()
         return cls._known
-
-
-_LATE = regex.compile("[Ԁ-\U0010ffff]").search
-_FIND = None
-
-
-def cut(text: str) -> list[str]:
-    """The pieces of ``text`` that the pre-tokenizer's pattern matches."""
-    global _FIND
-    if _FIND is None:
-        _FIND = regex.compile(default_pattern()).findall
-    if not text.isascii() and _LATE(text):
-        classes = Classes.get()
-        if classes.search(text):
-            return [text[a:b] for _, (a, b) in classes.cut(text)]
-    return _FIND(text)

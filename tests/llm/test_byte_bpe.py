@@ -4,7 +4,9 @@ import hashlib
 import tiktoken
 
 from quern.llm import byte_bpe
-from quern.llm.vocabulary import default_path, default_pattern
+from public_tokenizers import PATTERN
+
+from quern.llm.vocabulary import default_path
 
 from .test_token_counts import texts
 
@@ -12,7 +14,7 @@ from .test_token_counts import texts
 def encoding():
     with open(default_path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=default_pattern(), mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_round_trip(spark):
