@@ -117,7 +117,7 @@ def piece_starts(classes: np.ndarray, lanes: int = 4096) -> np.ndarray:
     lanes = -(-n // width)
     padded = np.full(lanes * width, END, np.uint8)
     padded[:n] = classes
-    columns = np.ascontiguousarray(padded.reshape(lanes, width).T).astype(np.intp)
+    columns = np.ascontiguousarray(padded.reshape(lanes, width).T)
     scaled, emit = (GO.astype(np.intp) * 12).ravel(), EMIT.ravel()
     maps = np.tile(np.arange(12, dtype=np.intp) * 12, (lanes, 1))
     for x in columns:
@@ -172,7 +172,8 @@ def read(texts: list[str], special: bool = False) -> tuple[np.ndarray, list[byte
     if special:
         starts |= points == 0xD801
     edges = np.flatnonzero(starts | (classes == END))
-    place = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000).astype(np.int64))][edges]
+    size = (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8) + np.uint8(1)
+    place = (np.cumsum(size, dtype=np.int64) - size)[edges]
     which = np.flatnonzero(starts[edges])
     start, length = place[which], place[np.minimum(which + 1, len(place) - 1)] - place[which]
     state, example = end_states(data, start, length)
@@ -204,15 +205,15 @@ class Annotations:
     def of_states(self, pieces: list[bytes]) -> list[bytes]:
         distinct = set(pieces)
         distinct.discard(MARK)
-        new = self.known.unknown(distinct)
+        new, known = self.known.unknown(distinct), self.known
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             got = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
             ids = [x.ids for x in got]
             ends = np.cumsum(list(map(len, ids))) * 4
             flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
-            self.known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
-        return [self.special if x == MARK else self.known[x] for x in pieces]
+            known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+        return [known[x] if x != MARK else self.special for x in pieces]
 
 
 def count(texts: list[str], path: str) -> np.ndarray:

@@ -24,7 +24,7 @@ class Memory(dict):
         self.most, self.again = most, set()
 
     def unknown(self, pieces: set) -> list:
-        """Those of a batch's ``pieces`` to find out and put in, in order, after room is made."""
+        """Those of a batch's ``pieces`` to find out and put in, after room is made."""
         known = pieces & self.keys()
         self.again |= known
         new = pieces - known
@@ -33,7 +33,7 @@ class Memory(dict):
             self.clear()
             self.update(kept)
             self.again = set()
-        return sorted(new)
+        return list(new)
 
 
 class Classes:
