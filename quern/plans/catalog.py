@@ -1,4 +1,4 @@
-"""Named queries over the operators, with the SQL that checks each."""
+"""All named queries and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import adapters, classification, extraction, matching, merging, reports, scoring, state, texts  # noqa: F401
+from .registry import REGISTRY
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(REGISTRY)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: q.sql for k, q in REGISTRY.items() if q.sql}
