@@ -72,7 +72,7 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of column ``name``, a row at least."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(name)).fill_null(0).to_pylist()

@@ -171,15 +171,16 @@ def read(texts: list[str], special: bool = False) -> tuple[np.ndarray, list[byte
     starts = piece_starts(classes) if len(points) else np.empty(0, bool)
     if special:
         starts |= points == 0xD801
-    edges = np.flatnonzero(starts | (classes == END))
+    edges, ends = np.flatnonzero(starts | (classes == END)), np.flatnonzero(points == 0xD800)
     size = (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8) + np.uint8(1)
-    place = (np.cumsum(size, dtype=np.int64) - size)[edges]
+    place = np.cumsum(size, dtype=np.int64)[edges] - size[edges]
+    del points, joined
     which = np.flatnonzero(starts[edges])
     start, length = place[which], place[np.minimum(which + 1, len(place) - 1)] - place[which]
     state, example = end_states(data, start, length)
     raw = data.tobytes()
     pieces = [raw[a : a + n] for a, n in zip(start[example].tolist(), length[example].tolist(), strict=True)]
-    return state, pieces, np.searchsorted(edges[which], np.flatnonzero(points == 0xD800))
+    return state, pieces, np.searchsorted(edges[which], ends)
 
 
 class Annotations:
