@@ -81,7 +81,7 @@ def error_share_window(t):
     return R.share_of(recent, "user_id", "event_type")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS mean FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS mean FROM events")
 def running_mean(t):
     return R.running_mean(t("events"), "user_id", "value", "ts", "event_id").select("event_id", "mean")
 
