@@ -1 +1,70 @@
-"""Queries."""
+"""State machine queries over events: their types stand for the outcomes of requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import state as Z
+from ..operators.report import micros
+from .registry import query
+
+
+def events(t):
+    e = F.col("event_type")
+    status = F.when(e == "error", 429).when(e == "click", 403).when(e == "signup", 500).otherwise(200)
+    return t("events").select("user_id", F.floor(micros("ts") / 1000).alias("at"), "event_id", status.alias("status"), (status < 400).alias("ok"), (F.col("value") * 20).alias("took"), F.floor(F.col("value") / 50).cast("int").alias("item"))
+
+
+ORDER = ["at", "event_id"]
+DAY = 86_400_000
+
+
+@query()
+def circuit_breaker(t):
+    return Z.run_batch(events(t), "breaker", "user_id", ORDER, failures=3, timeout=DAY, window=7 * DAY)
+
+
+@query()
+def rate_limiter(t):
+    return Z.run_batch(events(t), "limiter", "user_id", ORDER, rate=0.001)
+
+
+@query()
+def request_pacing(t):
+    return Z.run_batch(events(t), "pacing", "user_id", ORDER, interval=DAY // 4, hold=DAY)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type, count(*) OVER w AS attempts, count(*) FILTER (event_type IN ('view', 'purchase')) OVER w AS good FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+  SELECT event_id, CAST(attempts AS INTEGER) AS attempts, round(good / attempts, 6) AS rate FROM e""")
+def error_tracker(t):
+    return Z.run_batch(events(t), "tracker", "user_id", ORDER).select("event_id", "attempts", "rate")
+
+
+@query()
+def error_tracker_blocks(t):
+    return Z.run_batch(events(t), "tracker", "user_id", ORDER)
+
+
+@query()
+def block_registry(t):
+    return Z.run_batch(events(t), "registry", "user_id", ORDER, cooldown=DAY)
+
+
+@query("SELECT event_id, CAST(n AS INTEGER) AS recent, n >= 10 OR (b >= 5 AND b / n > 0.8) AS listed FROM (SELECT event_id, count(*) FILTER (event_type IN ('error', 'click', 'signup')) OVER w AS n, count(*) FILTER (event_type = 'click') OVER w AS b FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW))")
+def blacklist_rule(t):
+    return Z.run_batch(events(t), "blacklist", "user_id", ORDER, window=7 * DAY).select("event_id", "recent", "listed")
+
+
+@query()
+def adaptive_settings(t):
+    return Z.run_batch(events(t), "adaptive", "user_id", ORDER)
+
+
+@query()
+def cache_eviction(t):
+    return Z.run_batch(events(t), "cache", "user_id", ORDER, ttl=3 * DAY, most=4)
+
+
+@query("SELECT user_id, count(*) AS requests, count(*) FILTER (event_type IN ('error', 'click', 'signup')) AS failures, round(count(*) FILTER (event_type IN ('view', 'purchase')) / count(*) * 100, 4) AS rate FROM events GROUP BY 1")
+def breaker_statistics(t):
+    return events(t).groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.count_if("ok") / F.count("*") * 100, 4).alias("rate"))
