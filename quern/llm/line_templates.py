@@ -82,7 +82,8 @@ def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame
     """id, th, lines: the numbers of the lines that go."""
     keyed = docs.select(id_key(doc_id).alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
     lines = table(keyed.where(F.octet_length("text") > 0).mapInArrow(scan, LINES), "lines")
-    leaves = lines.where(F.col("new").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    # Counts are written before they are joined, so that Spark can split a hot leaf's rows in the joins.
+    leaves = table(lines.where(F.col("new").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     live = table(lines.join(leaves, "leaf", "left_semi"), "live")
     flags = F.posexplode("fields").alias("place", "value")
     values = live.select("leaf", "new", flags).where(F.shiftright("new", 1).bitwiseAND(F.expr("shiftleft(1, place)")) != 0)
@@ -91,10 +92,10 @@ def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame
     marked = contents.select("leaf", "sig", flags).join(constant, ["leaf", "place", "value"])
     marked = marked.groupBy("leaf", "sig").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("constants"))
     whole = (F.size("fields") < 4) | (F.size("constants") < SIMILAR * F.size("fields")) | F.col("constants").isNull()
-    templates = contents.join(marked, ["leaf", "sig"], "left").select("leaf", "sig", F.when(whole, F.col("sig")).otherwise(F.xxhash64("constants")).alias("template"))
+    templates = table(contents.join(marked, ["leaf", "sig"], "left").select("leaf", "sig", F.when(whole, F.col("sig")).otherwise(F.xxhash64("constants")).alias("template")), "templates")
     used = table(live.select("id", "th", "line", "leaf", "sig").join(templates, ["leaf", "sig"]).select("id", "th", "line", "leaf", "template"), "used")
     place = F.struct("id", "th")
-    recurring = used.groupBy("leaf", "template").agg(F.count_distinct("id", "th").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs)
+    recurring = table(used.groupBy("leaf", "template").agg(F.count_distinct("id", "th").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs), "recurring")
     gone = used.join(recurring, ["leaf", "template"]).where(place != F.col("first"))
     return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
