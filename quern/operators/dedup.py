@@ -23,8 +23,8 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     Rows with equal sets are one while pairs are sought, so copies cost no more.
     """
     sets = df.select(seq, F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
-    distinct = sets.groupBy("t").agg(F.min(seq).alias("id"))
-    each = distinct.select("id", F.explode("t").alias("token"))
+    distinct = sets.groupBy("t").agg(F.min(seq).alias("_first"))
+    each = distinct.select(F.col("_first").alias("id"), F.explode("t").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
     size = F.size("r")
@@ -33,7 +33,7 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & F.col("b.n").between(F.ceil(least * F.col("a.n")), F.floor(F.col("a.n") / least))
     pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb")).dropDuplicates(["a", "b"])
     scored = pairs.withColumn("similarity", S.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
-    copies = sets.join(distinct, "t").where(F.col(seq) != F.col("id")).select(F.col("id").alias("a"), F.col(seq).alias("b"), F.lit(1.0).alias("similarity"))
+    copies = sets.join(distinct, "t").where(F.col(seq) != F.col("_first")).select(F.col("_first").alias("a"), F.col(seq).alias("b"), F.lit(1.0).alias("similarity"))
     return scored.unionByName(copies)
 
 

@@ -79,6 +79,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        if tag in ("p", "li") and any(name == tag for name, _, _ in self.open):
+            self.handle_endtag(tag)
         if tag in ("script", "style"):
             self.skip += 1
         if tag == "meta" and a.get("content"):
@@ -104,6 +106,11 @@ class _Page(HTMLParser):
                 del self.open[n:]
                 return
 
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self.handle_endtag(self.open[0][0])
+
     def handle_data(self, data: str) -> None:
         if not self.skip:
             for _, _, texts in self.open:
@@ -115,8 +122,9 @@ def parse(html: str | None) -> dict:
     try:
         page.feed(html or "")
         page.close()
-    except (AssertionError, ValueError):
-        pass  # what was read before the broken markup counts
+    except AssertionError:  # the parser gives up on some broken declarations; what it read before counts
+        while page.open:
+            page.handle_endtag(page.open[0][0])
     first = lambda *lists: next((x[0] for x in lists if x), None)
     return {
         "title": first(page.props.get("name"), page.parts["h1"], page.parts["title"]),

@@ -16,31 +16,35 @@ def lines(t):
     return t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
-@query(f"""SELECT doc_id, line, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate(
-  line, '®™©℠°∞‰§…•◦▪▫"''–—₁₂₃₄₅₆₇₈₉₀', ''), '(?i)\\b(brand)\\b', '', 'g'), '\\s+', ' ', 'g')), '\\s*,\\s*$', ''), '\\s*-\\s*$', ''), '^x^', ''), '^x^', '')) AS cleaned
-  FROM ({LINE}) WHERE NOT regexp_matches(line, '[¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚¹²³⁴⁵⁶⁷⁸⁹⁰]')""")
+def sql_swap(expr, table):
+    for a, b in table.items():
+        expr = f"replace({expr}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return expr
+
+
+def sql_title(expr):
+    return f"trim(regexp_replace(translate(translate({sql_swap(expr, T.FRACTIONS)}, '®™©℠', ''), '–—', '--'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT doc_id, line, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(translate({sql_swap(sql_swap('line', T.FRACTIONS), T.SUPERSCRIPTS)}, '®™©℠°∞‰§…•◦▪▫"''–—₁₂₃₄₅₆₇₈₉₀', ''),
+  '(?i)\\b(brand)\\b', '', 'g'), '\\s+', ' ', 'g')), '\\s*,\\s*$', ''), '\\s*-\\s*$', '')) AS cleaned FROM ({LINE})""")
 def ingredient_text_clean(t):
-    rows = lines(t).where(~F.col("line").rlike("[¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚¹²³⁴⁵⁶⁷⁸⁹⁰]"))
-    return rows.select("doc_id", "line", F.trim(T.clean_ingredient(F.col("line"))).alias("cleaned"))
+    return lines(t).select("doc_id", "line", F.trim(T.clean_ingredient(F.col("line"))).alias("cleaned"))
 
 
-@query(f"SELECT doc_id, line, trim(regexp_replace(translate(translate(line, '®™©℠', ''), '–—', '--'), '\\s+', ' ', 'g')) AS cleaned FROM ({LINE}) WHERE NOT regexp_matches(line, '[¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚]')")
+@query(f"SELECT doc_id, line, {sql_title('line')} AS cleaned FROM ({LINE})")
 def title_text_clean(t):
-    rows = lines(t).where(~F.col("line").rlike("[¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚]"))
-    return rows.select("doc_id", "line", T.clean_title(F.col("line")).alias("cleaned"))
+    return lines(t).select("doc_id", "line", T.clean_title(F.col("line")).alias("cleaned"))
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(translate(translate(text, '®™©℠', ''), '–—', '--'), '\\s+', ' ', 'g')) AS cleaned FROM conversations WHERE NOT regexp_matches(text, '[¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚¹²³⁴⁵⁶⁷⁸⁹⁰]')")
+@query(f"SELECT conv_id, turn, {sql_title(sql_swap('text', T.SUPERSCRIPTS))} AS cleaned FROM conversations")
 def instruction_text_clean(t):
-    rows = t("conversations").where(~F.col("text").rlike("[¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚¹²³⁴⁵⁶⁷⁸⁹⁰]"))
-    return rows.select("conv_id", "turn", T.clean_instruction(F.col("text")).alias("cleaned"))
+    return t("conversations").select("conv_id", "turn", T.clean_instruction(F.col("text")).alias("cleaned"))
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' ') AS decoded
-  FROM (SELECT page_id, left(regexp_replace(html, '<[^>]*>', ' ', 'g'), 2000) AS h FROM pages) WHERE NOT regexp_matches(h, '&#|&(copy|reg|trade|deg|frac)')""")
+@query(f"SELECT page_id, {sql_swap('html', T.ENTITIES)} AS decoded FROM pages")
 def html_entity_decode(t):
-    rows = t("pages").select("page_id", F.substring(F.regexp_replace("html", "<[^>]*>", " "), 1, 2000).alias("h"))
-    return rows.where(~F.col("h").rlike("&#|&(copy|reg|trade|deg|frac)")).select("page_id", T.decode_entities(F.col("h")).alias("decoded"))
+    return t("pages").select("page_id", T.decode_entities(F.col("html")).alias("decoded"))
 
 
 @query()
@@ -87,11 +91,10 @@ def title_keys(t):
   '\\b(cup|cups|tablespoon|tablespoons|teaspoon|teaspoons|pound|pounds|ounce|ounces|gram|grams|kg|lb|oz|tsp|tbsp)\\b', '', 'g'), '\\b(fresh|dried|chopped|minced|diced|sliced|whole|ground)\\b', '', 'g')) AS item_key,
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({FIRST})), '\\b(best|perfect|easy|simple|quick|homemade|classic|authentic|traditional)\\b', '', 'g'), '\\b(recipe|recipes)\\b', '', 'g'), '[^a-z0-9\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS name_key,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower({FIRST})), '[^A-Za-z0-9_\\s-]', '', 'g'), '\\s+', ' ', 'g'), 'ies$', 'y'), 's$', '') AS source_key
-  FROM documents WHERE regexp_matches({FIRST}, '^[ -~]*$')""")
+  FROM documents""")
 def match_keys(t):
     first = F.split_part("text", F.lit("\n"), F.lit(1))
-    rows = t("documents").where(first.rlike("^[ -~]*$"))
-    return rows.select("doc_id", T.ingredient_key(first).alias("item_key"), T.name_key(first).alias("name_key"), T.source_key(first).alias("source_key"))
+    return t("documents").select("doc_id", T.ingredient_key(first).alias("item_key"), T.name_key(first).alias("name_key"), T.source_key(first).alias("source_key"))
 
 
 @query()
@@ -100,12 +103,14 @@ def abbreviation_expand(t):
     return t.rows(rows, "id int, text string").select("id", T.expand(F.col("text")).alias("expanded"))
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s*,\s*', ', ', 'g'), '\s*\.\s*', '. ', 'g'), '\s*;\s*', '; ', 'g'), '\s*:\s*', ': ', 'g'),
-  '([0-9]+)\s*-\s*([0-9]+)', '\1-\2', 'g'), '\s+', ' ', 'g')) AS normalized FROM conversations
-  WHERE NOT regexp_matches(text, '°|/|(?i)degree|thru|\btil\b|\b(lbs?|oz|tbsp|tsp|qt|pt|approx|mins?|hrs?|temp)\.')""")
+HALVES = {"1/2": "½", "1/3": "⅓", "1/4": "¼", "3/4": "¾", "2/3": "⅔"}
+PUNCTUATED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s*,\s*', ', ', 'g'), '\s*\.\s*', '. ', 'g'), '\s*;\s*', '; ', 'g'), '\s*:\s*', ': ', 'g')"
+DEGREES = rf"regexp_replace(regexp_replace({PUNCTUATED}, '([0-9]+)\s*°\s*([CF])\b', '\1°\2', 'g'), '(?i)([0-9]+)\s*degrees?\s*([CF])\b', '\1°\2', 'g')"
+
+
+@query(rf"SELECT conv_id, turn, trim(regexp_replace(regexp_replace({sql_swap(DEGREES, HALVES)}, '([0-9]+)\s*-\s*([0-9]+)', '\1-\2', 'g'), '\s+', ' ', 'g')) AS normalized FROM conversations")
 def instruction_normalize(t):
-    rows = t("conversations").where(~F.col("text").rlike(r"°|/|(?i)degree|thru|\btil\b|\b(lbs?|oz|tbsp|tsp|qt|pt|approx|mins?|hrs?|temp)\."))
-    return rows.select("conv_id", "turn", T.normalize_instruction(F.col("text")).alias("normalized"))
+    return t("conversations").select("conv_id", "turn", T.normalize_instruction(F.col("text")).alias("normalized"))
 
 
 @query("""WITH w AS (SELECT doc_id, word, min(i) AS i FROM (SELECT doc_id, unnest(s) AS word, generate_subscripts(s, 1) AS i FROM (

@@ -36,8 +36,8 @@ def positional_sites(spark: SparkSession, path: str) -> DataFrame:
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that don't parse are out."""
-    rows = spark.read.text(path).select(F.from_json("value", schema).alias("r"), "value").where(F.trim("value") != "")
-    return rows.where("r IS NOT NULL").select("r.*")
+    rows = spark.read.text(path).where(F.try_parse_json("value").isNotNull())
+    return rows.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
