@@ -42,6 +42,8 @@ WORDS = (LETTER, STMD, R, V, L_, E_)
 LONG = 256
 #: Bytes that stand for the special token; no text has them.
 MARK = b"\xed\xa0\x81"
+#: First bytes of the white space beyond ASCII.
+SPACE_LEADS = frozenset((0xC2, 0xE1, 0xE2, 0xE3))
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +198,8 @@ class Annotations:
         special = self.tokenizer.token_to_id(SPECIAL)
         self.special = None if special is None else int(special).to_bytes(4, "little")
         self.known = Memory(REMEMBERED)
+        size = self.tokenizer.get_vocab_size()
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])  # with a space
 
     @classmethod
     def of(cls, path: str) -> "Annotations":
@@ -204,24 +208,35 @@ class Annotations:
         return cls._open[path]
 
     def of_states(self, pieces: list[bytes]) -> list[bytes]:
-        distinct = set(pieces)
-        distinct.discard(MARK)
-        new, known = self.known.unknown(distinct), self.known
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            got = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            ids = [x.ids for x in got]
-            ends = np.cumsum(list(map(len, ids))) * 4
-            flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
-            known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
-        return [known[x] if x != MARK else self.special for x in pieces]
+        if self.special is not None:
+            self.known[MARK] = self.special
+        new = self.known.unknown(set(pieces))
+        # Pieces of a space and what isn't one can stand in a row: the next one's space ends each, and begins its first token.
+        spaced = [x for x in new if x[:1] == b" " and x[1:2] > b" " and x[1] not in SPACE_LEADS]
+        for i in range(0, len(spaced), 20_000):
+            part = spaced[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(part):
+                raise ValueError("the tokenizer joins pieces")
+            self._put(part, ids, np.r_[starts, len(ids)])
+        alone = list(set(new).difference(spaced)) if spaced else new
+        for i in range(0, len(alone), 50_000):
+            part = alone[i : i + 50_000]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)]
+            self._put(part, np.array(list(chain.from_iterable(ids)), "<u4"), np.r_[0, np.cumsum(list(map(len, ids)))])
+        return list(map(self.known.__getitem__, pieces))
+
+    def _put(self, pieces: list[bytes], ids: np.ndarray, edges: np.ndarray) -> None:
+        raw, cuts = ids.tobytes(), (4 * edges).tolist()
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
 
 def count(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
     annotations = Annotations.of(path)
     state, pieces, ends = read(texts, annotations.special is not None)
-    emitted = np.array([len(x) // 4 for x in annotations.of_states(pieces)], np.int64)
+    emitted = np.fromiter(map(len, annotations.of_states(pieces)), np.int64, len(pieces)) // 4
     return np.diff(np.r_[0, np.cumsum(emitted[state])][np.r_[0, ends]])
 
 
@@ -230,7 +245,7 @@ def ids(texts: list[str], path: str) -> list[bytes]:
     annotations = Annotations.of(path)
     state, pieces, ends = read(texts, annotations.special is not None)
     emitted = annotations.of_states(pieces)
-    size = np.array([len(x) // 4 for x in emitted], np.int64)
+    size = np.fromiter(map(len, emitted), np.int64, len(emitted)) // 4
     flat, first = np.frombuffer(b"".join(emitted), "<u4"), np.cumsum(size) - size
     n = size[state]
     total = np.r_[0, np.cumsum(n)]

@@ -25,15 +25,17 @@ class Memory(dict):
 
     def unknown(self, pieces: set) -> list:
         """Those of a batch's ``pieces`` to find out and put in, after room is made."""
-        known = pieces & self.keys()
-        self.again |= known
-        new = pieces - known
+        new = [x for x in pieces if x not in self]
+        again = pieces.difference(new) if new else pieces
         if len(self) + len(new) > self.most:
-            kept = {x: self[x] for x in self.again} if len(self.again) < self.most // 2 else {x: self[x] for x in known}
+            self.again |= again
+            kept = {x: self[x] for x in (self.again if len(self.again) < self.most // 2 else again)}
             self.clear()
             self.update(kept)
             self.again = set()
-        return list(new)
+        else:
+            self.again |= again
+        return new
 
 
 class Classes:
