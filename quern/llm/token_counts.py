@@ -40,6 +40,8 @@ NONE, ONE_SPACE, ONE_OTHER, RUN_SPACE, RUN_OTHER, LETTERS, NUMBERS, OTHERS, QUOT
 HERE, BEFORE = 1, 2
 WORDS = (LETTER, STMD, R, V, L_, E_)
 LONG = 256
+#: Characters after which lanes are looked at for having come to one state.
+SETTLING = 64
 #: Bytes that stand for the special token; no text has them.
 MARK = b"\xed\xa0\x81"
 #: First bytes of the white space beyond ASCII.
@@ -122,9 +124,23 @@ def piece_starts(classes: np.ndarray, lanes: int = 4096) -> np.ndarray:
     columns = np.ascontiguousarray(padded.reshape(lanes, width).T)
     scaled, emit = (GO.astype(np.intp) * 12).ravel(), EMIT.ravel()
     maps = np.tile(np.arange(12, dtype=np.intp) * 12, (lanes, 1))
-    for x in columns:
+    for x in columns[:SETTLING]:
         maps += x[:, None]
         maps = scaled.take(maps)
+    one = (maps == maps[:, :1]).all(1)  # lanes that end in one state wherever they began: a vector goes on for them
+    if width > SETTLING and one.any():
+        ends, rest = maps[one, 0], maps[~one]
+        for x in columns[SETTLING:]:
+            ends += x[one]
+            ends = scaled.take(ends)
+            if len(rest):
+                rest += x[~one, None]
+                rest = scaled.take(rest)
+        maps[one], maps[~one] = ends[:, None], rest
+    else:
+        for x in columns[SETTLING:]:
+            maps += x[:, None]
+            maps = scaled.take(maps)
     state = lane_starts((maps // 12).astype(np.uint8)) * 12
     out = np.empty((width, lanes), np.uint8)
     for i, x in enumerate(columns):
@@ -143,11 +159,15 @@ def end_states(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple
     masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     final, base = np.empty(len(start), np.int64), 0
     live, state, depth = np.flatnonzero(length <= LONG), np.zeros((length <= LONG).sum(), np.int64), 0
+    padded = not (data[:-8] == 0).any()  # then the zeros after a piece's last byte can't be its own
     while len(live):
         left = length[live] - depth
         take = np.minimum(left, 8)
         symbol, symbols = pd.factorize(words[start[live] + depth] & masks[take])
-        state, states = pd.factorize((state * len(symbols) + symbol) * 9 + take)
+        if padded and not depth:
+            state, states = symbol, symbols
+        else:
+            state, states = pd.factorize((state * len(symbols) + symbol) * 9 + take)
         done = left <= 8
         final[live[done]] = base + state[done]
         base += len(states)
@@ -174,8 +194,7 @@ def read(texts: list[str], special: bool = False) -> tuple[np.ndarray, list[byte
     if special:
         starts |= points == 0xD801
     edges, ends = np.flatnonzero(starts | (classes == END)), np.flatnonzero(points == 0xD800)
-    size = (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8) + np.uint8(1)
-    place = np.cumsum(size, dtype=np.int64)[edges] - size[edges]
+    place = np.flatnonzero((data & 0xC0) != 0x80)[edges]  # where the characters begin
     del points, joined
     which = np.flatnonzero(starts[edges])
     start, length = place[which], place[np.minimum(which + 1, len(place) - 1)] - place[which]

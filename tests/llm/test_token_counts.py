@@ -29,6 +29,8 @@ def test_lanes():
 
     rnd = np.random.default_rng(1)
     classes = rnd.integers(0, 12, 20_000).astype(np.uint8)
+    classes[5000:9000] = tc.LETTER  # lanes that don't come to one state
+    classes[12_000:13_000] = tc.OTHER_SPACE
     one = tc.piece_starts(classes, lanes=1)
     for lanes in (2, 7, 64, 300):
         assert (tc.piece_starts(classes, lanes) == one).all()
