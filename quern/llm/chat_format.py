@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, partitions, table
+from .common import id_key, pieces_of, table
 
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {SYSTEM: "system", USER: "user", ASSISTANT: "assistant"}
@@ -41,6 +41,8 @@ FOLLOWS = {NONE: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT:
 UNIT = 1 << 32  # costs above, counts of turns below
 NEVER = 1 << 61
 START = [0, NEVER, NEVER, NEVER]
+#: Bytes of text that a task holds.
+PART = 256 << 20
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 
 
@@ -182,14 +184,13 @@ def repair(rows: list[tuple], codes: list[int], states: list[int], turns: int, c
 
 def repaired(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """For each turn: what was done to it, its new role, the repaired turn that it is in (from 1), empty turns put in, cost, and its part of the rendering."""
-    spark = conversations.sparkSession
     code = F.element_at(F.create_map(*(F.lit(x) for kv in CODES.items() for x in kv)), F.lower(F.trim(role)))
     rows = conversations.select(
         id_key(conv_id).alias("key"), F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"),
         F.coalesce(F.when(F.col(role).isNotNull(), code), F.lit(NONE)).alias("code"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     order = ("key", "turn", "role", F.xxhash64("text"))
-    ordered = table(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "text").mapInArrow(_number, ORDERED), "ordered")
+    ordered = table(rows.repartitionByRange(pieces_of(rows, "text", PART), *order).sortWithinPartitions(*order, "text").mapInArrow(_number, ORDERED), "ordered")
     ends = ordered.select("part", "seq", "key", "code").groupBy("part").applyInArrow(_ends, ENDS).collect()  # a row for each task
     known = link(ends)
 

@@ -47,6 +47,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces_of(df: DataFrame, text: str, size: int) -> int:
+    """How many pieces of about ``size`` bytes of ``text`` there are, and a piece for each shuffle partition at least."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(partitions(df.sparkSession), -(-total // size))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` hasn't, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -61,6 +61,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL over the whole tables, where it is fast enough there.
 ORACLES: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+), letters AS (
+  SELECT sha, string_agg(array_to_string([('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + ((v >> s) & 31)] FOR s IN [15, 10, 5, 0]], ''), '' ORDER BY k) AS payload_digest
+  FROM (SELECT sha, k, ('0x' || substr(sha, 5 * k + 1, 5))::INTEGER AS v FROM (SELECT DISTINCT sha FROM p), range(8) r(k)) GROUP BY sha
+), heads AS (
+  SELECT *, max(page_id) OVER (PARTITION BY sha) AS head FROM p JOIN letters USING (sha)
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to FROM heads""",
     "op8_top_k": """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w

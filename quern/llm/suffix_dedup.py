@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, anchors, mixed
-from .common import fresh, id_key, partitions, release, strings, table, text_key
+from .common import fresh, id_key, partitions, pieces_of, release, strings, table, text_key
 from .suffix_sort import common_prefix, deep_shallow_sort
 
 GRAM = 32
 #: Contexts of one gram that are sorted together.
 LARGE = 256
+#: Bytes of text whose anchors a bucket gets.
+BUCKET = 64 << 20
 #: Bytes of text hashed at a time, and anchors held before they are sent.
 CHUNK, HELD = 1 << 18, 1 << 19
 
@@ -293,7 +295,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     n = partitions(spark)
     keyed = docs.select(id_key(doc_id).alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
-    scanned = keyed.where(F.octet_length("text") >= width).mapInArrow(scan(width, GRAM, n), SCANNED)
+    scanned = keyed.where(F.octet_length("text") >= width).mapInArrow(scan(width, GRAM, pieces_of(keyed, "text", BUCKET)), SCANNED)
     settled = scanned.groupBy("bucket").applyInArrow(settle(width, LARGE), SETTLED)
     settled = settled.groupBy("id", "th").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open"))
     settled = table(settled, "settled")
