@@ -87,7 +87,7 @@ def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame
     live = table(lines.join(leaves, "leaf", "left_semi"), "live")
     flags = F.posexplode("fields").alias("place", "value")
     values = live.select("leaf", "new", flags).where(F.shiftright("new", 1).bitwiseAND(F.expr("shiftleft(1, place)")) != 0)
-    constant = values.groupBy("leaf", "place", "value").count().where(F.col("count") >= min_docs).select("leaf", "place", "value")
+    constant = table(values.groupBy("leaf", "place", "value").count().where(F.col("count") >= min_docs).select("leaf", "place", "value"), "constant")
     contents = live.groupBy("leaf", "sig").agg(F.first("fields").alias("fields"))
     marked = contents.select("leaf", "sig", flags).join(constant, ["leaf", "place", "value"])
     marked = marked.groupBy("leaf", "sig").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("constants"))
