@@ -107,7 +107,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
     facts = marks.where(F.col("size") >= least).join(heads, "sha").where("id < head").groupBy("id", "sha").agg(F.max("head").alias("head"))
     total = marks.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    sample = np.sort([r[0] for r in marks.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE).collect()])
+    sample = np.sort([r[0] for r in marks.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(min(SAMPLE, 32 * shards)).collect()])
     bounds = np.unique(sample[[len(sample) * k // shards for k in range(1, shards)]]) if len(sample) else sample
 
     @F.pandas_udf("int")
@@ -118,7 +118,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
     both = rows.select("id", "sha", F.lit(1).alias("kind"), "url", "payload", "size", void.cast("long").alias("head")).unionByName(
         facts.select("id", "sha", F.lit(0).alias("kind"), void.cast("string").alias("url"), void.cast("binary").alias("payload"), F.lit(0).cast("long").alias("size"), "head")
     )
-    dealt = both.withColumn("shard", shard("id")).repartition(max(partitions(spark), shards), "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
+    dealt = both.withColumn("shard", shard("id")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
     schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (x.split() for x in MANIFEST.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
