@@ -21,6 +21,22 @@ ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"
 ABBREVIATIONS = {"lbs.": "pounds", "lb.": "pound", "oz.": "ounce", "tbsp.": "tablespoon", "tsp.": "teaspoon", "qt.": "quart", "pt.": "pint", "approx.": "approximately", "mins.": "minutes", "min.": "minute", "hrs.": "hours", "hr.": "hour", "temp.": "temperature", "thru": "through", "til": "until"}
 IRREGULAR = {"leaf": "leaves", "knife": "knives", "child": "children"}
 LENGTHS = {"title": 200, "description": 500, "ingredients": 1000, "instructions": 1500}
+ARTICLES, NOUNS = "the|a|an", "recipe|recipes"
+TITLE_WORDS = "best|perfect|easy|simple|ultimate|classic"
+NAME_WORDS = "best|perfect|easy|simple|quick|homemade|classic|authentic|traditional"
+ITEM_UNITS = "cup|cups|tablespoon|tablespoons|teaspoon|teaspoons|pound|pounds|ounce|ounces|gram|grams|kg|lb|oz|tsp|tbsp"
+ITEM_WORDS = "fresh|dried|chopped|minced|diced|sliced|whole|ground"
+SHORT_ITEMS = "(?i)^(oz|lb|ml|qt|pt|tsp|cup|bay)$"
+NOT_ITEMS = (
+    "^[A-Z]{1,3}$", "^[a-z]{1,2}$", "^[0-9]+$", r"^[\s\-.,;:]+$", r"^[()\[\]{}]+$", "(?i)^(and|or|with|plus|also|see|note|tips?|add|use)$",
+    "(?i)^(step|method|recipe|cooking|preparation|instructions?)$", "(?i)^(serves?|servings?|yield|makes?)$", "(?i)^(minutes?|hours?|mins?|hrs?|time|cook|prep)$",
+    "(?i)^(degrees?|°|f|c|fahrenheit|celsius)$", "(?i)^(page|pages?|recipe|ingredients?)$", "(?i)^(kitchen|equipment|tools?)$", "^[*#@%&]+$",
+    r"(?i)^(www|http|https|com|org|net)\.?", "(?i)^(copyright|©|®|™|all|rights|reserved)$",
+)
+ITEM_LINES = ("^[0-9]+", "^[•*-]", r"(?i)[0-9]+\s*(cup|tbsp|tsp|oz|lb|g|kg|ml|l|teaspoon|tablespoon|pound|ounce|gram)", r"(?i)^(a|an|the)\s+[A-Za-z0-9_]+")
+STEP_LINES = (r"^[0-9]+[.)]\s*", "(?i)^(first|second|third|then|next|finally)", "^[•*-]", "(?i)^(heat|cook|bake|mix|stir|add|pour|place|cut|chop|slice|dice|sauté|fry)")
+HEADER_LINE = r"(?i)^(ingredients?|instructions?|directions?|method|steps?):?\s*$"
+SERVINGS = (r"(?i)(?:serves?|serving|servings?|makes?|yield|feeds?)[\s:]*([0-9]+)", r"(?i)([0-9]+)\s*(?:servings?|portions?|people)")
 # End of fixed values.
 
 
@@ -124,15 +140,15 @@ def pluralize(c: Column, count: Column) -> Column:
 
 def title_key(c: Column) -> Column:
     """The order of the steps matters: spaces left by removed words stay, and one at the end keeps an s."""
-    return F.trim(chain(F.lower(c) if c is None else trim(F.lower(c)), (r"[^A-Za-z0-9_\s-]", ""), (r"\s+", " "), (word("the|a|an"), ""), (word("recipe|recipes"), ""), (word("best|perfect|easy|simple|ultimate|classic"), ""), ("ies$", "y"), ("s$", "")))
+    return F.trim(chain(trim(F.lower(c)), (r"[^A-Za-z0-9_\s-]", ""), (r"\s+", " "), (word(ARTICLES), ""), (word(NOUNS), ""), (word(TITLE_WORDS), ""), ("ies$", "y"), ("s$", "")))
 
 
 def ingredient_key(c: Column) -> Column:
-    return F.trim(chain(trim(F.lower(c)), (r"[^A-Za-z0-9_\s]", ""), ("[0-9]+", ""), (r"\s+", " "), (word("cup|cups|tablespoon|tablespoons|teaspoon|teaspoons|pound|pounds|ounce|ounces|gram|grams|kg|lb|oz|tsp|tbsp"), ""), (word("fresh|dried|chopped|minced|diced|sliced|whole|ground"), "")))
+    return F.trim(chain(trim(F.lower(c)), (r"[^A-Za-z0-9_\s]", ""), ("[0-9]+", ""), (r"\s+", " "), (word(ITEM_UNITS), ""), (word(ITEM_WORDS), "")))
 
 
 def name_key(c: Column) -> Column:
-    return F.trim(chain(trim(F.lower(c)), (word("best|perfect|easy|simple|quick|homemade|classic|authentic|traditional"), ""), (word("recipe|recipes"), ""), (r"[^a-z0-9\s-]", ""), (r"\s+", " ")))
+    return F.trim(chain(trim(F.lower(c)), (word(NAME_WORDS), ""), (word(NOUNS), ""), (r"[^a-z0-9\s-]", ""), (r"\s+", " ")))
 
 
 def source_key(c: Column) -> Column:
@@ -204,38 +220,41 @@ def step_list(c: Column) -> Column:
 
 
 def servings(c: Column) -> Column:
-    a = F.regexp_extract(c, r"(?i)(?:serves?|serving|servings?|makes?|yield|feeds?)[\s:]*([0-9]+)", 1)
-    b = F.regexp_extract(c, r"(?i)([0-9]+)\s*(?:servings?|portions?|people)", 1)
-    ok = lambda x: F.when(F.try_to_number(F.nullif(x, F.lit("")), F.lit("999999999")).cast("int").between(1, 99), x.try_cast("int"))
-    return F.coalesce(ok(a), ok(b))
+    """The first count between 1 and 99 that a pattern finds."""
+    def one(pattern: str) -> Column:
+        n = F.regexp_extract(c, pattern, 1).try_cast("int")
+        return F.when(n.between(1, 99), n)
+
+    return F.coalesce(*map(one, SERVINGS))
+
+
+def matches_any(c: Column, patterns: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(p)
+    return out
 
 
 def valid_line(c: Column) -> Column:
     """Whether a line can name an item: long enough, none of the fixed non-items, half of it letters and digits."""
     t = F.trim(c)
-    words = ["and|or|with|plus|also|see|note|tips?|add|use", "step|method|recipe|cooking|preparation|instructions?", "serves?|servings?|yield|makes?", "minutes?|hours?|mins?|hrs?|time|cook|prep", "degrees?|°|f|c|fahrenheit|celsius", "page|pages?|recipe|ingredients?", "kitchen|equipment|tools?", "copyright|©|®|™|all|rights|reserved"]
-    deny = ["^[A-Z]{1,3}$", "^[a-z]{1,2}$", "^[0-9]+$", r"^[\s\-.,;:]+$", r"^[()\[\]{}]+$", *(f"(?i)^({w})$" for w in words), "^[*#@%&]+$", r"(?i)^(www|http|https|com|org|net)\.?"]
-    bad = F.lit(False)
-    for d in deny:
-        bad = bad | t.rlike(d)
+    bad = matches_any(t, NOT_ITEMS)
     distinct = F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(t), r"\s", ""), "")))
-    short = (F.length(t) <= 2) & ~t.rlike("(?i)^(oz|lb|ml|qt|pt|tsp|cup|bay)$")
+    short = (F.length(t) <= 2) & ~t.rlike(SHORT_ITEMS)
     letters = F.length(F.regexp_replace(t, "[^a-zA-Z0-9]", ""))
     return F.coalesce((t != "") & ~short & ~bad & t.rlike("[a-zA-Z]") & (letters / F.length(t) >= 0.5) & ~((F.length(t) > 3) & (distinct <= 2)), F.lit(False))
 
 
 def item_line(c: Column) -> Column:
-    found = c.rlike("^[0-9]+") | c.rlike("^[•*-]") | c.rlike(r"(?i)[0-9]+\s*(cup|tbsp|tsp|oz|lb|g|kg|ml|l|teaspoon|tablespoon|pound|ounce|gram)") | c.rlike(r"(?i)^(a|an|the)\s+[A-Za-z0-9_]+")
-    return F.length(c).between(3, 200) & found
+    return F.length(c).between(3, 200) & matches_any(c, ITEM_LINES)
 
 
 def step_line(c: Column) -> Column:
-    found = c.rlike(r"^[0-9]+[.)]\s*") | c.rlike("(?i)^(first|second|third|then|next|finally)") | c.rlike("^[•*-]") | c.rlike("(?i)^(heat|cook|bake|mix|stir|add|pour|place|cut|chop|slice|dice|sauté|fry)")
-    return F.length(c).between(10, 500) & found
+    return F.length(c).between(10, 500) & matches_any(c, STEP_LINES)
 
 
 def header_line(c: Column) -> Column:
-    return c.rlike(r"(?i)^(ingredients?|instructions?|directions?|method|steps?):?\s*$") | (F.length(c) < 5)
+    return c.rlike(HEADER_LINE) | (F.length(c) < 5)
 
 
 def relevance(c: Column, words: Sequence[str]) -> Column:

@@ -18,6 +18,9 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "fbclid",
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 HTTP = r"^https?://[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}(?![A-Za-z0-9_])([-a-zA-Z0-9()@:%_+.~#?&/=]*)$"
+PHOTOGRAPHY = ("professional-photography", "food-photography")
+COMMENTARY = ("chef-story", "cooking-memoir")
+BASIC = ("ingredients", "cooking-instructions", "recipe-basic", "simple-recipe")
 # End of fixed values.
 
 
@@ -94,7 +97,7 @@ def compliance(url: Column, honor_paywalls: bool = True, respect_copyrights: boo
     wall = holds(url, PAYWALL)
     restrictions = F.array_compact(F.array(
         F.when(wall & F.lit(honor_paywalls), "paywall"),
-        F.when(~(wall & F.lit(honor_paywalls)) & holds(url, ("professional-photography", "food-photography")), "photography"),
+        F.when(~(wall & F.lit(honor_paywalls)) & holds(url, PHOTOGRAPHY), "photography"),
     ))
     go_on = ~(wall & F.lit(honor_paywalls))
     risky = go_on & holds(host(url), RISKY_HOSTS) & F.lit(respect_copyrights)
@@ -102,8 +105,8 @@ def compliance(url: Column, honor_paywalls: bool = True, respect_copyrights: boo
         F.when(wall & F.lit(not honor_paywalls), "paywall"),
         F.when(risky, "copyrighted domain"),
         F.when(risky & holds(url, COPYRIGHT), "copyrighted descriptions"),
-        F.when(go_on & holds(url, ("chef-story", "cooking-memoir")), "commentary"),
-        F.when(go_on & holds(url, ("ingredients", "cooking-instructions", "recipe-basic", "simple-recipe")), "basic"),
+        F.when(go_on & holds(url, COMMENTARY), "commentary"),
+        F.when(go_on & holds(url, BASIC), "basic"),
     ))
     return F.struct((F.size(restrictions) == 0).alias("can_scrape"), warnings.alias("warnings"), restrictions.alias("restrictions"))
 

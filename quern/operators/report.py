@@ -73,18 +73,26 @@ def paged(df: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
 
 
+# Ordered patterns of messages.
+PATTERNS = (("timeout", "Network Timeout"), ("failed to fetch", "Fetch Error"), ("json-ld", "JSON-LD Parsing Error"), ("validation failed", "QA Validation Failed"), ("selector", "HTML Selector Error"), ("404", "404 Not Found"), ("50", "Server Error (5xx)"))
+REGISTRY = (("cloudflare|cf-ray", "cloudflare"), ("captcha", "captcha"), ("403|forbidden|unauthorized", "authentication"), ("429|rate limit", "rate_limit"), ("timeout|timed out", "timeout"), ("parse|invalid|format", "invalid_format"))
+OPERATION = (("timeout", "timeout"), ("403|forbidden", "bot_detection"), ("429|rate limit", "rate_limit"), ("parse|extract", "parsing_error"))
+# End of fixed values.
+
+
+def first_pattern(message: Column, patterns: tuple[tuple[str, str], ...], default: str) -> Column:
+    return F.coalesce(*(F.when(message.rlike(p), name) for p, name in patterns), F.lit(default))
+
+
 def error_pattern(message: Column) -> Column:
-    """The first pattern that the message matches; any "50" counts as a server error."""
-    m = F.lower(message)
-    return F.when(m.rlike("timeout"), "Network Timeout").when(m.rlike("failed to fetch"), "Fetch Error").when(m.rlike("json-ld"), "JSON-LD Parsing Error").when(m.rlike("validation failed"), "QA Validation Failed").when(m.rlike("selector"), "HTML Selector Error").when(m.rlike("404"), "404 Not Found").when(m.rlike("50"), "Server Error (5xx)").otherwise("Unknown Error")
+    """Any "50" counts as a server error."""
+    return first_pattern(F.lower(message), PATTERNS, "Unknown Error")
 
 
 def registry_error(message: Column) -> Column:
-    m = F.lower(message)
-    has = lambda *parts: F.greatest(*(F.contains(m, F.lit(p)) for p in parts), F.lit(False))
-    return F.when(has("cloudflare", "cf-ray"), "cloudflare").when(has("captcha"), "captcha").when(has("403", "forbidden", "unauthorized"), "authentication").when(has("429", "rate limit"), "rate_limit").when(has("timeout", "timed out"), "timeout").when(has("parse", "invalid", "format"), "invalid_format").otherwise("other")
+    return first_pattern(F.lower(message), REGISTRY, "other")
 
 
 def operation_error(message: Column) -> Column:
-    has = lambda p: F.contains(message, F.lit(p))
-    return F.when(has("timeout"), "timeout").when(has("403") | has("forbidden"), "bot_detection").when(has("429") | has("rate limit"), "rate_limit").when(has("parse") | has("extract"), "parsing_error").otherwise("http_error")
+    """Case matters here."""
+    return first_pattern(message, OPERATION, "http_error")
