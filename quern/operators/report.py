@@ -44,7 +44,7 @@ def success_rates(df: DataFrame, key: str, ok: Column, limited: Column, refused:
 
 def running_mean(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("mean", F.round(F.avg(value).over(w), 2))
+    return df.withColumn("mean", F.avg(value).over(w))
 
 
 def gap_since_previous(df: DataFrame, key: str, ts: str, *order: str) -> DataFrame:

@@ -81,9 +81,11 @@ def error_share_window(t):
     return R.share_of(recent, "user_id", "event_type")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS mean FROM events")
+@query("SELECT event_id, count(*) OVER w AS n, CAST(round(avg(value) OVER w * count(*) OVER w * 100) AS BIGINT) AS cents FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_mean(t):
-    return R.running_mean(t("events"), "user_id", "value", "ts", "event_id").select("event_id", "mean")
+    rows = R.running_mean(t("events"), "user_id", "value", "ts", "event_id")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return rows.withColumn("n", n).select("event_id", "n", F.round(F.col("mean") * F.col("n") * 100).cast("long").alias("cents"))
 
 
 @query("SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events")
