@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from .report import numbered
 
 SMALL = 100_000
 
@@ -44,9 +45,14 @@ def contains_either(key: str, name: str) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
-def best_match(keys: DataFrame, key: str, entries: DataFrame, name: str, score, least: float) -> DataFrame:
-    """For each distinct key the entry with the greatest score of ``least`` at least, over 0; ties to the least ord."""
-    pairs = keys.select(key).distinct().join(bounded(entries), F.lit(True)).withColumn("score", score(F.col(key), F.col(name)))
+def best_match(keys: DataFrame, key: str, entries: DataFrame, name: str, score, least: float, boost: float = 0.0) -> DataFrame:
+    """For each distinct key the entry with the greatest score of ``least`` at least, over 0; ties to the least ord.
+
+    Lengths that differ too much for a similarity of ``least - boost`` aren't compared.
+    """
+    a, b = F.length(key), F.length(name)
+    may = F.abs(a - b) <= (1 - (least - boost)) * F.greatest(a, b) + 1e-9
+    pairs = keys.select(key).distinct().join(bounded(entries), may).withColumn("score", score(F.col(key), F.col(name)))
     pairs = pairs.where((F.col("score") >= least) & (F.col("score") > 0))
     return pairs.groupBy(key).agg(F.max_by(F.struct(F.col(name).alias("match"), "score"), F.struct("score", -F.col("ord"))).alias("b")).select(key, "b.match", "b.score")
 
@@ -68,8 +74,8 @@ def get_or_create(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """``known`` (name, id) with ids for the keys that it lacks, after its greatest, in order of name."""
     new = rows.select(F.col(key).alias("name")).distinct().join(known, "name", "left_anti")
     base = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("name"))).crossJoin(F.broadcast(base)).select("name", (F.col("base") + F.col("_n")).cast("long").alias("id"))
-    return known.select("name", F.col("id").cast("long")).unionByName(numbered)
+    fresh = numbered(new, "name").withColumn("_k", F.lit(1)).join(F.broadcast(base.withColumn("_k", F.lit(1))), "_k")
+    return known.select("name", F.col("id").cast("long")).unionByName(fresh.select("name", (F.col("base") + F.col("number")).cast("long").alias("id")))
 
 
 def preferred(candidates: DataFrame, key: str, wanted: Column, ord_: str) -> DataFrame:

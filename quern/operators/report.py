@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970, for timestamps with or without a time zone."""
@@ -12,7 +14,7 @@ def micros(ts: str) -> Column:
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The first row of each key in ``order``: an aggregate, so copies of a key shrink before the shuffle."""
+    """The first row of each key in ``order``; Spark limits each key's rows before the shuffle."""
     names = [c for c in df.columns if c != key]
     number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_n", number).where("_n = 1").select(key, *names)
@@ -69,8 +71,19 @@ def zero_filled(counts: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 
 def paged(df: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
     """A page of rows, each with the count of all."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset((page - 1) * size).limit(size).crossJoin(F.broadcast(total))
+    total = df.agg(F.count("*").alias("total")).withColumn("_k", F.lit(1))
+    rows = df.orderBy(*order).offset((page - 1) * size).limit(size).withColumn("_k", F.lit(1))
+    return rows.join(F.broadcast(total), "_k").drop("_k")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``number``, from 1 in ``order``: sorted over range partitions, which get each other's counts, a row for each."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("n")).select("_p", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("_m"))
+    return ranged.join(counts, "_p").withColumn("number", F.col("_before") + own).drop("_p", "_m", "_before")
 
 
 # Ordered patterns of messages.

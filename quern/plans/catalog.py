@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adapters, classification, extraction, items, matching, merging, reports, scoring, state, texts  # noqa: F401
+from . import adapters, classification, extraction, items, matching, merging, reports, scoring, state, texts, workflow  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -68,7 +68,7 @@ SOUNDS = f"(SELECT count(*) FROM (SELECT unnest(string_split(lower(p_name), ' ')
 
 @query(f"SELECT p_name, arg_max(name, (s, -ord)) AS match, round(max(s), 6) AS score FROM (SELECT p_name, name, ord, least({LEV} + {SOUNDS} / greatest(len(string_split(p_name, ' ')), len(string_split(name, ' '))) * 0.2, 1.0) AS s FROM {NAMES}, {VALUES}) WHERE s >= 0.6 GROUP BY p_name")
 def lookup_phonetic(t):
-    return L.best_match(names(t), "p_name", entries(t), "name", S.boosted, 0.6).select("p_name", "match", F.round("score", 6).alias("score"))
+    return L.best_match(names(t), "p_name", entries(t), "name", S.boosted, 0.6, boost=0.2).select("p_name", "match", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT p_name, name FROM {NAMES}, {VALUES} WHERE {LEV} >= 0.7 OR ({LEV} >= 0.5 AND {SOUNDS} > 0)")

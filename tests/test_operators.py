@@ -109,3 +109,12 @@ def test_sources(spark, tmp_path):
     assert (back.t, back.l) == ('say "x"', '["a","b"]')
     (tmp_path / "r.json").write_text('{"a.com": {"domain": "a.com", "attemptCount": 3, "isTemporary": true}}')
     assert ST.registry(spark, str(tmp_path / "r.json")).first().attemptCount == 3
+
+
+def test_hooks(spark):
+    from quern.plans.workflow import Hooks, model_hook
+
+    hooks = Hooks()
+    hooks.add("enrich", "length", model_hook(lambda batch: batch["t"].str.len(), "n", "long"))
+    hooks.add("parse", "trim", lambda df: df.withColumn("t", F.trim("t")))
+    assert hooks.run(spark.createDataFrame([(" ab ",)], "t string")).first().n == 2
