@@ -72,6 +72,28 @@ WITH p AS (
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> head THEN head END AS refers_to FROM heads""",
+    "op5_line_templates": """
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS n FROM (SELECT doc_id, string_split(t, chr(10)) AS s FROM d)),
+k AS (
+  SELECT doc_id, n, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN regexp_split_to_array(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[\x09-\x0D ]+')] AS k
+  FROM l WHERE trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
+), f AS (
+  SELECT doc_id, n, len(k) || ' ' || array_to_string(k[1:2], ' ') AS leaf,
+         CASE WHEN len(k) <= 8 THEN k ELSE [array_to_string(k[len(k) * i // 8 + 1 : len(k) * (i + 1) // 8], ' ') FOR i IN range(8)] END AS f FROM k
+), e AS (SELECT doc_id, n, leaf, len(f) AS size, unnest(f) AS value, generate_subscripts(f, 1) AS place FROM f),
+c AS (SELECT leaf, place, value FROM e GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+m AS (
+  SELECT e.doc_id, e.n, e.leaf, any_value(size) AS size, count(c.leaf) AS held,
+         string_agg(e.place || ':' || e.value, chr(10) ORDER BY e.place) AS whole, string_agg(e.place || ':' || e.value, chr(10) ORDER BY e.place) FILTER (c.leaf IS NOT NULL) AS part
+  FROM e LEFT JOIN c ON e.leaf = c.leaf AND e.place = c.place AND e.value = c.value GROUP BY e.doc_id, e.n, e.leaf
+), t AS (SELECT doc_id, n, leaf, CASE WHEN size < 4 OR held < 0.7 * size THEN 'whole ' || whole ELSE 'part ' || part END AS template FROM m),
+r AS (SELECT leaf, template, min(doc_id) AS first FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT t.doc_id, t.n FROM t JOIN r USING (leaf, template) WHERE t.doc_id <> first),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM kept""",
     "op8_top_k": """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
