@@ -94,6 +94,17 @@ kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id
 )
 SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM kept""",
+    "op7_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, doc_id * 4294967296 + p AS place, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+f AS (SELECT k, min(place) AS first FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, p, p > 100 + coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS new FROM w JOIN f USING (k) WHERE place > first),
+g AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM r) GROUP BY doc_id, run),
+s AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM (SELECT doc_id, a, b FROM g UNION ALL SELECT doc_id, n, n FROM d)),
+kept AS (SELECT doc_id, coalesce(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x), '') AS h FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id) JOIN kept USING (doc_id)""",
     "op8_top_k": """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
