@@ -96,7 +96,11 @@ kept AS (
 SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM kept""",
     "op7_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, p, doc_id * 4294967296 + p AS place, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+c AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 2198) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n - 99, 1000)) AS base FROM d WHERE n >= 100)),
+w AS (
+  SELECT doc_id, base + i AS p, doc_id * 4294967296 + base + i AS place, md5(substr(h, 2 * i + 1, 200)) AS k
+  FROM (SELECT doc_id, base, h, unnest(range(least(1000, n - 99 - base))) AS i FROM c)
+),
 f AS (SELECT k, min(place) AS first FROM w GROUP BY k HAVING count(*) > 1),
 r AS (SELECT doc_id, p, p > 100 + coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -1000) AS new FROM w JOIN f USING (k) WHERE place > first),
 g AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM r) GROUP BY doc_id, run),
