@@ -118,3 +118,35 @@ def test_hooks(spark):
     hooks.add("enrich", "length", model_hook(lambda batch: batch["t"].str.len(), "n", "long"))
     hooks.add("parse", "trim", lambda df: df.withColumn("t", F.trim("t")))
     assert hooks.run(spark.createDataFrame([(" ab ",)], "t string")).first().n == 2
+
+
+def test_numbered(spark):
+    from quern.operators.report import numbered
+
+    words = [(f"w{n:03d}",) for n in range(57)]
+    random.Random(1).shuffle(words)
+    got = numbered(spark.createDataFrame(words, "w string").repartition(5), "w").collect()
+    assert sorted((r.number, r.w) for r in got) == list(enumerate(sorted(w for w, in words), 1))
+    assert numbered(spark.createDataFrame([], "w string"), "w").count() == 0
+
+
+def test_stream_windows(spark, tmp_path):
+    from quern.streaming import windows as W
+
+    rows = [(i, i % 2, 60 * i) for i in range(10)] + [(99, 0, 100_000), (100, 0, 200_000)]
+    frame = spark.createDataFrame(rows, "id long, k long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for n, part in enumerate((frame.where("id < 50"), frame.where("id = 99"), frame.where("id = 100"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    found = {}
+    for name, df in (("tumbling", W.tumbling(stream, "ts", "5 minutes", "1 minute")), ("sliding", W.sliding(stream, "ts", "10 minutes", "5 minutes", "1 minute")), ("sessions", W.sessions(stream, "ts", "10 minutes", "1 minute", "k")), ("firsts", W.first_of_key(stream, "ts", "1 hour", F.col("k")))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        found[name] = spark.sql(f"SELECT * FROM {name}").collect()
+    assert sorted(r.n for r in found["tumbling"]) == [1, 5, 5]
+    assert sorted(r.n for r in found["sessions"]) == [1, 5, 5]
+    assert sum(r.n for r in found["sliding"] if r.n > 1) == 20
+    assert {0, 1} <= {r.k for r in found["firsts"]}
