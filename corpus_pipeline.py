@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import line_templates, packing, quality_rules, simhash, suffix_dedup
+from quern.llm import line_templates, near_copies, packing, quality_rules, suffix_dedup
 from quern.llm.common import documents, table
 
 
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.keep_one(docs).select("doc_id", "text", "lang", "source", "n_chars")
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more) stays."""
+    return near_copies.keep_one(docs).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
