@@ -47,10 +47,20 @@ def greedy(rows: DataFrame, edges: DataFrame, seq: str) -> DataFrame:
     Rounds: a row is accepted once no undecided or accepted earlier neighbour is
     left, and its later neighbours are rejected.  ``edges``: a < b, of sequence
     numbers.  Each round's state is written, so nothing is held on the driver.
+
+    An edge of similarity 1 (where ``edges`` says it, as those of ``token_pairs``)
+    ends in a copy.  What is like the earlier row is like the copy, so the copy is
+    rejected in any case, and only rows that are no copies take part in the rounds.
     """
     state = stored(rows.select(F.col(seq).alias("id")).join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
     rejected = stored(state.where("false"))
-    live = stored(edges.select("a", "b").distinct())
+    live = edges.select("a", "b").distinct()
+    if "similarity" in edges.columns:
+        rejected = stored(edges.where("similarity = 1").select(F.col("b").alias("id")).distinct())
+        for end in ("a", "b"):
+            live = live.join(rejected.withColumnRenamed("id", end), end, "left_anti")
+        live = live.select("a", "b")
+    live = stored(live)
     while not live.isEmpty():
         blocked = live.select(F.col("b").alias("id")).distinct()
         accepted = live.select(F.col("a").alias("id")).distinct().join(blocked, "id", "left_anti")
