@@ -135,6 +135,6 @@ def duplicate_cascade(t):
     docs = t("documents").select("doc_id", T.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k"))
     first = docs.groupBy("k").agg(F.min("doc_id").alias("first"))
     near = D.token_pairs(tokens(t), "doc_id", "t", 0.75).select(F.col("b").alias("doc_id")).distinct().withColumn("near", F.lit(True))
-    rows = docs.join(first, "k").join(near, "doc_id", "left")
+    rows = docs.join(first.withColumnRenamed("k", "key"), F.col("k").eqNullSafe(F.col("key"))).join(near, "doc_id", "left")
     no = F.lit(False)
     return rows.select("doc_id", D.match_type(F.col("first") < F.col("doc_id"), no, F.coalesce("near", no), no).alias("match"))

@@ -1,8 +1,9 @@
-"""Copies of rejected rows."""
+"""Copies of rejected rows, and rows without a key."""
 
 import random
 
 from quern.operators import dedup as D
+from quern.plans import catalog
 
 
 def sequential(rows, least):
@@ -20,3 +21,10 @@ def test_copies_of_rejected_rows_go(spark):
     frame = spark.createDataFrame(rows, "id long, t array<string>")
     kept = D.greedy(frame, D.token_pairs(frame, "id", "t", 0.75), "id")
     assert sorted(r.id for r in kept.collect()) == sequential(rows, 0.75)
+
+
+def test_cascade_keeps_null_texts(spark, tmp_path):
+    rows = [(1, None), (2, "red fox"), (3, None), (4, "red fox")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["duplicate_cascade"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, None), (2, None), (3, "title"), (4, "title")]
