@@ -1,21 +1,12 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from quern.llm.common import table
+from quern.llm import near_copies
 from quern.llm.near_copies import keep_one
 
-from .test_packing import check
-from .test_pipeline import corpus, frame, texts
-from .test_suffix_dedup import brute
-
-
-def shingle_set(text):
-    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
+from .shingles import components, jaccard, shingle_set
 
 
 def planted():
@@ -39,23 +30,6 @@ def planted():
     return [*out, "a b", "A  b", "", None, " \n"]
 
 
-def components(texts):
-    sets = [shingle_set(t) for t in texts]
-    root = list(range(len(sets)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(sets)):
-        for j in range(i):
-            if jaccard(sets[i], sets[j]) >= 0.8:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return {find(i) for i in range(len(sets))}
-
-
 def test_against_all_pairs(spark):
     texts = planted()
     pairs = [jaccard(shingle_set(texts[i]), shingle_set(texts[i + 1])) for i in range(0, 192, 2)]
@@ -80,15 +54,24 @@ def test_null_and_repeated_ids(spark):
     assert sorted(kept.collect(), key=str) == sorted([(7, "x y z"), (None, "only here"), (9, "some other text that is longer")], key=str)
 
 
-def test_stages_of_the_pipeline_corpus(spark):
-    docs = frame(spark, corpus()).repartition(3)
-    stages = dict(corpus_pipeline.STAGES)
-    lines = table(stages["line_dedup"](spark, table(stages["quality_rules"](spark, docs, ""), "t"), ""), "t")
-    near = table(stages["near_duplicates"](spark, lines, ""), "t")
-    rows = sorted(set(texts(lines)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    assert sorted(map(str, (r.doc_id for r in near.collect()))) == sorted(str(rows[i][0]) for i in components([t for _, t in rows]))
-    cut = table(stages["suffix_dedup"](spark, near, ""), "t")
-    want = brute(texts(near))
-    lost = sum(len(t.encode()) for _, t in texts(near)) - sum(len(t.encode()) for _, t in texts(cut))
-    assert 0 <= lost - sum(r[1] for r in want) <= 2 * sum(r[2] for r in want)
-    check(stages["packing"](spark, cut, "").collect(), texts(cut))
+@pytest.mark.parametrize("chunk", [2_000, 20_000, 200_000])
+def test_chunks(spark, monkeypatch, chunk):
+    """Components of many chunks: near copies of one text, beside texts that share a band with them but aren't alike."""
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "ROWS", 2)  # bands that bring unlike texts together
+    monkeypatch.setattr(near_copies, "BANDS", 10)
+    monkeypatch.setattr(near_copies, "_TURN", near_copies._TURN[:20])
+    monkeypatch.setattr(near_copies, "_TIMES", near_copies._TIMES[:20])
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8)))
+    base = [word() for _ in range(150)]
+    texts = []
+    for k in range(160):
+        text = list(base)
+        for _ in range(rnd.choice([1, 2, 6, 12])):
+            text[rnd.randrange(150)] = word()
+        texts.append(" ".join(text))
+    texts += [" ".join([*base[:75], *(word() for _ in range(75))]) for _ in range(20)]
+    texts += [texts[-1] + " and", texts[-2] + " or"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(components(texts))

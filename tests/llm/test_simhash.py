@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from quern.llm import simhash
 from quern.llm.simhash import fingerprint, keep_one, near_duplicates, trie_components
 
 
@@ -80,6 +81,26 @@ def test_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted({w[3] for w in want})
 
 
+def test_crowded_prefixes(spark, monkeypatch):
+    """Prefixes dealt on by sub-blocks give the same components, whatever the partitions."""
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(3)]
+    values = {b ^ sum({1 << rnd.randrange(64) for _ in range(rnd.randint(0, 4))}) for b in base for _ in range(60)}
+    data = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(sorted(values))]
+    want = slow_components([i for i, _ in data], sorted(values))
+    prints = spark.createDataFrame([(i, 0, v) for i, v in data], "id long, th long, fp long")
+    for crowd, parts in ((1 << 19, 4), (5, 1), (5, 13)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "TASK", 1 << 20 if parts != 13 else 60)
+        got = {r.fp: r.component_id for r in simhash.components(prints.repartition(parts)).collect()}
+        assert [got[v] for _, v in data] == want
+
+
+def test_long_text():
+    text = "ab cd ef " * 60_000
+    assert fingerprint(text) == slow_print(text)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0 and keep_one(docs).count() == 0
