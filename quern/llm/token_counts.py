@@ -1,4 +1,4 @@
-"""Token counts by a compiled finite-state transducer.
+"""Token counts by compiled finite-state transducers.
 
 The pre-tokenizer's pattern is a deterministic transducer over 12 classes of
 characters and 12 states that emits, with a delay of one character at most,
@@ -7,30 +7,29 @@ into lanes.  All lanes run at once from every state; the resulting state maps
 compose by a parallel prefix scan, which gives each lane its true first state,
 and a second run emits the starts.
 
-A piece is then read by a second automaton, a trie whose symbols are eight bytes:
-pieces of a batch that take the same transitions end in the same state.  That
-state's annotation is the count of tokens emitted on the way.  It is compiled
-when the state first appears, with the tokenizer's own merges, and remembered.
+The merges are a second transducer, over bytes (``merge_automaton``), whose
+transitions carry the change in the count of tokens.  It begins anew at each piece,
+so all pieces run at once, and a piece's count is the sum along its path whatever
+its length; a text's count is the difference of a prefix sum over the pieces.  No
+tokenizer library takes part.
 
 Null text counts as empty.  The special token's string in a text is that token,
-as the library takes it by default.
+as the library takes it by default.  Repeated rows and null ids are rows like others.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced, strings
-from .vocabulary import REMEMBERED, SPECIAL, Classes, Memory, default_path
+from .merge_automaton import MergeAutomaton
+from .vocabulary import SPECIAL, Classes, default_path
 
 # classes
 SPACE, OTHER_SPACE, LETTER, NUMBER, OTHER, APOSTROPHE, STMD, R, V, L_, E_, END = range(12)
@@ -39,13 +38,8 @@ NONE, ONE_SPACE, ONE_OTHER, RUN_SPACE, RUN_OTHER, LETTERS, NUMBERS, OTHERS, QUOT
 #: Emissions: a piece starts here; at the character before.
 HERE, BEFORE = 1, 2
 WORDS = (LETTER, STMD, R, V, L_, E_)
-LONG = 256
 #: Characters after which lanes are looked at for having come to one state.
 SETTLING = 64
-#: Bytes that stand for the special token; no text has them.
-MARK = b"\xed\xa0\x81"
-#: First bytes of the white space beyond ASCII.
-SPACE_LEADS = frozenset((0xC2, 0xE1, 0xE2, 0xE3))
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -153,38 +147,10 @@ def piece_starts(classes: np.ndarray, lanes: int = 4096) -> np.ndarray:
     return starts & (classes != END)
 
 
-def end_states(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the states that the pieces end in, and a piece for each state.  ``data`` has 8 spare bytes."""
-    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    final, base = np.empty(len(start), np.int64), 0
-    live, state, depth = np.flatnonzero(length <= LONG), np.zeros((length <= LONG).sum(), np.int64), 0
-    padded = not (data[:-8] == 0).any()  # then the zeros after a piece's last byte can't be its own
-    while len(live):
-        left = length[live] - depth
-        take = np.minimum(left, 8)
-        symbol, symbols = pd.factorize(words[start[live] + depth] & masks[take])
-        if padded and not depth:
-            state, states = symbol, symbols
-        else:
-            state, states = pd.factorize((state * len(symbols) + symbol) * 9 + take)
-        done = left <= 8
-        final[live[done]] = base + state[done]
-        base += len(states)
-        live, state, depth = live[~done], state[~done], depth + 8
-    seen: dict[bytes, int] = {}
-    for i in np.flatnonzero(length > LONG).tolist():
-        final[i] = seen.setdefault(data[start[i] : start[i] + length[i]].tobytes(), base + len(seen))
-    number, _ = pd.factorize(final)
-    example = np.empty(number.max(initial=-1) + 1, np.int64)
-    example[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-    return number, example
-
-
-def read(texts: list[str], special: bool = False) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The end state of each piece of ``texts``, in order; the bytes that lead to each state; how many pieces there are up to each text's end.
-
-    ``special``: the special token's string is a piece of its own, ``MARK``.
+def cut(texts: list[str], special: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes with 8 spare ones, each piece's place and length, whether it is special, and how many pieces there are up to each text's end.
+
+    ``special``: the special token's string is a piece of its own.
     """
     joined = "".join([f"{x.replace(SPECIAL, chr(0xD801)) if special and SPECIAL in x else x}\ud800" for x in texts])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -195,81 +161,44 @@ def read(texts: list[str], special: bool = False) -> tuple[np.ndarray, list[byte
         starts |= points == 0xD801
     edges, ends = np.flatnonzero(starts | (classes == END)), np.flatnonzero(points == 0xD800)
     place = np.flatnonzero((data & 0xC0) != 0x80)[edges]  # where the characters begin
-    del points, joined
     which = np.flatnonzero(starts[edges])
+    marks = points[edges[which]] == 0xD801
     start, length = place[which], place[np.minimum(which + 1, len(place) - 1)] - place[which]
-    state, example = end_states(data, start, length)
-    raw = data.tobytes()
-    pieces = [raw[a : a + n] for a, n in zip(start[example].tolist(), length[example].tolist(), strict=True)]
-    return state, pieces, np.searchsorted(edges[which], ends)
-
-
-class Annotations:
-    """What is emitted on the way to a state: its tokens' ids, little-endian unsigned 32-bit numbers."""
-
-    _open: dict[str, "Annotations"] = {}
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = self.tokenizer.token_to_id(SPECIAL)
-        self.special = None if special is None else int(special).to_bytes(4, "little")
-        self.known = Memory(REMEMBERED)
-        size = self.tokenizer.get_vocab_size()
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])  # with a space
-
-    @classmethod
-    def of(cls, path: str) -> "Annotations":
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
-
-    def of_states(self, pieces: list[bytes]) -> list[bytes]:
-        if self.special is not None:
-            self.known[MARK] = self.special
-        new = self.known.unknown(set(pieces))
-        # Pieces of a space and what isn't one can stand in a row: the next one's space ends each, and begins its first token.
-        spaced = [x for x in new if x[:1] == b" " and x[1:2] > b" " and x[1] not in SPACE_LEADS]
-        for i in range(0, len(spaced), 20_000):
-            part = spaced[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(part):
-                raise ValueError("the tokenizer joins pieces")
-            self._put(part, ids, np.r_[starts, len(ids)])
-        alone = list(set(new).difference(spaced)) if spaced else new
-        for i in range(0, len(alone), 50_000):
-            part = alone[i : i + 50_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)]
-            self._put(part, np.array(list(chain.from_iterable(ids)), "<u4"), np.r_[0, np.cumsum(list(map(len, ids)))])
-        return list(map(self.known.__getitem__, pieces))
-
-    def _put(self, pieces: list[bytes], ids: np.ndarray, edges: np.ndarray) -> None:
-        raw, cuts = ids.tobytes(), (4 * edges).tolist()
-        self.known.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+    return data, start, length, marks, np.searchsorted(edges[which], ends)
+
+
+def _special(path: str) -> tuple[MergeAutomaton, int | None]:
+    automaton = MergeAutomaton.of(path)
+    if set(automaton.added) - {SPECIAL}:
+        raise ValueError(f"special tokens other than {SPECIAL}")
+    return automaton, automaton.added.get(SPECIAL)
+
+
+def _up_to(totals: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Prefix sums over the pieces, at the beginning of the first text and at each one's end."""
+    return np.r_[0, np.cumsum(totals)][np.r_[0, ends]]
 
 
 def count(texts: list[str], path: str) -> np.ndarray:
     """Tokens of each text."""
-    annotations = Annotations.of(path)
-    state, pieces, ends = read(texts, annotations.special is not None)
-    emitted = np.fromiter(map(len, annotations.of_states(pieces)), np.int64, len(pieces)) // 4
-    return np.diff(np.r_[0, np.cumsum(emitted[state])][np.r_[0, ends]])
+    automaton, special = _special(path)
+    data, start, length, marks, ends = cut(texts, special is not None)
+    totals = np.ones(len(start), np.int64)
+    totals[~marks] = automaton.run(data, start[~marks], length[~marks])
+    return np.diff(_up_to(totals, ends))
 
 
 def ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit numbers."""
-    annotations = Annotations.of(path)
-    state, pieces, ends = read(texts, annotations.special is not None)
-    emitted = annotations.of_states(pieces)
-    size = np.fromiter(map(len, emitted), np.int64, len(emitted)) // 4
-    flat, first = np.frombuffer(b"".join(emitted), "<u4"), np.cumsum(size) - size
-    n = size[state]
-    total = np.r_[0, np.cumsum(n)]
-    out = flat[np.repeat(first[state] - total[:-1], n) + np.arange(total[-1])].tobytes()
-    cuts = (4 * total[np.r_[0, ends]]).tolist()
+    automaton, special = _special(path)
+    data, start, length, marks, ends = cut(texts, special is not None)
+    totals = np.ones(len(start), np.int64)
+    totals[~marks], flat = automaton.ids(data, start[~marks], length[~marks])
+    if marks.any():
+        whole = np.full(int(totals.sum()), special, "<u4")
+        whole[np.repeat(~marks, totals)] = flat
+        flat = whole
+    out, cuts = flat.tobytes(), (4 * _up_to(totals, ends)).tolist()
     return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
 

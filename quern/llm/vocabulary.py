@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
-import regex
 
 #: Words remembered by a Python worker; beyond that the memory starts anew.
 REMEMBERED = 500_000
@@ -38,11 +39,20 @@ class Memory(dict):
         return new
 
 
+# Letters and numbers that Unicode 16.0 added to 15.1, first and last code point of each run.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# End of fixed values.
+
+
 class Classes:
-    """Letters, numbers and white space as the libraries' Unicode version has them.
+    """Letters (0), numbers (1), white space (2) and others (3) of Unicode 16.0, as the tokenizers' libraries have them.
 
-    ``regex`` and ``unicodedata`` bracket that version: where they agree, so do
-    the libraries; on the few thousand other code points the library is asked.
+    Python's own tables may be of 15.1; what 16.0 added is stated above.
     """
 
     _known: "Classes | None" = None
@@ -50,20 +60,16 @@ class Classes:
     def __init__(self) -> None:
         import unicodedata
 
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        cut = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        points = np.frombuffer(every.encode("utf-32-le"), "<u4")
-        self.kind = np.full(0x110000, 3, np.uint8)  # 0 letter, 1 number, 2 space, 3 other
-        for k, pattern in enumerate((r"\p{L}", r"\p{N}", r"\s")):
-            self.kind[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), "<u4")] = k
-        major = np.full(0x110000, 3, np.uint8)
-        major[points] = ["LN".find(unicodedata.category(c)[0]) % 4 for c in every]
-        major[self.kind == 2] = 2
-        for c in np.flatnonzero(major != self.kind).tolist():
-            x = chr(c)
-            self.kind[c] = next((k for k, lead in ((0, "a"), (1, "1"), (3, "!")) if len(cut(lead + x)) == 1), 2)
+        self.kind = np.full(0x110000, 3, np.uint8)
+        for i in chain(range(0xD800), range(0xE000, 0x110000)):
+            c = chr(i)
+            if (major := unicodedata.category(c)[0]) in "LN":
+                self.kind[i] = major == "N"
+            elif c.isspace() and not 0x1C <= i <= 0x1F:
+                self.kind[i] = 2
+        for k, runs in enumerate((NEW_LETTERS, NEW_NUMBERS)):
+            for first, last in runs:
+                self.kind[first : last + 1] = k
 
     @classmethod
     def get(cls) -> "Classes":
