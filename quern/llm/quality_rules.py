@@ -1,10 +1,14 @@
 """Weak supervision of text quality: rules vote or abstain, and expectation-maximisation weighs them.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text's measures.  The
-corpus is summarised by the count of each vote pattern, 3 ** rules at most, over
-all documents.  Expectation-maximisation estimates each rule's accuracy on good
-and on bad texts and the share of good ones; an abstention says nothing.  A text
-is kept if its posterior probability of being good is ``THRESHOLD`` at least.
+corpus is summarised by the count of each vote pattern that occurs, 3 ** rules at
+most, over all documents.  Expectation-maximisation estimates the share of good
+texts and, for each rule, how often its vote is good on good texts and bad on bad
+ones; an abstention says nothing.  Nothing ties a rule to its meaning but where the
+rounds begin and a weak prior (``PRIOR``, three texts' worth): a rule whose bad
+votes other rules don't share comes out as one that errs, and its vote alone
+rejects nothing.  A text is kept if it passes the base rules and its posterior
+probability of being good is ``THRESHOLD`` at least.
 
 Words are maximal runs without ASCII white space.  Null text counts as empty:
 it has no words, so the base rules reject it.  No key is used, so null or
@@ -13,22 +17,27 @@ repeated ids and clashing column names don't matter.
 
 from __future__ import annotations
 
-import itertools
 import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import fresh, release, strings, table
+from .common import release, sliced, strings, table
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters", "n_odd_words", "n_stutters", "n_plain")
 THRESHOLD = 0.5
-#: A good text draws a bad vote from a rule at most one time in a thousand: what the rules' limits are set for.
-PRECISE = 0.999
+#: Where the rounds begin (share of good texts, right votes on good and on bad ones), and the prior's right and wrong votes of a rule.
+BEGIN, PRIOR = (0.8, 0.9, 0.6), (2, 1)
+#: Rounds end when no estimate moves by more, or after so many.
+STILL, ROUNDS = 1e-9, 1000
 WINDOW = 8
 _ALL = np.arange(256)
 _SYMBOL = np.isin(_ALL, list(b"#*$%&|<>"))
@@ -37,6 +46,9 @@ _UPPER = (_ALL >= 65) & (_ALL <= 90)
 _LETTER = _UPPER | (_ALL >= 97) & (_ALL <= 122)
 _SPACE = (_ALL >= 9) & (_ALL <= 13) | (_ALL == 32)
 _STARTS = (_ALL & 0xC0) != 0x80
+_PLAIN = _LETTER | (_ALL >= 48) & (_ALL <= 57) | (_ALL >= 0xC0)
+#: A word without letter or digit, or with two ASCII signs in a row.
+_odd = re.compile(rb"(?<!\S)(?:[^\s0-9A-Za-z\x80-\xff]+(?!\S)|[^\s!-/:-@\[-`{-~]*(?:[!-/:-@\[-`{-~][^\s!-/:-@\[-`{-~]+)*[!-/:-@\[-`{-~]{2}\S*)").findall
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -68,6 +80,7 @@ def measure(text: str) -> tuple[int, ...]:
     return (
         len(words), int(count[_STARTS].sum() - count[_SPACE].sum()), int(count[_SYMBOL].sum()), len(lines) - len(set(lines)),
         repeat_words(words), len(lines), int(count[_MARK].sum()), int(count[_UPPER].sum()), letters,
+        len(_odd(data)), sum(map(eq, words, islice(words, 1, None))), int(count[_PLAIN].sum()),
     )
 
 
@@ -86,6 +99,9 @@ def rules() -> dict[str, Column]:
         "lines": vote(c("n_dup_lines"), c("n_lines"), 0.2, 0.5),
         "marks": vote(c("n_marks"), c("n_words"), 0.2, 0.6),
         "capitals": vote(c("n_upper"), c("n_letters"), 0.3, 0.7),
+        "odd_words": vote(c("n_odd_words"), c("n_words"), 0.1, 0.3),
+        "stutters": vote(c("n_stutters"), c("n_words"), 0.1, 0.3),
+        "signs": vote(c("word_chars") - c("n_plain"), c("word_chars"), 0.08, 0.15),
     }
 
 
@@ -109,76 +125,90 @@ def votes_of(code: int, n: int) -> list[int]:
     return out[::-1]
 
 
-def fit(counts: dict[int, int], n: int, rounds: int = 100) -> dict[int, float]:
-    """Posterior probability of good for each of the 3 ** n patterns, from the patterns' counts."""
-    every = np.array(list(itertools.product((-1, 0, 1), repeat=n)), np.int8)
-    weight = np.zeros(len(every))
-    for k, v in counts.items():
-        weight[k] = v
-    up, down = every == 1, every == -1
-    # Where to start, and pseudo-counts that hold the classes to their meaning: rules are right more often than not.
-    share, good, bad = 0.7, np.full(n, 0.999), np.full(n, 0.2)
-    for _ in range(rounds):
+@dataclass(frozen=True)
+class Model:
+    share: float
+    good: list[float]
+    bad: list[float]
+
+    def weights(self) -> tuple[float, list[tuple[float, float]]]:
+        """Log odds of good before the votes, and what each rule's good and bad vote adds."""
+        own = [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(self.good, self.bad, strict=True)]
+        return math.log(self.share / (1 - self.share)), own
+
+
+def fit(counts: dict[int, int], n: int) -> Model:
+    """The estimates, from the counts of the vote patterns of ``n`` rules."""
+    codes = sorted(counts)
+    votes = np.array([votes_of(k, n) for k in codes], np.int8).reshape(-1, n)
+    weight = np.array([counts[k] for k in codes], float)
+    up, down = votes == 1, votes == -1
+    right, wrong = PRIOR
+    share, good, bad = BEGIN[0], np.full(n, BEGIN[1]), np.full(n, BEGIN[2])
+    for _ in range(ROUNDS):
         odds = math.log(share / (1 - share)) + up @ np.log(good / (1 - bad)) + down @ np.log((1 - good) / bad)
         p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         a, b = p * weight, (1 - p) * weight
-        share = (a.sum() + 7) / (weight.sum() + 10)
-        good = np.clip((a @ up + 9.99) / (a @ up + a @ down + 10), PRECISE, 0.9999)
-        bad = np.clip((b @ down + 2) / (b @ up + b @ down + 10), 0.05, 0.9999)
-        good = np.maximum(good, 1 - 0.5 * bad)  # a bad vote always counts against
-    return {i: float(x) for i, x in enumerate(p)}
-
-
-def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> tuple[DataFrame, list[str]]:
-    """``docs`` with the measures as further columns."""
-    names = [fresh(docs, prefix + x) for x in MEASURES]
-    kinds = ", ".join(f"{x} long" for x in MEASURES)
+        before = np.r_[share, good, bad]
+        share = (a.sum() + 1) / (weight.sum() + 2)
+        good = (a @ up + right) / (a @ up + a @ down + right + wrong)
+        bad = (b @ down + right) / (b @ up + b @ down + right + wrong)
+        if np.abs(np.r_[share, good, bad] - before).max() <= STILL:
+            break
+    return Model(float(share), good.tolist(), bad.tolist())
 
-    @F.pandas_udf(f"struct<{kinds.replace(' long', ': long')}>")
-    def take(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure("" if t is None else t) for t in texts], columns=list(MEASURES)).astype("int64")
 
-    found = fresh(docs, "_measured")
-    out = docs.withColumn(found, take(text))
-    return out.withColumns({n: F.col(f"{found}.{m}") for n, m in zip(names, MEASURES, strict=True)}).drop(found), names
+def _measures(texts: list[str]) -> list[pa.Array]:
+    rows = [measure(x) for x in texts]
+    return [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(MEASURES)
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and the measures of each row."""
-    schema = pa.schema([("id", pa.int64()), *((x, pa.int64()) for x in MEASURES)])
+def features(docs: DataFrame, doc_id: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """id (null without ``doc_id``) and the measures of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(x) for x in strings(batch, "text")]
-            yield pa.record_batch([batch.column(0), *(list(x) for x in zip(*rows, strict=True))] if rows else [[] for _ in schema], schema=schema)
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_measures(strings(batch, "text"))], ["id", *MEASURES])
 
-    ddl = "id long, " + ", ".join(f"{x} long" for x in MEASURES)
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, ddl)
+    key = F.col(doc_id) if doc_id else F.lit(None)
+    return docs.select(key.cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in MEASURES))
 
 
-def posteriors(found: DataFrame) -> dict[int, float]:
+def learned(found: DataFrame) -> Model:
     """Fitted on the counts of all rows' vote patterns."""
-    counts = {r[0]: r[1] for r in found.groupBy(pattern().alias("p")).count().collect()}
+    counts = {r[0]: r[1] for r in found.groupBy(pattern().alias("p")).count().collect()}  # a row for each pattern
     return fit(counts, len(rules()))
 
 
-def posterior(known: dict[int, float]) -> Column:
-    return F.element_at(F.array(*(F.lit(known[i]) for i in range(len(known)))), pattern() + 1)
+def posterior(model: Model) -> Column:
+    odds, own = model.weights()
+    out = F.lit(odds)
+    for v, (up, down) in zip(rules().values(), own, strict=True):
+        out = out + F.when(v == 1, up).when(v == -1, down).otherwise(0.0)
+    return 1 / (1 + F.exp(-out))
+
+
+def kept(model: Model) -> Column:
+    return ~base_failed() & (posterior(model) >= THRESHOLD)
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and the posterior probability."""
     found = table(features(docs, doc_id, text), "features")
-    p = posterior(posteriors(found))
-    return found.select(F.col("id").alias("doc_id"), *MEASURES[:5], base_failed().alias("base_failed"), (~base_failed() & (p >= THRESHOLD)).alias("kept"), p.alias("quality"))
+    model = learned(found)
+    return found.select(F.col("id").alias("doc_id"), *MEASURES[:5], base_failed().alias("base_failed"), kept(model).alias("kept"), posterior(model).alias("quality"))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept.  Measures are taken twice rather than moved: no shuffle but that of the counts."""
-    known = posteriors(features(docs.withColumn(fresh(docs, "_id"), F.lit(0)), fresh(docs, "_id"), text))
+    model = learned(features(docs, None, text))
     release(docs.sparkSession)
-    held = fresh(docs, "_row")
-    schema_names = docs.columns
-    boxed = docs.select(F.struct(*schema_names).alias(held), F.col(text).alias("_text_"))
-    out, names = measured(boxed, "_text_", "")
-    return out.where(~base_failed() & (posterior(known) >= THRESHOLD)).select(f"{held}.*")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # so that no name clashes with a measure's
+    names, own = plain.columns, f"c{docs.columns.index(text)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, own):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_measures(strings(batch, own))], [*names, *MEASURES])
+
+    schema = StructType([*plain.schema.fields, *(StructField(x, LongType()) for x in MEASURES)])
+    return plain.mapInArrow(run, schema).where(kept(model)).select(*names).toDF(*docs.columns)
