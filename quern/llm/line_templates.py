@@ -2,12 +2,16 @@
 
 The tree has a fixed depth.  A line goes down by its count of tokens and by its
 ``DEPTH`` leading tokens, tokens with digits counting as the variable field, to a
-leaf.  In a leaf a line is a row of fields: its tokens, or, for a line of more
-than ``FIELDS`` tokens, ``FIELDS`` runs of tokens.  A field value that stands at
-its place in ``min_docs`` documents or more is constant there, any other one is
-variable; a line's template is its leaf and its constant fields.  A line with
-too few constant fields (under ``SIMILAR`` of them) has no template but itself,
-and so have lines of under four tokens.
+leaf.  There a line is the row of its tokens, whatever its length.  A token is
+constant at its place if it goes with its neighbours: if it stands in half or more
+(``SHARE``) of the lines of the leaf, or of those that have the same token just
+before it, or just after it.  That is a share, so a slot with many values stays
+variable however often each of them occurs.  Lines are counted once for each
+document, and a token or neighbour in fewer than ``min_docs`` of them proves nothing.
+
+A line's template is its leaf and its constant tokens, if these are three or more,
+``SIMILAR`` of the tokens without digits and half of all tokens.  Any other line has
+no template but itself, digits included, and so have lines of under four tokens.
 
 A template that occurs in ``min_docs`` documents or more is boilerplate: its lines
 stay in the first document that has them (least id, null first, then least hash of
@@ -16,83 +20,103 @@ Blank lines stay.  Null text stays null.  Rows that agree in id and text are one
 document.  A document may end up with an empty text; its row stays.
 
 Only counts by hash move, with combination before each shuffle; texts meet the
-numbers of their lines to drop in one shuffle by document.
+numbers of their lines to drop in one shuffle by document.  Tokens are 32-bit hashes
+within a leaf and place, lines 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_key, release, table, text_key
+from .common import fresh, id_key, release, sliced, table, text_key
 
-DEPTH, FIELDS, SIMILAR, MIN_DOCS = 2, 8, 0.7, 5
+DEPTH, SHARE, SIMILAR, MIN_DOCS = 2, 0.5, 0.7, 5
+#: Constant tokens, and tokens, that a template has at least.
+CONSTANTS, SHORT = 3, 4
 _DIGIT = re.compile(rb"[0-9]").search
 _hash = xxhash.xxh64_intdigest
 _SIGN = 1 << 63
+VARIABLE = 0
 
-LINES = "id long, th long, line int, leaf long, sig long, fields array<long>, new int"
-
-
-def fields_of(line: bytes) -> tuple[int, list[int]] | None:
-    """Leaf and fields of a line; None for a blank one."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    if _DIGIT(line):
-        tokens = [b"<*>" if _DIGIT(t) else t for t in tokens]
-    n = len(tokens)
-    leaf = _hash(b"%d " % n + b" ".join(tokens[:DEPTH])) - _SIGN
-    if n <= FIELDS:
-        return leaf, [_hash(t) - _SIGN for t in tokens]
-    edges = [n * k // FIELDS for k in range(FIELDS + 1)]
-    return leaf, [_hash(b" ".join(tokens[a:b])) - _SIGN for a, b in zip(edges, edges[1:])]
+LINES = "id long, th long, line int, leaf long, sig long, tokens array<int>, new int"
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line that isn't blank; ``new`` has a bit for each field value, and one for the leaf, first seen in its document."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("sig", pa.int64()), ("fields", pa.list_(pa.int64())), ("new", pa.int32())])
-    for batch in batches:
-        rows = []
+    """A row for each line that isn't blank.  ``new``: 1 if its leaf, plus 2 if the line, is the document's first such one."""
+    code = zlib.crc32
+    for batch in sliced(batches, "text"):
+        rows, flat, ends = [], [], [0]
         for i, th, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
             seen: set = set()
             for k, line in enumerate((text or "").encode().split(b"\n")):
-                found = fields_of(line)
-                if found is None:
+                tokens = line.split()
+                if not tokens:
                     continue
-                leaf, fields = found
-                new = 0
-                for place, key in enumerate([leaf, *((leaf, p, f) for p, f in enumerate(fields))]):
-                    if key not in seen:
-                        seen.add(key)
-                        new |= 1 << place
-                rows.append((i, th, k, leaf, _hash(np.array(fields, "<i8").tobytes()) - _SIGN, fields, new))
+                sig = _hash(b" ".join(tokens)) - _SIGN
+                if _DIGIT(line):
+                    tokens = [b"<*>" if _DIGIT(t) else t for t in tokens]
+                    flat += [VARIABLE if t == b"<*>" else code(t) or 1 for t in tokens]
+                else:
+                    flat += [code(t) or 1 for t in tokens]
+                leaf = _hash(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])) - _SIGN
+                ends.append(len(flat))
+                new = (leaf not in seen) + 2 * ((leaf, sig) not in seen)
+                seen.add(leaf)
+                seen.add((leaf, sig))
+                rows.append((i, th, k, leaf, sig, new))
         if rows:
-            yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=schema)
+            id_, th, line, leaf, sig, new = zip(*rows, strict=True)
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint32).view(np.int32)))
+            columns = [pa.array(x, pa.int64()) for x in (id_, th)] + [pa.array(line, pa.int32()), pa.array(leaf, pa.int64()), pa.array(sig, pa.int64()), tokens, pa.array(new, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LINES.split(", ")])
+
+
+def constants(contents: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, sig, constants (place and token) of the lines ``contents`` (leaf, sig, tokens, weight) that have any."""
+    n = F.size("tokens")
+    pairs = F.posexplode(F.arrays_zip(F.slice("tokens", F.lit(1), n - 1).alias("left"), F.slice("tokens", F.lit(2), n - 1).alias("right"))).alias("place", "pair")
+    each = contents.select("leaf", "sig", "weight", pairs).select("leaf", "sig", "weight", "place", "pair.left", "pair.right")
+    # Counts are written before they are joined, so that Spark can split a hot leaf's rows in the joins.
+    both = table(each.groupBy("leaf", "place", "left", "right").agg(F.sum("weight").alias("both")), "pairs")
+    left = table(both.groupBy("leaf", "place", "left").agg(F.sum("both").alias("n_left")).where(F.col("n_left") >= min_docs), "left")
+    right = table(both.groupBy("leaf", "place", "right").agg(F.sum("both").alias("n_right")).where(F.col("n_right") >= min_docs), "right")
+    total = table(contents.groupBy("leaf").agg(F.sum("weight").alias("total")), "totals")
+    known = both.join(left, ["leaf", "place", "left"], "left").join(right, ["leaf", "place", "right"], "left").join(total, "leaf")
+
+    def fixed(side: str, other: str):
+        """Whether the token at one side is constant: by its share of the leaf, or of the lines with its neighbour."""
+        own, next_ = F.col(f"n_{side}"), F.col(f"n_{other}")  # null where they are too few
+        return F.coalesce((F.col(side) != VARIABLE) & own.isNotNull() & ((own >= SHARE * F.col("total")) | (F.col("both") >= SHARE * next_)), F.lit(False)).alias(f"fixed_{side}")
+
+    known = table(known.select("leaf", "place", "left", "right", fixed("left", "right"), fixed("right", "left")).where("fixed_left OR fixed_right"), "fixed")
+    marks = F.explode(F.array_compact(F.array(F.when(F.col("fixed_left"), F.struct("place", F.col("left").alias("token"))), F.when(F.col("fixed_right"), F.struct((F.col("place") + 1).alias("place"), F.col("right").alias("token")))))).alias("mark")
+    found = each.select("leaf", "sig", "place", "left", "right").join(known, ["leaf", "place", "left", "right"]).select("leaf", "sig", marks)
+    return found.groupBy("leaf", "sig").agg(F.sort_array(F.collect_set("mark")).alias("constants"))
 
 
 def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame:
     """id, th, lines: the numbers of the lines that go."""
     keyed = docs.select(id_key(doc_id).alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
     lines = table(keyed.where(F.octet_length("text") > 0).mapInArrow(scan, LINES), "lines")
-    # Counts are written before they are joined, so that Spark can split a hot leaf's rows in the joins.
     leaves = table(lines.where(F.col("new").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     live = table(lines.join(leaves, "leaf", "left_semi"), "live")
-    flags = F.posexplode("fields").alias("place", "value")
-    values = live.select("leaf", "new", flags).where(F.shiftright("new", 1).bitwiseAND(F.expr("shiftleft(1, place)")) != 0)
-    constant = table(values.groupBy("leaf", "place", "value").count().where(F.col("count") >= min_docs).select("leaf", "place", "value"), "constant")
-    contents = live.groupBy("leaf", "sig").agg(F.first("fields").alias("fields"))
-    marked = contents.select("leaf", "sig", flags).join(constant, ["leaf", "place", "value"])
-    marked = marked.groupBy("leaf", "sig").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("constants"))
-    whole = (F.size("fields") < 4) | (F.size("constants") < SIMILAR * F.size("fields")) | F.col("constants").isNull()
-    templates = table(contents.join(marked, ["leaf", "sig"], "left").select("leaf", "sig", F.when(whole, F.col("sig")).otherwise(F.xxhash64("constants")).alias("template")), "templates")
+    contents = table(live.where(F.col("new").bitwiseAND(2) == 2).groupBy("leaf", "sig").agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight")), "contents")
+    marked = constants(contents.where(F.size("tokens") >= SHORT), min_docs)
+    plain = F.size(F.filter("tokens", lambda x: x != VARIABLE))
+    held = F.size("constants")
+    enough = F.coalesce((held >= CONSTANTS) & (held >= SIMILAR * plain) & (2 * held >= F.size("tokens")), F.lit(False))
+    templates = contents.join(marked, ["leaf", "sig"], "left").select("leaf", "sig", F.when(enough, F.xxhash64("constants")).otherwise(F.col("sig")).alias("template"))
+    templates = table(templates, "templates")
     used = table(live.select("id", "th", "line", "leaf", "sig").join(templates, ["leaf", "sig"]).select("id", "th", "line", "leaf", "template"), "used")
     place = F.struct("id", "th")
     recurring = table(used.groupBy("leaf", "template").agg(F.count_distinct("id", "th").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs), "recurring")
@@ -120,7 +144,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     @F.pandas_udf("string")
     def kept(texts, numbers):
-        return texts.combine(numbers, lambda x, n: x if x is None or n is None else without(x, n))
+        return pd.Series([x if x is None or n is None else without(x, n) for x, n in zip(texts, numbers, strict=True)], dtype=object)
 
     return joined.withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(kept(text, lines))).select(*docs.columns)
 
@@ -132,7 +156,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_doc
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in ddl.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             rows = []
             for x, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x, gone = x or "", gone or []

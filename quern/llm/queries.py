@@ -76,20 +76,30 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS n FROM (SELECT doc_id, string_split(t, chr(10)) AS s FROM d)),
 k AS (
-  SELECT doc_id, n, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN regexp_split_to_array(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[\x09-\x0D ]+')] AS k
+  SELECT doc_id, n, regexp_split_to_array(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '[\x09-\x0D ]+') AS k
   FROM l WHERE trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
 ), f AS (
-  SELECT doc_id, n, len(k) || ' ' || array_to_string(k[1:2], ' ') AS leaf,
-         CASE WHEN len(k) <= 8 THEN k ELSE [array_to_string(k[len(k) * i // 8 + 1 : len(k) * (i + 1) // 8], ' ') FOR i IN range(8)] END AS f FROM k
-), e AS (SELECT doc_id, n, leaf, len(f) AS size, unnest(f) AS value, generate_subscripts(f, 1) AS place FROM f),
-c AS (SELECT leaf, place, value FROM e GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
-m AS (
-  SELECT e.doc_id, e.n, e.leaf, any_value(size) AS size, count(c.leaf) AS held,
-         string_agg(e.place || ':' || e.value, chr(10) ORDER BY e.place) AS whole, string_agg(e.place || ':' || e.value, chr(10) ORDER BY e.place) FILTER (c.leaf IS NOT NULL) AS part
-  FROM e LEFT JOIN c ON e.leaf = c.leaf AND e.place = c.place AND e.value = c.value GROUP BY e.doc_id, e.n, e.leaf
-), t AS (SELECT doc_id, n, leaf, CASE WHEN size < 4 OR held < 0.7 * size THEN 'whole ' || whole ELSE 'part ' || part END AS template FROM m),
-r AS (SELECT leaf, template, min(doc_id) AS first FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
-g AS (SELECT t.doc_id, t.n FROM t JOIN r USING (leaf, template) WHERE t.doc_id <> first),
+  SELECT doc_id, n, sig, f, len(f) || ' ' || array_to_string(f[1:2], ' ') AS leaf
+  FROM (SELECT doc_id, n, array_to_string(k, ' ') AS sig, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN k] AS f FROM k)
+), live AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+c AS (SELECT leaf, sig, any_value(f) AS f, count(DISTINCT doc_id) AS w FROM f WHERE leaf IN (FROM live) GROUP BY leaf, sig),
+e AS (SELECT leaf, sig, w, f[p] AS a, f[p + 1] AS b, p FROM (SELECT *, unnest(range(1, len(f))) AS p FROM c WHERE len(f) >= 4)),
+ab AS (SELECT leaf, p, a, b, sum(w) AS n FROM e GROUP BY ALL),
+na AS (SELECT leaf, p, a, sum(n) AS n FROM ab GROUP BY ALL HAVING sum(n) >= 5),
+nb AS (SELECT leaf, p, b, sum(n) AS n FROM ab GROUP BY ALL HAVING sum(n) >= 5),
+total AS (SELECT leaf, sum(w) AS n FROM c WHERE len(f) >= 4 GROUP BY leaf),
+fixed AS (
+  SELECT ab.leaf, ab.p, ab.a, ab.b, coalesce(ab.a <> '<*>' AND na.n IS NOT NULL AND (na.n >= 0.5 * total.n OR ab.n >= 0.5 * nb.n), false) AS fa,
+         coalesce(ab.b <> '<*>' AND nb.n IS NOT NULL AND (nb.n >= 0.5 * total.n OR ab.n >= 0.5 * na.n), false) AS fb
+  FROM ab JOIN total USING (leaf) LEFT JOIN na ON na.leaf = ab.leaf AND na.p = ab.p AND na.a = ab.a LEFT JOIN nb ON nb.leaf = ab.leaf AND nb.p = ab.p AND nb.b = ab.b
+), marks AS (
+  SELECT leaf, sig, e.p AS p, e.a AS token FROM e JOIN fixed USING (leaf, p, a, b) WHERE fa UNION SELECT leaf, sig, e.p + 1, e.b FROM e JOIN fixed USING (leaf, p, a, b) WHERE fb
+), m AS (SELECT leaf, sig, count(*) AS held, string_agg(p || ':' || token, chr(10) ORDER BY p) AS part FROM marks GROUP BY leaf, sig),
+t AS (
+  SELECT leaf, sig, CASE WHEN held >= 3 AND held >= 0.7 * len([x FOR x IN f IF x <> '<*>']) AND 2 * held >= len(f) THEN 'part ' || part ELSE 'whole ' || sig END AS template FROM c LEFT JOIN m USING (leaf, sig)
+), u AS (SELECT doc_id, n, leaf, template FROM f JOIN t USING (leaf, sig)),
+r AS (SELECT leaf, template, min(doc_id) AS first FROM u GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT u.doc_id, u.n FROM u JOIN r USING (leaf, template) WHERE u.doc_id <> first),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.n) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.n) FILTER (g.n IS NULL), '') AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id
 )
