@@ -51,10 +51,34 @@ def fingerprint(url: Column) -> Column:
     return F.concat(host(url), path(url))
 
 
+def without_dots(path_: Column) -> Column:
+    """A path with its "." and ".." segments resolved."""
+    parts = F.split(path_, "/")
+    last = F.element_at(parts, -1)
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.lit(1), F.size(acc) - 1))
+    done = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    folder = last.isin(".", "..")
+    return F.array_join(F.when(folder, F.concat(done, F.array(F.lit("")))).otherwise(done), "/")
+
+
 def absolute(url: Column, base: Column) -> Column:
-    root = F.concat(F.try_parse_url(base, F.lit("PROTOCOL")), F.lit("://"), host(base))
-    relative = F.concat(root, F.regexp_replace(path(base), "[^/]*$", ""), url)
-    return F.when(F.startswith(url, F.lit("http")), url).when(F.startswith(url, F.lit("/")), F.concat(root, url)).otherwise(relative)
+    """``url`` as a browser resolves it on a page at ``base``; null if neither has a scheme and host."""
+    scheme = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
+    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    own = F.substring(page, F.length(root) + 1, F.lit(1 << 20))
+    at = F.when(own == "", F.lit("/")).otherwise(own)
+    link, tail = F.regexp_extract(url, r"^[^?#]*", 0), F.regexp_extract(url, r"[?#].*$", 0)
+    here = F.regexp_replace(at, "[^/]*$", "")
+    resolved = (
+        F.when(F.startswith(url, F.lit("//")), F.concat(F.regexp_extract(base, scheme, 0), url))
+        .when(F.startswith(url, F.lit("/")), F.concat(root, without_dots(link), tail))
+        .when(url == "", F.concat(root, at, F.regexp_extract(base, r"\?[^#]*", 0)))
+        .when(F.startswith(url, F.lit("?")), F.concat(root, at, url))
+        .when(F.startswith(url, F.lit("#")), F.concat(root, at, F.regexp_extract(base, r"\?[^#]*", 0), url))
+        .otherwise(F.concat(root, without_dots(F.concat(here, link)), tail))
+    )
+    return F.when(url.rlike(scheme), url).when(root != "", resolved)
 
 
 def cache_key(url: Column) -> Column:

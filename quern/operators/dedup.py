@@ -18,22 +18,32 @@ def first_of_key(df: DataFrame, key: Column, seq: str) -> DataFrame:
 def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame:
     """Pairs (a < b) of rows with Jaccard similarity of ``least`` at least.
 
-    Exact, by prefix filtering: tokens are ordered by rarity, and two sets that
-    similar share one of each one's first size - ceil(least * size) + 1 tokens.
-    Rows with equal sets are one while pairs are sought, so copies cost no more.
+    Exact, by prefix and place: tokens are ordered by rarity, and two sets that
+    similar share one of each one's first size - ceil(least * size) + 1 tokens, at
+    places from which enough of both is left.  Only ids, sizes and places ride
+    along with the tokens; sets are joined to the candidates that are left.  Rows
+    with equal sets are one while pairs are sought, so copies cost no more.  What is
+    joined is written before, so Spark can split the rows of a frequent token.
     """
-    sets = df.select(seq, F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0)
-    distinct = sets.groupBy("t").agg(F.min(seq).alias("_first"))
-    each = distinct.select(F.col("_first").alias("id"), F.explode("t").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df"))
+    sets = df.select(seq, F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0).withColumn("_set", F.sha2(F.to_json("t"), 256))
+    sets = stored(sets)
+    first = stored(sets.groupBy("_set").agg(F.min(seq).alias("_first")))
+    distinct = stored(sets.join(first, (sets["_set"] == first["_set"]) & (F.col(seq) == F.col("_first"))).select(F.col("_first").alias("id"), "t"))
+    each = distinct.select("id", F.explode("t").alias("token"))
+    rarity = stored(each.groupBy("token").agg(F.count("*").alias("df")))
     ranked = each.join(rarity, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
     size = F.size("r")
-    prefix = ranked.select("id", size.alias("n"), F.col("r.token").alias("t"), F.explode(F.slice(F.col("r.token"), F.lit(1), size - F.ceil(least * size).cast("int") + 1)).alias("token"))
+    places = F.posexplode(F.slice(F.col("r.token"), F.lit(1), size - F.ceil(least * size).cast("int") + 1)).alias("place", "token")
+    prefix = stored(ranked.select("id", size.alias("n"), places))
     a, b = prefix.alias("a"), prefix.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & F.col("b.n").between(F.ceil(least * F.col("a.n")), F.floor(F.col("a.n") / least))
-    pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb")).dropDuplicates(["a", "b"])
-    scored = pairs.withColumn("similarity", S.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
-    copies = sets.join(distinct, "t").where(F.col(seq) != F.col("_first")).select(F.col("_first").alias("a"), F.col(seq).alias("b"), F.lit(1.0).alias("similarity"))
+    near &= left + F.least("a.place", "b.place") >= F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    pairs = stored(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    with_a = pairs.join(distinct.toDF("a", "ta"), "a")
+    both = with_a.join(distinct.toDF("b", "tb"), "b")
+    scored = both.withColumn("similarity", S.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    copies = sets.join(first, "_set").where(F.col(seq) != F.col("_first")).select(F.col("_first").alias("a"), F.col(seq).alias("b"), F.lit(1.0).alias("similarity"))
     return scored.unionByName(copies)
 
 
@@ -41,6 +51,31 @@ def composite(title_a: Column, title_b: Column, items_a: Column, items_b: Column
     return S.similarity(title_a, title_b, empty=0.0) * 0.6 + S.jaccard(items_a, items_b) * 0.4
 
 
+def composite_pairs(df: DataFrame, seq: str, title: str, items: str, least: float = 0.85) -> DataFrame:
+    """Pairs (a < b) whose composite score is ``least`` at least.
+
+    Titles give 0.6 at most, so items must have a similarity of (least - 0.6) / 0.4: pairs come from ``token_pairs``.
+    Rows of equal sets count by their first row there, so each pair of rows that one link stands for is scored by its own
+    titles: rows are joined to the sets' firsts, a title once for each set.
+    """
+    need = (least - 0.6) / 0.4
+    rows = stored(df.select(F.col(seq).alias("id"), F.col(title).alias("k"), F.array_sort(F.array_distinct(items)).alias("t")))
+    titles = rows.withColumn("set", F.sha2(F.to_json("t"), 256)).groupBy("set", "k").agg(F.min("id").alias("id"), F.first("t").alias("t"))
+    firsts = stored(titles.withColumn("first", F.min("id").over(Window.partitionBy("set"))))
+    links = token_pairs(firsts.where("id = first").select("id", "t"), "id", "t", need).select("a", "b", "similarity")
+    own = firsts.where(F.size("t") > 0).select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    links = stored(links.unionByName(own))
+    one = firsts.select(F.col("first").alias("a"), F.col("id").alias("x"), F.col("k").alias("kx"))
+    two = firsts.select(F.col("first").alias("b"), F.col("id").alias("y"), F.col("k").alias("ky"))
+    score = S.similarity(F.col("kx"), F.col("ky"), empty=0.0) * 0.6 + F.col("similarity") * 0.4
+    found = links.join(one, "a").join(two, "b").where("a <> b OR x < y").withColumn("score", score).where(F.col("score") >= least)
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+    copies = rows.withColumn("set", F.sha2(F.to_json("t"), 256)).join(firsts.select("set", "k", F.col("id").alias("a")), ["set", "k"]).where("id <> a")
+    same = F.when(F.length("k") > 0, 0.6).otherwise(0.0) + F.when(F.size("t") > 0, 0.4).otherwise(0.0)
+    copies = copies.select("a", F.col("id").alias("b"), same.alias("score")).where(F.col("score") >= least)
+    return found.unionByName(copies)
+
+
 def greedy(rows: DataFrame, edges: DataFrame, seq: str) -> DataFrame:
     """Rows kept when each is accepted unless it is like one accepted before: the first maximal independent set in order.
 

@@ -86,6 +86,11 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return ranged.join(counts, "_p").withColumn("number", F.col("_before") + own).drop("_p", "_m", "_before")
 
 
+def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows by the hash of seed and key: the same ones however the rows are partitioned."""
+    return df.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), key).limit(n)
+
+
 # Ordered patterns of messages.
 PATTERNS = (("timeout", "Network Timeout"), ("failed to fetch", "Fetch Error"), ("json-ld", "JSON-LD Parsing Error"), ("validation failed", "QA Validation Failed"), ("selector", "HTML Selector Error"), ("404", "404 Not Found"), ("50", "Server Error (5xx)"))
 REGISTRY = (("cloudflare|cf-ray", "cloudflare"), ("captcha", "captcha"), ("403|forbidden|unauthorized", "authentication"), ("429|rate limit", "rate_limit"), ("timeout|timed out", "timeout"), ("parse|invalid|format", "invalid_format"))

@@ -12,8 +12,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Step = Callable[[dict, dict, dict], tuple[dict, dict]]
 
@@ -184,31 +187,55 @@ MACHINES = {
 }
 
 
+def _same(a, b) -> bool:
+    return a == b or a != a and b != b
+
+
 def run_batch(events: DataFrame, machine: str, key: str, order: list[str], **settings) -> DataFrame:
     """The machine's output for each event of each key, in ``order``.
 
     Events are sorted by key and order within partitions and read in batches, so
-    only one state is held at a time, and a key of any length streams through.
+    only one state is held at a time, and a key of any length streams through (in
+    one task, since each step needs the one before).  Null is a key like others.
+    An event without time, status or outcome has no output and changes nothing.
     """
     m = MACHINES[machine]
-    kinds = dict(events.dtypes)
+    fields = {f.name: f for f in events.schema.fields}
     kept = [key, *order]
-    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in kept), m.output])
-    names = [x.split()[0] for x in m.output.split(", ")]
+    output = StructType.fromDDL(m.output)
+    schema = StructType([*(fields[c] for c in kept), *output.fields])
+    arrow = to_arrow_schema(output)
     every = m.settings | settings
+    needed = [c for c in ("at", "status", "ok") if c in fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = None, object()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current = dict(m.start), object()
         for batch in batches:
             rows = []
-            for e in batch.to_dict("records"):
-                if e[key] != current:
+            for e in batch.to_pylist():
+                if not _same(e[key], current):
                     state, current = dict(m.start), e[key]
+                if any(e[c] is None for c in needed):
+                    rows.append({})
+                    continue
                 state, out = m.step(state, e, every)
-                rows.append([out[n] for n in names])
-            result = batch[kept].copy()
-            for i, n in enumerate(names):
-                result[n] = [r[i] for r in rows]
-            yield result
+                rows.append(out)
+            columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], schema.names)
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def tracked(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The tracker's counts by a window: attempts of the key so far, and the rate of good ones."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = F.count("*").over(w)
+    return events.withColumns({"attempts": n.cast("int"), "rate": F.round(F.count_if(F.col("status") < 400).over(w) / n, 6)})
+
 
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, ddl)
+def blacklisted(events: DataFrame, key: str, window: int = 86_400_000, errors: int = 10, bots: int = 5) -> DataFrame:
+    """The blacklist's rule by a window over time (``at``, milliseconds): errors in it, and whether they are too many or mostly of one kind."""
+    w = Window.partitionBy(key).orderBy("at").rangeBetween(1 - window, Window.currentRow)
+    recent, refused = F.count_if(~F.col("ok")).over(w), F.count_if(~F.col("ok") & (F.col("status") == 403)).over(w)
+    listed = (recent >= errors) | ((refused >= bots) & (refused > 0.8 * recent))
+    return events.withColumns({"recent": recent.cast("int"), "listed": listed})

@@ -8,10 +8,9 @@ from ..functions import items as I
 from ..functions import text as T
 from ..functions.urls import host
 from ..operators import dedup as D
-from .matching import names, tokens
+from .matching import SHARED, TITLES, names, titled, tokens
 from .registry import query
 from .scoring import RECORD, fields, record
-from .texts import TITLE_KEY
 
 
 def values(rows, names_):
@@ -128,13 +127,15 @@ def integrity_score(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", I.integrity(F.col("l_quantity"), F.col("l_linenumber") * 10, F.col("l_discount") * 100, F.col("l_tax") * 100, F.lit(100)).alias("score"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {TITLE_KEY.format("split_part(text, chr(10), 1)")} AS k, list_distinct([x for x in string_split(lower(split_part(text, chr(10), 1)), ' ') if x <> '']) AS t FROM documents),
-  x AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first FROM d), j AS (SELECT DISTINCT b.doc_id FROM d a JOIN d b ON a.doc_id < b.doc_id AND len(a.t) > 0 AND len(list_intersect(a.t, b.t)) >= 0.75 * len(list_distinct(list_concat(a.t, b.t))))
-  SELECT x.doc_id, CASE WHEN first < x.doc_id THEN 'title' WHEN j.doc_id IS NOT NULL THEN 'ingredients' END AS match FROM x LEFT JOIN j ON x.doc_id = j.doc_id""")
+@query(f"""WITH {SHARED}, {TITLES}, d AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY k) AS first FROM k),
+  j AS (SELECT DISTINCT b AS doc_id FROM shared WHERE hits >= 0.75 * (n + m - hits)), c AS (SELECT DISTINCT b AS doc_id FROM composite WHERE score >= 0.85)
+  SELECT d.doc_id, CASE WHEN first < d.doc_id THEN 'title' WHEN j.doc_id IS NOT NULL THEN 'ingredients' WHEN c.doc_id IS NOT NULL THEN 'composite' END AS match FROM d LEFT JOIN j ON d.doc_id = j.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""")
 def duplicate_cascade(t):
-    docs = t("documents").select("doc_id", T.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k"))
+    """Title, items, composite; documents have no URL, so that stage finds none."""
+    docs = titled(t).select("doc_id", "k")
     first = docs.groupBy("k").agg(F.min("doc_id").alias("first"))
-    near = D.token_pairs(tokens(t), "doc_id", "t", 0.75).select(F.col("b").alias("doc_id")).distinct().withColumn("near", F.lit(True))
-    rows = docs.join(first.withColumnRenamed("k", "key"), F.col("k").eqNullSafe(F.col("key"))).join(near, "doc_id", "left")
-    no = F.lit(False)
-    return rows.select("doc_id", D.match_type(F.col("first") < F.col("doc_id"), no, F.coalesce("near", no), no).alias("match"))
+    yes, no = F.lit(True), F.lit(False)
+    near = D.token_pairs(tokens(t), "doc_id", "t", 0.75).select(F.col("b").alias("doc_id")).distinct().withColumn("near", yes)
+    both = D.composite_pairs(titled(t), "doc_id", "k", "t").select(F.col("b").alias("doc_id")).distinct().withColumn("both", yes)
+    rows = docs.join(first.withColumnRenamed("k", "key"), F.col("k").eqNullSafe(F.col("key"))).join(near, "doc_id", "left").join(both, "doc_id", "left")
+    return rows.select("doc_id", D.match_type(F.col("first") < F.col("doc_id"), no, F.coalesce("near", no), F.coalesce("both", no)).alias("match"))

@@ -144,28 +144,36 @@ def title_key_dedup(t):
     return D.first_of_key(t("part"), T.title_key(F.col("p_name")), "p_partkey").select("p_partkey")
 
 
-TOKENS = "SELECT doc_id, list_distinct([x for x in string_split(lower(split_part(text, chr(10), 1)), ' ') if x <> '']) AS t FROM documents"
+TOKENS = "SELECT doc_id, list_distinct([x for x in regexp_split_to_array(lower(coalesce(text, '')), '[ \n]+') if x <> '']) AS t FROM documents"
+# Pairs by tokens that both have; n and m are the sets' sizes.
+SHARED = f"""w AS ({TOKENS}), x AS (SELECT doc_id, len(t) AS n, unnest(t) AS token FROM w),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS hits FROM x a JOIN x b ON a.token = b.token AND a.doc_id < b.doc_id AND a.n <= b.n / 0.62 AND b.n <= a.n / 0.62 GROUP BY 1, 2)"""
 
 
 def tokens(t):
-    words = F.filter(F.split(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), " "), lambda x: x != "")
+    """The words of all lines."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \n]+"), lambda x: x != "")
     return t("documents").select("doc_id", F.array_distinct(words).alias("t"))
 
 
-@query(f"WITH w AS ({TOKENS}) SELECT DISTINCT greatest(a.doc_id, b.doc_id) AS doc_id FROM w a JOIN w b ON a.doc_id < b.doc_id AND len(a.t) > 0 AND len(list_intersect(a.t, b.t)) >= 0.75 * len(list_distinct(list_concat(a.t, b.t)))")
+@query(f"WITH {SHARED} SELECT DISTINCT b AS doc_id FROM shared WHERE hits >= 0.75 * (n + m - hits)")
 def token_jaccard_pairs(t):
-    return D.token_pairs(tokens(t), "doc_id", "t", 0.75).select(F.col("b").alias("doc_id")).distinct()
+    pairs = D.token_pairs(tokens(t), "doc_id", "t", 0.75)
+    return pairs.select(F.col("b").alias("doc_id")).distinct()
 
 
-@query(f"""WITH n AS (SELECT p_name, {TITLE_KEY.format('p_name')} AS k, string_split(p_name, ' ') AS t FROM {NAMES}) SELECT a.p_name AS a, b.p_name AS b, round(s, 6) AS score FROM (SELECT a, b, 0.6 * (CASE WHEN greatest(length(a.k), length(b.k)) = 0 THEN 0 ELSE 1 - levenshtein(a.k, b.k) / greatest(length(a.k), length(b.k)) END)
-  + 0.4 * len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM n a JOIN n b ON a.p_name < b.p_name) WHERE s >= 0.55 AND len(list_intersect(a.t, b.t)) > 0""")
+TITLES = f"""k AS (SELECT doc_id, {TITLE_KEY.format("split_part(text, chr(10), 1)")} AS k FROM documents), composite AS (SELECT a, b, 0.6 * (CASE WHEN greatest(length(ka.k), length(kb.k)) = 0 THEN 0 ELSE 1 - levenshtein(ka.k, kb.k) / greatest(length(ka.k), length(kb.k)) END) + 0.4 * hits / (n + m - hits) AS score
+  FROM shared JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE hits >= 0.625 * (n + m - hits))"""
+
+
+def titled(t):
+    """doc_id, k (key of the first line), t (the words of all lines)."""
+    return t("documents").select("doc_id", T.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k")).join(tokens(t), "doc_id")
+
+
+@query(f"WITH {SHARED}, {TITLES} SELECT DISTINCT b AS doc_id FROM composite WHERE score >= 0.85")
 def composite_pairs(t):
-    n = names(t).select("p_name", T.title_key(F.col("p_name")).alias("k"), F.split("p_name", " ").alias("t"))
-    each = n.select("p_name", "k", "t", F.explode("t").alias("w"))
-    a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.p_name") < F.col("b.p_name")))
-    score = D.composite(F.col("a.k"), F.col("b.k"), F.col("a.t"), F.col("b.t"))
-    return pairs.select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.round(score, 6).alias("score")).where("score >= 0.55").distinct()
+    return D.composite_pairs(titled(t), "doc_id", "k", "t").select(F.col("b").alias("doc_id")).distinct()
 
 
 @query()

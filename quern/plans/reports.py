@@ -214,9 +214,9 @@ def hash_order_sample(t):
     return t("part").orderBy(F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("7"))), "p_partkey").limit(25).select("p_partkey")
 
 
-@query()
+@query("SELECT p_partkey FROM part ORDER BY sha256('7:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 25")
 def random_sample(t):
-    return t("part").orderBy(F.rand(7)).limit(25).select("p_partkey")
+    return R.sampled(t("part"), "p_partkey", 25, 7).select("p_partkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 15 OFFSET 30")
@@ -276,5 +276,4 @@ def record_validity(t):
 
 @query("SELECT conv_id, bool_and(length(text) >= 10) AS valid FROM conversations GROUP BY 1")
 def workflow_validity(t):
-    texts = t("conversations").groupBy("conv_id").agg(F.collect_list("text").alias("texts"))
-    return texts.select("conv_id", F.forall("texts", lambda x: F.length(x) >= 10).alias("valid"))
+    return t("conversations").groupBy("conv_id").agg(F.bool_and(F.length("text") >= 10).alias("valid"))

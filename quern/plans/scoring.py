@@ -26,7 +26,6 @@ def record(t):
 
 
 NAMES = ("title", "description", "author", "source_url", "image_url", "items", "steps", "tags", "prep", "cook", "total", "servings", "calories")
-R = {k: F.col(k) for k in ()}
 
 
 def fields():

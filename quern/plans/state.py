@@ -37,7 +37,7 @@ def request_pacing(t):
 @query("""WITH e AS (SELECT event_id, user_id, ts, event_type, count(*) OVER w AS attempts, count(*) FILTER (event_type IN ('view', 'purchase')) OVER w AS good FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
   SELECT event_id, CAST(attempts AS INTEGER) AS attempts, round(good / attempts, 6) AS rate FROM e""")
 def error_tracker(t):
-    return Z.run_batch(events(t), "tracker", "user_id", ORDER).select("event_id", "attempts", "rate")
+    return Z.tracked(events(t), "user_id", ORDER).select("event_id", "attempts", "rate")
 
 
 @query()
@@ -52,7 +52,7 @@ def block_registry(t):
 
 @query("SELECT event_id, CAST(n AS INTEGER) AS recent, n >= 10 OR (b >= 5 AND b / n > 0.8) AS listed FROM (SELECT event_id, count(*) FILTER (event_type IN ('error', 'click', 'signup')) OVER w AS n, count(*) FILTER (event_type = 'click') OVER w AS b FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 604799999 PRECEDING AND CURRENT ROW))")
 def blacklist_rule(t):
-    return Z.run_batch(events(t), "blacklist", "user_id", ORDER, window=7 * DAY).select("event_id", "recent", "listed")
+    return Z.blacklisted(events(t), "user_id", window=7 * DAY).select("event_id", "recent", "listed")
 
 
 @query()

@@ -236,10 +236,16 @@ def slug_title(t):
     return t("pages").select("page_id", U.slug_title(F.col("url")).alias("title"))
 
 
-@query("SELECT page_id, i - 1 AS ord, CASE WHEN starts_with(link, 'http') THEN link ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || link END AS target FROM (SELECT page_id, url, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]+href=\"([^\"]+)\"', 1) AS l FROM pages)) WHERE link LIKE 'http%' OR link LIKE '/%'")
+# DuckDB has no fold with an index over unequal steps, so ".." goes by the pattern, a segment before it at a time.
+RESOLVED = """CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN link WHEN root = '' THEN NULL WHEN starts_with(link, '//') THEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:') || link
+  WHEN starts_with(link, '?') THEN root || page_path || link WHEN starts_with(link, '#') OR link = '' THEN root || page_path || regexp_extract(url, '[?][^#]*') || link
+  ELSE root || regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN starts_with(link, '/') THEN '' ELSE regexp_replace(page_path, '[^/]*$', '') END || regexp_extract(link, '^[^?#]*'), '/[.](/|$)', '/', 'g'), '/[^/]+/[.][.](/|$)', '/'), '/[^/]+/[.][.](/|$)', '/'), '^(/[.][.])+(/|$)', '/') || regexp_extract(link, '[?#].*$') END"""
+
+
+@query(f"""SELECT page_id, i - 1 AS ord, {RESOLVED} AS target FROM (SELECT *, CASE WHEN substr(regexp_replace(url, '[?#].*$', ''), length(root) + 1) = '' THEN '/' ELSE substr(regexp_replace(url, '[?#].*$', ''), length(root) + 1) END AS page_path
+  FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, unnest(l) AS link, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]+href="([^"]+)"', 1) AS l FROM pages)))""")
 def link_extract(t):
     found = t("pages").select("page_id", "url", F.posexplode(U.links(F.col("html"))).alias("ord", "link"))
-    found = found.where(F.startswith("link", F.lit("http")) | F.startswith("link", F.lit("/")))
     return found.select("page_id", F.col("ord").cast("long").alias("ord"), U.absolute(F.col("link"), F.col("url")).alias("target"))
 
 

@@ -12,9 +12,11 @@ FAILURES = "timestamp timestamp, website string, url string, failure_type string
 
 
 def site_list(spark: SparkSession, path: str, schema: str = SITES) -> DataFrame:
-    """A CSV site list with a header: blanks trimmed, sub-sitemaps split at semicolons, bad rows out, the first row of each host in file order."""
+    """A CSV site list with a header: blanks trimmed, sub-sitemaps split at semicolons, bad rows out, the first row of each host in order of file and line."""
     rows = spark.read.csv(path, schema=schema, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    rows = rows.withColumn("host", host(F.col("url"))).where(F.col("host").isNotNull()).withColumn("_seq", F.monotonically_increasing_id())
+    # a file's splits lie in order of their first byte, and the numbers of a split's rows rise
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    rows = rows.withColumn("_seq", place).withColumn("host", host(F.col("url"))).where(F.col("host").isNotNull())
     n = F.row_number().over(Window.partitionBy("host").orderBy("_seq"))
     subs = F.filter(F.transform(F.split(F.coalesce("sub_sitemaps", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.withColumn("_n", n).where("_n = 1").drop("_n", "_seq").withColumn("sub_sitemaps", subs)

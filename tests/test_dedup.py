@@ -28,3 +28,44 @@ def test_cascade_keeps_null_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.queries()["duplicate_cascade"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, None), (2, None), (3, "title"), (4, "title")]
+
+
+def test_composite_pairs(spark):
+    """Every later row of a pair, against all pairs; copies, equal sets under other titles, nulls and empty ones included."""
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice(["red pie", "red pies", "blue pie", "", None]), [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 7))]) for i in range(150)]
+    rows += [(200, "red pie", list("abc")), (201, "red pie", list("cba")), (202, "red pies", list("abc")), (203, "other", list("abc"))]
+
+    def levenshtein(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    def score(a, b):
+        if a[1] is None or b[1] is None:
+            return 0
+        longest, s, t = max(len(a[1]), len(b[1])), set(a[2]), set(b[2])
+        title = 1 - levenshtein(a[1], b[1]) / longest if longest else 0
+        return 0.6 * title + 0.4 * (len(s & t) / len(s | t) if s | t else 0)
+
+    want = {b[0] for b in rows for a in rows if a[0] < b[0] and score(a, b) >= 0.85 - 1e-12}
+    frame = spark.createDataFrame(rows, "id long, k string, t array<string>").repartition(3)
+    assert {r.b for r in D.composite_pairs(frame, "id", "k", "t").collect()} == want
+
+
+def test_token_pairs_of_long_sets(spark):
+    rnd = random.Random(6)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(120)] for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 40)):
+            words[rnd.randrange(len(words))] = f"w{rnd.randrange(400)}"
+        if not any(set(words) == set(t) for _, t in rows):
+            rows.append((i, words))
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and len(set(s) & set(t)) >= 0.75 * len(set(s) | set(t))}
+    got = D.token_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", 0.75)
+    assert want and {(r.a, r.b) for r in got.collect()} == want

@@ -47,6 +47,11 @@ def test_similarity_bounds(spark):
 def test_urls(spark):
     assert one(spark, U.cache_key(F.lit("http://a.b/c?utm_source=x&q=1&gclid=2#f"))) == "recipe:v2:http://a.b/c?q=1#f"
     assert one(spark, U.absolute(F.lit("y"), F.lit("http://a.b/c/d"))) == "http://a.b/c/y"
+    base = "https://a.b/c/d/e?x=1#top"
+    links = {"//cdn.org/x": "https://cdn.org/x", "../y": "https://a.b/c/y", "../../../y?q": "https://a.b/y?q", "./": "https://a.b/c/d/", "..": "https://a.b/c/", "?q=2": "https://a.b/c/d/e?q=2", "#end": "https://a.b/c/d/e?x=1#end", "": "https://a.b/c/d/e?x=1", "/p/./q/../r": "https://a.b/p/r", "mailto:a@b.c": "mailto:a@b.c"}
+    for link, want in links.items():
+        assert one(spark, U.absolute(F.lit(link), F.lit(base))) == want
+        assert one(spark, U.absolute(F.lit(link), F.lit("no base"))) == (link if ":" in link else None)
     assert one(spark, U.fingerprint(F.lit("no url"))) is None
     assert one(spark, U.slug_title(F.lit("http://a.b/recipes/big-pie"))) == "Big Pie"
     screen = one(spark, U.compliance(F.lit("http://a.b/premium/food-photography")))

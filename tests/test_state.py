@@ -82,3 +82,23 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     got = sorted(tuple(r) for r in spark.sql("SELECT event_id, state, allowed, failures FROM machines WHERE user_id < 7").collect())
     assert got == sorted(tuple(r) for r in batch.select("event_id", "state", "allowed", "failures").collect())
+
+
+def test_null_keys_and_values(spark):
+    """Null is a key of its own; events without time or status have no output and change nothing."""
+    rows = [(None, 1, 1, 429), (None, 2, 2, 429), (None, 3, 3, 429), (7, 1, 4, 429), (7, None, 5, 429), (7, 2, 6, None), (7, 3, 7, 429)]
+    events = spark.createDataFrame(rows, "key long, at long, event_id long, status int")
+    out = Z.run_batch(events, "tracker", "key", ["at", "event_id"])
+    assert dict(out.dtypes)["key"] == "bigint"
+    assert {r.event_id: r.attempts for r in out.collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: None, 6: None, 7: 2}
+
+
+def test_windows_say_what_the_machines_say(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 2]), t, t, s, s < 400) for t, s in enumerate(rnd.choices([200, 403, 429, 500], k=300))]
+    events = spark.createDataFrame(rows, "key long, at long, event_id long, status int, ok boolean").repartition(3)
+    order = ["at", "event_id"]
+    columns = ("event_id", "attempts", "rate")
+    assert sorted(Z.tracked(events, "key", order).select(*columns).collect()) == sorted(Z.run_batch(events, "tracker", "key", order).select(*columns).collect())
+    columns = ("event_id", "recent", "listed")
+    assert sorted(Z.blacklisted(events, "key", window=50).select(*columns).collect()) == sorted(Z.run_batch(events, "blacklist", "key", order, window=50).select(*columns).collect())
