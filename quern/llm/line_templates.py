@@ -2,16 +2,23 @@
 
 The tree has a fixed depth.  A line goes down by its count of tokens and by its
 ``DEPTH`` leading tokens, tokens with digits counting as the variable field, to a
-leaf.  There a line is the row of its tokens, whatever its length.  A token is
-constant at its place if it goes with its neighbours: if it stands in half or more
-(``SHARE``) of the lines of the leaf, or of those that have the same token just
-before it, or just after it.  That is a share, so a slot with many values stays
-variable however often each of them occurs.  Lines are counted once for each
-document, and a token or neighbour in fewer than ``min_docs`` of them proves nothing.
+leaf.  There a line is the row of its tokens, whatever its length.
 
-A line's template is its leaf and its constant tokens, if these are three or more,
-``SIMILAR`` of the tokens without digits and half of all tokens.  Any other line has
-no template but itself, digits included, and so have lines of under four tokens.
+Lines of a template share all but three tenths of their tokens, so if a line of n
+tokens is cut into 3 n / 10 + 1 runs, one of these is the same in all of them.  Lines
+none of whose runs is in ``min_docs`` lines of the leaf have no template; that is
+most prose, and it goes no further.
+
+Of the others, a token is constant at its place if it goes with its neighbours: if
+it stands in half or more (``SHARE``) of these lines of the leaf, or of those that
+have the same token just before it, or just after it.  That is a share, so a slot
+with many values stays variable however often each of them occurs.  Lines are counted
+once for each document, and a token in fewer than ``min_docs`` of them proves nothing.
+
+A line's template is its leaf, its constant tokens and the places of its tokens with
+digits, if the constant ones are three or more, and seven tenths of the tokens without
+digits.  Any other line has no template but itself, digits included, and so have
+lines of under four tokens.
 
 A template that occurs in ``min_docs`` documents or more is boilerplate: its lines
 stay in the first document that has them (least id, null first, then least hash of
@@ -38,9 +45,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_key, release, sliced, table, text_key
+from .common import discard, fresh, id_key, release, sliced, table, text_key
 
-DEPTH, SHARE, SIMILAR, MIN_DOCS = 2, 0.5, 0.7, 5
+DEPTH, SHARE, MIN_DOCS = 2, 0.5, 5
+#: Tenths of a line's plain tokens that are constant in a template, at least.
+TENTHS = 7
 #: Constant tokens, and tokens, that a template has at least.
 CONSTANTS, SHORT = 3, 4
 _DIGIT = re.compile(rb"[0-9]").search
@@ -81,16 +90,30 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in LINES.split(", ")])
 
 
-def constants(contents: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, sig, constants (place and token) of the lines ``contents`` (leaf, sig, tokens, weight) that have any."""
-    n = F.size("tokens")
-    pairs = F.posexplode(F.arrays_zip(F.slice("tokens", F.lit(1), n - 1).alias("left"), F.slice("tokens", F.lit(2), n - 1).alias("right"))).alias("place", "pair")
-    each = contents.select("leaf", "sig", "weight", pairs).select("leaf", "sig", "weight", "place", "pair.left", "pair.right")
+def candidates(contents: DataFrame, min_docs: int) -> DataFrame:
+    """The rows of ``contents`` (n, leaf, tokens, weight) with a run of tokens that ``min_docs`` lines of the leaf have."""
+    size = F.size("tokens").cast("long")
+    runs = F.floor((10 - TENTHS) * size / 10) + 1
+    edge = lambda j: F.floor(size * j / runs).cast("int")
+    keys = F.transform(F.sequence(F.lit(0).cast("long"), runs - 1), lambda j: F.xxhash64("leaf", j, F.slice("tokens", edge(j) + 1, edge(j + 1) - edge(j))))
+    each = contents.select("n", "weight", F.explode(keys).alias("run"))
+    shared = table(each.groupBy("run").agg(F.sum("weight").alias("lines")).where(F.col("lines") >= min_docs).select("run"), "runs")
+    held = table(each.join(shared, "run").select("n").distinct(), "held")
+    out = table(contents.join(held, "n", "left_semi"), "candidates")
+    discard(shared, held)
+    return out
+
+
+def constants(lines: DataFrame, min_docs: int) -> DataFrame:
+    """n, constants (place and token) of the lines (n, leaf, tokens, weight) that have any."""
+    size = F.size("tokens")
+    pairs = F.posexplode(F.arrays_zip(F.slice("tokens", F.lit(1), size - 1).alias("left"), F.slice("tokens", F.lit(2), size - 1).alias("right"))).alias("place", "pair")
+    each = lines.select("n", "leaf", "weight", pairs).select("n", "leaf", "weight", "place", "pair.left", "pair.right")
     # Counts are written before they are joined, so that Spark can split a hot leaf's rows in the joins.
     both = table(each.groupBy("leaf", "place", "left", "right").agg(F.sum("weight").alias("both")), "pairs")
     left = table(both.groupBy("leaf", "place", "left").agg(F.sum("both").alias("n_left")).where(F.col("n_left") >= min_docs), "left")
     right = table(both.groupBy("leaf", "place", "right").agg(F.sum("both").alias("n_right")).where(F.col("n_right") >= min_docs), "right")
-    total = table(contents.groupBy("leaf").agg(F.sum("weight").alias("total")), "totals")
+    total = table(lines.groupBy("leaf").agg(F.sum("weight").alias("total")), "totals")
     known = both.join(left, ["leaf", "place", "left"], "left").join(right, ["leaf", "place", "right"], "left").join(total, "leaf")
 
     def fixed(side: str, other: str):
@@ -99,9 +122,10 @@ def constants(contents: DataFrame, min_docs: int) -> DataFrame:
         return F.coalesce((F.col(side) != VARIABLE) & own.isNotNull() & ((own >= SHARE * F.col("total")) | (F.col("both") >= SHARE * next_)), F.lit(False)).alias(f"fixed_{side}")
 
     known = table(known.select("leaf", "place", "left", "right", fixed("left", "right"), fixed("right", "left")).where("fixed_left OR fixed_right"), "fixed")
+    discard(both, left, right, total)
     marks = F.explode(F.array_compact(F.array(F.when(F.col("fixed_left"), F.struct("place", F.col("left").alias("token"))), F.when(F.col("fixed_right"), F.struct((F.col("place") + 1).alias("place"), F.col("right").alias("token")))))).alias("mark")
-    found = each.select("leaf", "sig", "place", "left", "right").join(known, ["leaf", "place", "left", "right"]).select("leaf", "sig", marks)
-    return found.groupBy("leaf", "sig").agg(F.sort_array(F.collect_set("mark")).alias("constants"))
+    found = each.select("n", "leaf", "place", "left", "right").join(known, ["leaf", "place", "left", "right"]).select("n", marks)
+    return found.groupBy("n").agg(F.sort_array(F.collect_set("mark")).alias("constants"))
 
 
 def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame:
@@ -110,24 +134,31 @@ def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame
     lines = table(keyed.where(F.octet_length("text") > 0).mapInArrow(scan, LINES), "lines")
     leaves = table(lines.where(F.col("new").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     live = table(lines.join(leaves, "leaf", "left_semi"), "live")
-    contents = table(live.where(F.col("new").bitwiseAND(2) == 2).groupBy("leaf", "sig").agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight")), "contents")
-    marked = constants(contents.where(F.size("tokens") >= SHORT), min_docs)
-    plain = F.size(F.filter("tokens", lambda x: x != VARIABLE))
-    held = F.size("constants")
-    enough = F.coalesce((held >= CONSTANTS) & (held >= SIMILAR * plain) & (2 * held >= F.size("tokens")), F.lit(False))
-    templates = contents.join(marked, ["leaf", "sig"], "left").select("leaf", "sig", F.when(enough, F.xxhash64("constants")).otherwise(F.col("sig")).alias("template"))
+    discard(lines, leaves)
+    contents = live.where(F.col("new").bitwiseAND(2) == 2).groupBy("leaf", "sig").agg(F.first("tokens").alias("tokens"), F.count("*").alias("weight"))
+    contents = table(contents.withColumn("n", F.monotonically_increasing_id()), "contents")
+    marked = candidates(contents.where(F.size("tokens") >= SHORT), min_docs)
+    plain, held = F.filter("tokens", lambda x: x != VARIABLE), F.size("constants")
+    digits = F.transform("tokens", lambda x: x == VARIABLE)
+    enough = F.coalesce((held >= CONSTANTS) & (10 * held >= TENTHS * F.size(plain)), F.lit(False))
+    found = marked.join(constants(marked, min_docs), "n").where(enough).select("n", F.xxhash64("constants", digits).alias("template"))
+    templates = contents.join(found, "n", "left").select("leaf", "sig", F.coalesce("template", "sig").alias("template"))
     templates = table(templates, "templates")
+    discard(contents, marked)
     used = table(live.select("id", "th", "line", "leaf", "sig").join(templates, ["leaf", "sig"]).select("id", "th", "line", "leaf", "template"), "used")
+    discard(live, templates)
     place = F.struct("id", "th")
     recurring = table(used.groupBy("leaf", "template").agg(F.count_distinct("id", "th").alias("docs"), F.min(place).alias("first")).where(F.col("docs") >= min_docs), "recurring")
     gone = used.join(recurring, ["leaf", "template"]).where(place != F.col("first"))
-    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    gone = table(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("lines")), "gone")
+    discard(used, recurring)
+    return gone
 
 
 def with_dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> tuple[DataFrame, str]:
     gone = dropped(docs, doc_id, text, min_docs)
     names = [fresh(docs, x) for x in ("_id", "_th", "_lines")]
-    gone = table(gone.toDF(*names), "gone").hint("shuffle_hash")
+    gone = gone.toDF(*names).hint("shuffle_hash")
     release(docs.sparkSession)
     keyed = docs.withColumns({names[0]: id_key(doc_id), names[1]: text_key(text)})
     return keyed.join(gone, names[:2], "left").drop(*names[:2]), names[2]

@@ -83,20 +83,23 @@ k AS (
   FROM (SELECT doc_id, n, array_to_string(k, ' ') AS sig, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN k] AS f FROM k)
 ), live AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
 c AS (SELECT leaf, sig, any_value(f) AS f, count(DISTINCT doc_id) AS w FROM f WHERE leaf IN (FROM live) GROUP BY leaf, sig),
-e AS (SELECT leaf, sig, w, f[p] AS a, f[p + 1] AS b, p FROM (SELECT *, unnest(range(1, len(f))) AS p FROM c WHERE len(f) >= 4)),
+runs AS (SELECT leaf, sig, w, j, f[len(f) * j // g + 1 : len(f) * (j + 1) // g] AS run FROM (SELECT *, 3 * len(f) // 10 + 1 AS g, unnest(range(3 * len(f) // 10 + 1)) AS j FROM c WHERE len(f) >= 4)),
+shared AS (SELECT leaf, j, run FROM runs GROUP BY ALL HAVING sum(w) >= 5),
+held AS (SELECT DISTINCT leaf, sig FROM runs JOIN shared USING (leaf, j, run)),
+e AS (SELECT leaf, sig, w, f[p] AS a, f[p + 1] AS b, p FROM (SELECT c.*, unnest(range(1, len(f))) AS p FROM c JOIN held USING (leaf, sig))),
 ab AS (SELECT leaf, p, a, b, sum(w) AS n FROM e GROUP BY ALL),
 na AS (SELECT leaf, p, a, sum(n) AS n FROM ab GROUP BY ALL HAVING sum(n) >= 5),
 nb AS (SELECT leaf, p, b, sum(n) AS n FROM ab GROUP BY ALL HAVING sum(n) >= 5),
-total AS (SELECT leaf, sum(w) AS n FROM c WHERE len(f) >= 4 GROUP BY leaf),
+total AS (SELECT leaf, sum(w) AS n FROM c JOIN held USING (leaf, sig) GROUP BY leaf),
 fixed AS (
   SELECT ab.leaf, ab.p, ab.a, ab.b, coalesce(ab.a <> '<*>' AND na.n IS NOT NULL AND (na.n >= 0.5 * total.n OR ab.n >= 0.5 * nb.n), false) AS fa,
          coalesce(ab.b <> '<*>' AND nb.n IS NOT NULL AND (nb.n >= 0.5 * total.n OR ab.n >= 0.5 * na.n), false) AS fb
   FROM ab JOIN total USING (leaf) LEFT JOIN na ON na.leaf = ab.leaf AND na.p = ab.p AND na.a = ab.a LEFT JOIN nb ON nb.leaf = ab.leaf AND nb.p = ab.p AND nb.b = ab.b
 ), marks AS (
   SELECT leaf, sig, e.p AS p, e.a AS token FROM e JOIN fixed USING (leaf, p, a, b) WHERE fa UNION SELECT leaf, sig, e.p + 1, e.b FROM e JOIN fixed USING (leaf, p, a, b) WHERE fb
-), m AS (SELECT leaf, sig, count(*) AS held, string_agg(p || ':' || token, chr(10) ORDER BY p) AS part FROM marks GROUP BY leaf, sig),
+), m AS (SELECT leaf, sig, count(*) AS n_held, string_agg(p || ':' || token, chr(10) ORDER BY p) AS part FROM marks GROUP BY leaf, sig),
 t AS (
-  SELECT leaf, sig, CASE WHEN held >= 3 AND held >= 0.7 * len([x FOR x IN f IF x <> '<*>']) AND 2 * held >= len(f) THEN 'part ' || part ELSE 'whole ' || sig END AS template FROM c LEFT JOIN m USING (leaf, sig)
+  SELECT leaf, sig, CASE WHEN n_held >= 3 AND 10 * n_held >= 7 * len([x FOR x IN f IF x <> '<*>']) THEN 'part ' || part || ' ' || array_to_string([CAST(x = '<*>' AS VARCHAR) FOR x IN f], ' ') ELSE 'whole ' || sig END AS template FROM c LEFT JOIN m USING (leaf, sig)
 ), u AS (SELECT doc_id, n, leaf, template FROM f JOIN t USING (leaf, sig)),
 r AS (SELECT leaf, template, min(doc_id) AS first FROM u GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5),
 g AS (SELECT u.doc_id, u.n FROM u JOIN r USING (leaf, template) WHERE u.doc_id <> first),

@@ -18,17 +18,29 @@ def brute(rows, min_docs=5):
         for _, tokens in lines:
             in_leaf[leaf_of(tokens)].add((d, tuple(tokens)))
     live = {leaf for leaf, lines in in_leaf.items() if len({d for d, _ in lines}) >= min_docs}
-    stands = defaultdict(int)
+    def runs(tokens):
+        m, g = masked(tokens), 3 * len(tokens) // 10 + 1
+        return [(leaf_of(tokens), j, m[len(m) * j // g : len(m) * (j + 1) // g]) for j in range(g)]
+
+    often = defaultdict(int)
+    for leaf in live:
+        for _, tokens in in_leaf[leaf]:
+            for run in runs(tokens):
+                often[run] += 1
+    candidate = lambda tokens: len(tokens) >= 4 and any(often[r] >= min_docs for r in runs(tokens))
+    stands, total = defaultdict(int), defaultdict(int)
     for leaf in live:
         for _, tokens in in_leaf[leaf]:
-            m = masked(tokens)
-            for p, x in enumerate(m):
-                stands[leaf, p, x] += 1
-                stands[leaf, p, m[p : p + 2]] += 1
+            if candidate(tokens):
+                total[leaf] += 1
+                m = masked(tokens)
+                for p, x in enumerate(m):
+                    stands[leaf, p, x] += 1
+                    stands[leaf, p, m[p : p + 2]] += 1
 
     def template(tokens):
         leaf, m = leaf_of(tokens), masked(tokens)
-        if leaf not in live or len(m) < 4:
+        if not candidate(tokens):
             return leaf, tuple(tokens)
 
         def constant(p):
@@ -36,11 +48,11 @@ def brute(rows, min_docs=5):
             if m[p] == "<*>" or own < min_docs:
                 return False
             near = [(stands[leaf, p + k, m[p + k]], stands[leaf, p + min(k, 0), m[p + min(k, 0) : p + min(k, 0) + 2]]) for k in (-1, 1) if 0 <= p + k < len(m)]
-            return 2 * own >= len(in_leaf[leaf]) or any(n >= min_docs and 2 * both >= n for n, both in near)
+            return 2 * own >= total[leaf] or any(n >= min_docs and 2 * both >= n for n, both in near)
 
         fixed = tuple((p, x) for p, x in enumerate(m) if constant(p))
-        enough = len(fixed) >= 3 and len(fixed) >= 0.7 * sum(x != "<*>" for x in m) and 2 * len(fixed) >= len(m)
-        return (leaf, "template", fixed) if enough else (leaf, tuple(tokens))
+        enough = len(fixed) >= 3 and 10 * len(fixed) >= 7 * sum(x != "<*>" for x in m)
+        return (leaf, "template", fixed, tuple(x == "<*>" for x in m)) if enough else (leaf, tuple(tokens))
 
     where = defaultdict(set)
     for d, lines in docs.items():
