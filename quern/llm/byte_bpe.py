@@ -109,13 +109,13 @@ class Encoder:
         length = np.fromiter(map(len, words), np.int64, len(words))
         rows = np.where(whole >= 0, 1, length)
         word = np.repeat(np.arange(len(words), dtype=np.int32), rows)
-        pos = np.arange(len(word)) + word
+        pos = np.arange(len(word), dtype=np.int32) + word
         token = whole[word]
         token[token < 0] = self.single[np.frombuffer(b"".join(w for w, r in zip(words, whole.tolist(), strict=True) if r < 0), np.uint8)]
-        self.db.register("begin_rows", pa.table({"word": word, "pos": pos, "fin": pos + 1, "tok": token}))
+        self.db.register("begin_rows", pa.table({"word": word, "pos": pos, "fin": pos + np.int32(1), "tok": token}))
         found = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("begin_rows")
-        return [(i.encode(), d) for i, d in zip(found["ids"].to_pylist(), found["decoded"].to_pylist(), strict=True)]
+        return list(zip(found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist(), strict=True))
 
     def learn(self, pieces: set[bytes]) -> None:
         new = sorted(self.known.unknown(pieces), key=len)  # words of like length take like numbers of steps
@@ -175,7 +175,7 @@ def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank
             data, start, length, _, ends = cut(strings(batch, "text"))
             state, words = distinct(data, start, length)
             encoder.learn(set(words))
-            ids_of, bytes_of = zip(*(encoder.known[w] for w in words), strict=True) if words else ((), ())
+            ids_of, bytes_of = zip(*map(encoder.known.__getitem__, words), strict=True) if words else ((), ())
             rows, begin = [], 0
             for end in ends.tolist():
                 own, begin = state[begin:end].tolist(), end
