@@ -27,10 +27,11 @@ import numpy as np
 #: Added to the changes of counts, which a token's length bounds, to keep them positive.
 BIAS = 192
 #: States that a worker holds.
-STATES = 150_000
+STATES = 400_000
 #: Pieces under which a batch's rest goes piece by piece.
 FEW = 24
-_TURN = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint32(0x9E3779B1)
+_NONE = np.uint32(0xFFFFFFFF)
 FOREVER = 1 << 40
 
 
@@ -47,50 +48,54 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Table:
-    """Transitions by state and byte in an open-addressed hash table."""
+    """Transitions by state and byte in an open-addressed hash table; 32 bits hold 256 * state + byte, and 512 * state + change."""
 
     def __init__(self, bits: int = 16) -> None:
         self.bits, self.used = bits, 0
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _TURN) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.keys, self.values = np.full(1 << bits, _NONE, np.uint32), np.zeros(1 << bits, np.int32)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The values; -1 for keys that aren't there."""
-        slots = self._slots(keys)
-        found = self.keys.take(slots)
+        slots = (keys * _TURN) >> np.uint32(32 - self.bits)
         out = self.values.take(slots)
-        wrong = np.flatnonzero(found != keys)
+        wrong = np.flatnonzero(self.keys.take(slots) != keys)
         if len(wrong):
-            slots, rest, found = slots[wrong], keys[wrong], found[wrong]
+            slots, rest = slots[wrong], keys[wrong]
+            found = self.keys[slots]
             while len(wrong):
-                empty = found < 0
+                empty = found == _NONE
                 out[wrong[empty]] = -1
                 go = ~empty
                 wrong, rest = wrong[go], rest[go]
-                slots = (slots[go] + 1) & ((1 << self.bits) - 1)
+                slots = (slots[go] + np.uint32(1)) & np.uint32((1 << self.bits) - 1)
                 found = self.keys[slots]
                 right = found == rest
                 out[wrong[right]] = self.values[slots[right]]
                 wrong, rest, slots, found = wrong[~right], rest[~right], slots[~right], found[~right]
         return out
 
-    def put(self, key: int, value: int) -> None:
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        self.used += len(keys)
         if 4 * self.used > 1 << self.bits:
-            held = self.keys >= 0
-            keys, values = self.keys[held].tolist(), self.values[held].tolist()
-            self.__init__(self.bits + 1)
-            for k, v in zip(keys, values, strict=True):
-                self._place(k, v)
-        self._place(key, value)
+            held = self.keys != _NONE
+            keys, values = np.r_[self.keys[held], keys], np.r_[self.values[held], values]
+            self.__init__(max(self.bits + 1, int(4 * len(keys)).bit_length()))
+            self.used = len(keys)
+        slots = (keys * _TURN) >> np.uint32(32 - self.bits)
+        while len(keys):
+            _, first = np.unique(slots, return_index=True)
+            here = first[self.keys[slots[first]] == _NONE]
+            self.keys[slots[here]], self.values[slots[here]] = keys[here], values[here]
+            left = np.ones(len(keys), bool)
+            left[here] = False
+            keys, values = keys[left], values[left]
+            slots = (slots[left] + np.uint32(1)) & np.uint32((1 << self.bits) - 1)
+
 
-    def _place(self, key: int, value: int) -> None:
-        slot = (key * int(_TURN) & (1 << 64) - 1) >> (64 - self.bits)
-        while self.keys[slot] >= 0:
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-        self.keys[slot], self.values[slot] = key, value
-        self.used += 1
+def entry(node: int, before: int, far: int) -> int:
+    """A place of a state as one number: trie node, the last token before it or -1, and its count less the present one."""
+    return node << 40 | before + 1 << 16 | far + 32768
 
 
 class MergeAutomaton:
@@ -140,7 +145,7 @@ class MergeAutomaton:
                     self.token_at.append(-1)
                     self.opens.append(False)
             self.token_at[node] = i
-        self._reset([((0, -1, 0),)])
+        self._reset([(entry(0, -1, 0),)])
 
     @classmethod
     def of(cls, path: str) -> "MergeAutomaton":
@@ -174,74 +179,77 @@ class MergeAutomaton:
         self.states = states
         self.number = {s: i for i, s in enumerate(states)}
         self.table = Table()
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.last = np.array([s[-1][1] for s in states], np.int32)
+        self.beside: dict[int, bool] = {}
+        self.last = np.array([(s[-1] >> 16 & 0xFFFFFF) - 1 for s in states], np.int32)
 
-    def _compile(self, key: int) -> int:
-        """The transition of a state and a byte: 512 times the next state, plus the change of the count and ``BIAS``."""
-        byte, on, token, count = key & 255, [], -1, 0
-        for node, before, far in self.states[key >> 8]:
-            node = self.child.get(node << 8 | byte, -1)
-            if node < 0:
-                continue
-            t = self.token_at[node]
-            if t >= 0 and token < 0:
-                if before < 0:
-                    token, count = t, far + 1
-                else:
-                    apart = self.beside.get((before, t))
+    def _compile(self, keys: list[int]) -> np.ndarray:
+        """The transitions of states and bytes (256 * state + byte): 512 times the next state, plus the change of the count and ``BIAS``."""
+        child, token_at, opens, beside, states, numbers = self.child.get, self.token_at, self.opens, self.beside, self.states, self.number
+        values = []
+        for key in keys:
+            byte, on, token, count = key & 255, [], -1, 0
+            for e in states[key >> 8]:
+                node = child(e >> 40 << 8 | byte, -1)
+                if node < 0:
+                    continue
+                if token < 0 and (t := token_at[node]) >= 0:
+                    before = (e >> 16 & 0xFFFFFF) - 1
+                    apart = before < 0 or beside.get(before << 32 | t)
                     if apart is None:
-                        apart = self.beside[before, t] = not self.crossed(before, t)
+                        apart = beside[before << 32 | t] = not self.crossed(before, t)
                     if apart:
-                        token, count = t, far + 1
-            if self.opens[node]:
-                on.append((node, before, far))
-        state = (*((n, t, far - count) for n, t, far in on), (0, token, 0))
-        number = self.number.get(state)
-        if number is None:
-            number = self.number[state] = len(self.states)
-            self.states.append(state)
-            if number >= len(self.last):
-                self.last = np.r_[self.last, np.zeros(len(self.last) + 1024, np.int32)]
-            self.last[number] = token
-        value = number << 9 | count + BIAS
-        self.table.put(key, value)
-        return value
+                        token, count = t, (e & 0xFFFF) - 32767
+                if opens[node]:
+                    on.append(node << 40 | e & 0xFFFFFFFFFF)
+            on = [e - count for e in on]
+            on.append(token + 1 << 16 | 32768)
+            state = tuple(on)
+            number = numbers.get(state)
+            if number is None:
+                number = numbers[state] = len(states)
+                states.append(state)
+            values.append(number << 9 | count + BIAS)
+        if len(states) > len(self.last):
+            more = [(s[-1] >> 16 & 0xFFFFFF) - 1 for s in states[len(self.last) :]]
+            self.last = np.r_[self.last, np.array(more, np.int32)]
+        out = np.array(values, np.int32)
+        self.table.put(np.array(keys, np.uint32), out)
+        return out
 
     def run(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, tokens: np.ndarray | None = None) -> np.ndarray:
         """Tokens of each piece ``data[start : start + length]``.  ``tokens``: takes the last token of the prefix that ends at each byte."""
         order = np.argsort(-length.astype(np.int32), kind="stable") if length.max(initial=0) > 32767 else np.argsort(-length.astype(np.int16), kind="stable")
-        at, size = start[order], length[order]
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        at, size = start[order].astype(np.int32), length[order].astype(np.int32)
+        state, total = np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64)
         live, k = len(at), 0
         while live:
             if live < FEW:
                 for i in range(live):
                     self._alone(i, k, data, at, size, state[:live], total, tokens)
                 break
-            place = at[:live] + k
-            keys = state[:live] << 8 | data[place]
+            place = at[:live] + np.int32(k)
+            keys = state[:live] << np.uint32(8) | data.take(place)
             got = self.table.get(keys)
             if got.min() < 0:
                 if len(self.states) > STATES:
-                    keys = self._shrink(state[:live]) << 8 | data[place]
+                    keys = self._shrink(state[:live]) << np.uint32(8) | data.take(place)
                     got = self.table.get(keys)
-                for key in np.unique(keys[got < 0]).tolist():
-                    self._compile(key)
+                self._compile(np.unique(keys[got < 0]).tolist())
                 got = self.table.get(keys)
             total[:live] += got & 511
-            state[:live] = got >> 9
+            got >>= 9
+            state[:live] = got
             if tokens is not None:
-                tokens[place] = self.last[state[:live]]
+                tokens[place] = self.last.take(got)
             k += 1
             live = int(np.searchsorted(-size[:live], -k, side="left"))
         out = np.empty(len(at), np.int64)
-        out[order] = total - BIAS * size
+        out[order] = total - BIAS * size.astype(np.int64)
         return out
 
     def _shrink(self, state: np.ndarray) -> np.ndarray:
         """Keep the states in use; renumbers them in place."""
-        used = np.unique(np.r_[0, state])
+        used = np.unique(np.r_[np.uint32(0), state])
         state[:] = np.searchsorted(used, state)
         self._reset([self.states[i] for i in used.tolist()])
         return state
@@ -254,19 +262,19 @@ class MergeAutomaton:
             key = now << 8 | byte
             value = known.get(key)
             if value is None:
-                value = int(self.table.get(np.array([key]))[0])
+                value = int(self.table.get(np.array([key], np.uint32))[0])
                 if value < 0:
                     if len(self.states) > STATES:
-                        rest = np.r_[now, state[i + 1 :]]
+                        rest = np.r_[np.uint32(now), state[i + 1 :]]
                         self._shrink(rest)
                         now, state[i + 1 :] = int(rest[0]), rest[1:]
                         known, key = {}, int(rest[0]) << 8 | byte
-                    value = self._compile(key)
+                    value = int(self._compile([key])[0])
                 known[key] = value
             sum_ += value & 511
             now = value >> 9
             if tokens is not None:
-                out.append(self.states[now][-1][1])
+                out.append((self.states[now][-1] >> 16 & 0xFFFFFF) - 1)
         total[i] += sum_
         if tokens is not None:
             tokens[begin : begin + len(out)] = out
