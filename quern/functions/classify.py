@@ -56,7 +56,7 @@ def meal_types(text: Column, names: Dictionary, items: Column, minutes: Column)
 def tags(text: Column, families: Mapping[str, Dictionary], items: Column, effort: Column, minutes: Column, *more: Column) -> Column:
     """Names of all families with a keyword, a level, first words of the first three items, and further lists; each once."""
     named = [F.when(any_hit(text, w), n) for family in families.values() for n, w in family.items()]
-    level = F.when((effort <= 2) & (minutes <= 30), "Easy").when((effort >= 4) | (minutes > 90), "Advanced").otherwise("Intermediate")
+    level = F.when((effort <= 2) & (minutes <= 30), "Easy").when((effort >= 4) | (minutes > 120), "Advanced").otherwise("Intermediate")
     first = F.transform(F.slice(items, 1, 3), lambda x: F.split_part(x, F.lit(" "), F.lit(1)))
     first = F.transform(F.filter(first, lambda w: F.length(w) > 3), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
     return F.array_distinct(F.concat(F.array_compact(F.array(*named, level)), first, *more))
