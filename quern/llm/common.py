@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,9 +20,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, set for later calls, where it is unset."""
+    """The folder in spark.checkpoint.dir.  On a single machine a temporary one, set for later calls, where it is unset; on a cluster that is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -32,20 +36,26 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 #: Spark's own setting: shuffle files go as soon as the query that made them has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writes, _before = threading.Lock(), Counter(), {}
 
 
 @contextmanager
 def cleaned(spark: SparkSession) -> Iterator[None]:
-    """While this holds, a write's shuffle files go when it has ended; nothing reads them after."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """While writes go on here, a query's shuffle files go when it has ended; the first write sets that and the last one takes it back."""
+    key = id(spark)
+    with _lock:
+        if not _writes[key]:
+            _before[key] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writes[key] += 1
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        with _lock:
+            _writes[key] -= 1
+            if not _writes[key]:
+                before = _before.pop(key)
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -66,12 +76,6 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of jobs whose data frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

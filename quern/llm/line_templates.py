@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, id_key, release, sliced, table, text_key
+from .common import discard, fresh, id_key, sliced, table, text_key
 
 DEPTH, SHARE, MIN_DOCS = 2, 0.5, 5
 #: Tenths of a line's plain tokens that are constant in a template, at least.
@@ -159,7 +159,6 @@ def with_dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> tupl
     gone = dropped(docs, doc_id, text, min_docs)
     names = [fresh(docs, x) for x in ("_id", "_th", "_lines")]
     gone = gone.toDF(*names).hint("shuffle_hash")
-    release(docs.sparkSession)
     keyed = docs.withColumns({names[0]: id_key(doc_id), names[1]: text_key(text)})
     return keyed.join(gone, names[:2], "left").drop(*names[:2]), names[2]
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_key, release, sliced, strings, table, text_key
+from .common import fresh, id_key, sliced, strings, table, text_key
 from .simhash import Forest, hashes_of, links, majority, stars
 
 WORDS, LEAST = 5, 0.8
@@ -179,6 +179,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first = named.groupBy("root").agg(F.min("least").alias("first"))
     chosen = table(first.select(id_key("first.id").alias(names[0]), F.col("first.th").alias(names[1])).distinct(), "chosen")
     repeated = not prints.groupBy("id", "th").count().where("count > 1").isEmpty()
-    release(docs.sparkSession)
     kept = docs.withColumns({names[0]: id_key(doc_id), names[1]: text_key(text)}).join(chosen.hint("shuffle_hash"), names, "left_semi")
     return (kept.dropDuplicates(names) if repeated else kept).select(*docs.columns)

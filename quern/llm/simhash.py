@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_key, partitions, release, sliced, strings, table, text_key
+from .common import fresh, id_key, partitions, sliced, strings, table, text_key
 
 BUDGET, BLOCK = 3, 16
 #: Bits beside a block, and of each of their sub-blocks.
@@ -254,6 +254,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     names = [fresh(docs, "_id"), fresh(docs, "_th")]
     chosen = table(components(prints).select(id_key("component_id").alias(names[0]), F.col("least_th").alias(names[1])).distinct(), "chosen")
     repeated = not prints.groupBy("id", "th").count().where("count > 1").isEmpty()
-    release(docs.sparkSession)
     kept = docs.withColumns({names[0]: id_key(doc_id), names[1]: text_key(text)}).join(chosen.hint("shuffle_hash"), names, "left_semi")
     return (kept.dropDuplicates(names) if repeated else kept).select(*docs.columns)

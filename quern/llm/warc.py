@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cleaned, id_key, new_path, partitions, release, table
+from .common import NULL_ID, cleaned, id_key, new_path, partitions, table
 
 SAMPLE = 1 << 14
 #: Bytes of payload meant for a shard, and compressed bytes at which a file ends.
@@ -145,7 +145,6 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
 
     with cleaned(spark):
         dealt.mapInArrow(run, MANIFEST).write.parquet(f"{root}/_manifest")
-    release(spark)
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
 
 
