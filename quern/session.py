@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,12 @@ def session(name: str = "quern", **settings: str) -> SparkSession:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again."""
+    """``df`` written to the folder in spark.checkpoint.dir and read again.  Where that is unset, a temporary one serves on a single machine."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/quern-{uuid.uuid4().hex}"
