@@ -53,15 +53,6 @@ def meal_types(text: Column, names: Dictionary, items: Column, minutes: Column)
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.when((minutes > 45) | (F.size(items) > 8), "Dinner").otherwise("Lunch")))
 
 
-def tags(text: Column, families: Mapping[str, Dictionary], items: Column, effort: Column, minutes: Column, *more: Column) -> Column:
-    """Names of all families with a keyword, a level, first words of the first three items, and further lists; each once."""
-    named = [F.when(any_hit(text, w), n) for family in families.values() for n, w in family.items()]
-    level = F.when((effort <= 2) & (minutes <= 30), "Easy").when((effort >= 4) | (minutes > 120), "Advanced").otherwise("Intermediate")
-    first = F.transform(F.slice(items, 1, 3), lambda x: F.split_part(x, F.lit(" "), F.lit(1)))
-    first = F.transform(F.filter(first, lambda w: F.length(w) > 3), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
-    return F.array_distinct(F.concat(F.array_compact(F.array(*named, level)), first, *more))
-
-
 def eligible(items: Column, text: Column, rules: Mapping[str, tuple[Sequence[str], Sequence[str]]], most: int = 10) -> Column:
     """Names, in order, whose mention the text has, or of whose forbidden words no item holds one.  Rules: mentions, forbidden."""
     low = F.lower(text)
@@ -82,18 +73,6 @@ def primary(steps: Column, methods: Dictionary) -> Column:
     return best
 
 
-def weighted(steps: Column, methods: Mapping[str, tuple[Sequence[str], bool]], position: float = 0.5, timed: float = 1.5, heat: float = 1.2) -> Column:
-    """The method of greatest weight: later and timed steps and hot methods weigh more; hot ones come first.  Methods: words, whether hot."""
-    n = F.size(steps)
-    scored = []
-    for k, (name, (words, hot)) in enumerate(methods.items()):
-        ones = F.transform(steps, lambda s, i: F.when(any_hit(s, words), 1.0 + position * (i + 1) / n).otherwise(0.0) * F.when(F.lower(s).rlike("[0-9]+ *(min|hour)"), timed).otherwise(1.0))
-        weight = F.round(F.aggregate(ones, F.lit(0.0), lambda a, x: a + x) * (heat if hot else 1.0), 6)
-        scored.append(F.struct((weight > 0).alias("any"), (F.lit(hot) & (weight > 0)).alias("hot"), weight.alias("weight"), F.lit(-k).alias("ord"), F.lit(name).alias("name")))
-    top = F.array_max(F.array(*scored))
-    return F.when(top["any"], top["name"])
-
-
 def methods_used(text: Column, methods: Dictionary, default: str = "Mixed") -> Column:
     found = F.array_compact(F.array(*(F.when(any_hit(text, w), n) for n, w in methods.items())))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
@@ -136,11 +115,20 @@ def rule_embedding(text: Column, vocabulary: Mapping[str, float]) -> Column:
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
+def bound(value: Column, then) -> Column:
+    """``then(value)``, the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def hash_embedding(text: Column, size: int = 768, multiplier: float = 1.0) -> Column:
     """A deterministic unit vector from the rolling hash of the text."""
     from .numbers import rolling_hash
 
-    h = rolling_hash(text)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sin((h + i * 7919).cast("double")) * multiplier)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def unit(raw: Column) -> Column:
+        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+        return bound(length, lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    waves = bound(rolling_hash(text), lambda h: F.transform(places, lambda i: F.sin((h + i * 7919).cast("double")) * multiplier))
+    return bound(waves, unit)

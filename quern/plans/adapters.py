@@ -22,7 +22,7 @@ def pivot_key_values(t):
     return A.pivoted(t("events"), "user_id", "event_type", "value", ["error", "click", "view"], "event_id")
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, '2 cups flour', 'flour', 'cup'), (1, 'salt', 'salt', NULL), (2, '1 egg', 'egg', NULL)) v(id, text, name, unit)")
 def positional_zip(t):
     rows = [(1, ["2 cups flour", "salt"], [("flour", "cup"), ("", "<unit>")]), (2, ["1 egg"], [])]
     z = t.rows(rows, "id int, texts array<string>, details array<struct<name: string, unit: string>>")
@@ -86,7 +86,8 @@ def unblocked_pages(t):
     return unblocked(p, "url", every.union(expired), F.lit("2020-01-01").cast("timestamp")).select("page_id")
 
 
-@query()
+@query(r"""SELECT id, sitemap FROM (VALUES (1, 'User-agent: *' || chr(10) || 'Sitemap: https://a.com/s.xml' || chr(10) || 'sitemap:https://b.com/t.xml'), (2, 'none'), (3, NULL)) v(id, s)
+  LEFT JOIN LATERAL (SELECT trim(regexp_replace(l, '(?i)^\s*sitemap:', '')) AS sitemap FROM (SELECT unnest(string_split(s, chr(10))) AS l) WHERE starts_with(lower(trim(l)), 'sitemap:')) ON true""")
 def robots_lines(t):
     from ..sources.tables import robots_sitemaps
 

@@ -38,12 +38,6 @@ def meal_type_detection(t):
     return record(t).select("doc_id", F.array_join(found, "|").alias("types"))
 
 
-@query()
-def tag_generation(t):
-    found = C.tags(F.col("text"), {"theme": THEMES}, F.col("items"), F.col("servings") % 5 + 1, F.col("prep") + F.col("cook"), F.col("tags"))
-    return record(t).select("doc_id", F.array_join(found, "|").alias("tags"))
-
-
 RULES = {"no-the": ((), ("the",)), "no-und": (("einheit",), ("und",)), "no-que": ((), ("que", "les"))}
 
 
@@ -61,11 +55,6 @@ def primary_method(t):
     return record(t).select("doc_id", C.primary(F.col("steps"), METHODS).alias("method"))
 
 
-@query()
-def weighted_method(t):
-    return record(t).select("doc_id", C.weighted(F.col("steps"), {"heating": (("the",), True), "mixing": (("und", "ing"), False)}).alias("method"))
-
-
 @query("SELECT doc_id, CASE WHEN a = '' THEN 'Mixed' ELSE a END AS methods FROM (SELECT doc_id, array_to_string([x for x in [" + ", ".join(f"CASE WHEN {hit('lower(text)', w)} THEN '{n}' END" for n, w in METHODS.items()) + "] if x IS NOT NULL], '|') AS a FROM documents)")
 def methods_set(t):
     return t("documents").select("doc_id", F.array_join(C.methods_used(F.col("text"), METHODS), "|").alias("methods"))
@@ -84,7 +73,8 @@ def step_assembly(t):
     return t("conversations").select("conv_id", "turn", F.inline(steps))
 
 
-@query()
+@query(r"""SELECT conv_id, turn, unnest(list_reduce([[]::VARCHAR[]] || [[z] for z in parts], lambda acc, x: CASE WHEN len(acc) = 0 OR contains(lower(x[1]), 'the') OR contains(lower(x[1]), 'der') OR contains(lower(x[1]), 'les') OR contains(lower(x[1]), 'los') THEN acc || x ELSE acc[1 : len(acc) - 1] || [acc[len(acc)] || ' and ' || x[1]] END)) AS step
+  FROM (SELECT conv_id, turn, [y for y in [trim(x) for x in regexp_split_to_array(text, '(?i)[.!?;]+\s*|,?\s+(?:then|and then|and)\s+')] if y <> ''] AS parts FROM conversations)""")
 def atomic_steps(t):
     return t("conversations").select("conv_id", "turn", F.explode(C.atomic_steps(F.col("text"), ("the", "der", "les", "los"))).alias("step"))
 
@@ -102,9 +92,13 @@ def rule_embedding(t):
     return e.select("doc_id", *(F.round(F.get("e", i), 6).alias(f"x{i}") for i in range(3)))
 
 
-@query()
+@query("""WITH RECURSIVE h(p_partkey, s, i, v) AS (SELECT p_partkey, p_name, 0, 0::BIGINT FROM part UNION ALL SELECT p_partkey, s, i + 1, ((v * 31 + ascii(s[i + 1]) + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 FROM h WHERE i < length(s)),
+  e AS (SELECT p_partkey, [sin((abs(v) + i * 7919)::DOUBLE) for i in range(768)] AS e FROM h WHERE i = length(s)), u AS (SELECT p_partkey, e, sqrt(list_sum([x * x for x in e])) AS n FROM e)
+  SELECT p_partkey, round(e[1] / n, 6) AS first, round(e[768] / n, 6) AS last, round(list_sum([abs(x) for x in e]) / n, 4) AS total FROM u""")
 def hash_embedding(t):
-    return t("part").select("p_partkey", C.hash_embedding(F.col("p_name"), 16).alias("e"))
+    e = t("part").select("p_partkey", C.hash_embedding(F.col("p_name")).alias("e"))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return e.select("p_partkey", F.round(F.get("e", 0), 6).alias("first"), F.round(F.get("e", 767), 6).alias("last"), F.round(total, 4).alias("total"))
 
 
 @query("""SELECT l_orderkey, round(sum(l_quantity * coalesce(CASE WHEN p_size % 2 = 0 THEN p_retailprice / 10 END, CASE WHEN p_size % 3 = 0 THEN p_size END, 1.0) / 100) / 4, 6) AS per_serving, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")

@@ -45,7 +45,16 @@ def two_lists(t):
     return rows.select("conv_id", T.lines(F.element_at("r.text", 1)).alias("a"), T.lines(F.element_at("r.text", -1)).alias("b"))
 
 
-@query()
+def sql_merge(cut, needs, both_ways):
+    """A fold in SQL: lists of lists, the first being the base and the others one item each."""
+    short = (lambda x: f"left(lower({x}), {cut})") if cut else (lambda x: f"lower({x})")
+    other = f" OR contains({short('x[1]')}, {short('y')})" if both_ways else ""
+    fits = f" OR NOT regexp_matches(lower(x[1]), '{needs}')" if needs else ""
+    return f"CAST(len(list_reduce([a] || [[z] for z in b], lambda acc, x: CASE WHEN len([y for y in acc if contains(lower(y), {short('x[1]')}){other}]) > 0{fits} THEN acc ELSE acc || x END)) AS INTEGER)"
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, [y for y in [trim(x) for x in string_split(text, chr(10))] if y <> ''] AS l, text FROM conversations), p AS (SELECT conv_id, arg_min(l, (turn, text)) AS a, arg_max(l, (turn, text)) AS b FROM l GROUP BY conv_id)
+  SELECT conv_id, {sql_merge(None, None, False)} AS plain, {sql_merge(20, 'the|der|les|los', False)} AS steps, {sql_merge(30, 'the|der|les|los', True)} AS both_ways FROM p""")
 def list_merge(t):
     a, b = F.col("a"), F.col("b")
     return two_lists(t).select("conv_id", F.size(M.not_contained(a, b)).alias("plain"), F.size(M.not_contained(a, b, "the|der|les|los", 20)).alias("steps"), F.size(M.not_contained(a, b, "the|der|les|los", 30, True)).alias("both_ways"))

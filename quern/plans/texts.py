@@ -47,7 +47,7 @@ def html_entity_decode(t):
     return t("pages").select("page_id", T.decode_entities(F.col("html")).alias("decoded"))
 
 
-@query()
+@query("VALUES (1, 'café ' || chr(39) || ' ' || chr(31) || ' €'), (2, '<b>'), (3, NULL), (4, '')".replace("VALUES", "SELECT * FROM (VALUES") + ") v(id, decoded)")
 def html_entity_numeric(t):
     rows = [(1, "caf&#233; &amp;#39; &#x1f; &#8364;"), (2, "&AMP;lt;b&gt;"), (3, None), (4, "")]
     return t.rows(rows, "id int, text string").select("id", T.decode_entities(F.col("text")).alias("decoded"))
@@ -96,7 +96,7 @@ def match_keys(t):
     return t("documents").select("doc_id", T.ingredient_key(first).alias("item_key"), T.name_key(first).alias("name_key"), T.source_key(first).alias("source_key"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, '2 tablespoonsugar until done'), (2, 'bake 5 min. then rest'), (3, 'approximatelyone poundof it'), (4, NULL)) v(id, expanded)")
 def abbreviation_expand(t):
     rows = [(1, "2 tbsp.sugar til done"), (2, "bake 5 min. then rest"), (3, "approx.one lb.of it"), (4, None)]
     return t.rows(rows, "id int, text string").select("id", T.expand(F.col("text")).alias("expanded"))
@@ -173,7 +173,11 @@ def line_classifier(t):
     return lines(t).groupBy("doc_id").agg(F.count_if(T.item_line(c)).alias("items"), F.count_if(T.step_line(c)).alias("steps"), F.count_if(T.header_line(c)).alias("headers"))
 
 
-@query()
+SAID = "(" + " OR ".join("regexp_matches(s, '" + p.replace("'", "''") + "')" for p in T.NOT_ITEMS) + ")"
+
+
+@query(f"""SELECT doc_id, line, coalesce(s <> '' AND NOT (length(s) <= 2 AND NOT regexp_matches(s, '{T.SHORT_ITEMS}')) AND NOT {SAID} AND regexp_matches(s, '[a-zA-Z]') AND length(regexp_replace(s, '[^a-zA-Z0-9]', '', 'g')) / length(s) >= 0.5
+  AND NOT (length(s) > 3 AND len(list_distinct(string_split(regexp_replace(lower(s), '\\s', '', 'g'), ''))) <= 2), false) AS valid FROM (SELECT doc_id, line, trim(line) AS s FROM ({LINE}))""")
 def line_validity(t):
     return lines(t).select("doc_id", "line", T.valid_line(F.col("line")).alias("valid"))
 
@@ -231,7 +235,8 @@ def url_validation(t):
     return t("pages").select("page_id", u.rlike(U.HTTP).alias("is_url"), u.rlike(U.UUID).alias("is_uuid"), u.rlike(U.EMAIL).alias("is_email"))
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN slug = '' THEN 'Unknown Recipe' ELSE array_to_string([upper(w[1]) || w[2:] for w in string_split(replace(slug, '-', ' '), ' ')], ' ') END AS title
+  FROM (SELECT page_id, coalesce(nullif(regexp_extract(url, '(?i)/recipe[s]?/([a-z0-9-]+)', 1), ''), nullif(regexp_extract(url, '(?i)/([a-z0-9-]+)-recipe', 1), ''), regexp_extract(url, '(?i)/([a-z0-9-]+)$', 1)) AS slug FROM pages)""")
 def slug_title(t):
     return t("pages").select("page_id", U.slug_title(F.col("url")).alias("title"))
 
@@ -249,7 +254,7 @@ def link_extract(t):
     return found.select("page_id", F.col("ord").cast("long").alias("ord"), U.absolute(F.col("link"), F.col("url")).alias("target"))
 
 
-@query()
+@query("SELECT id, loc FROM (VALUES (1, '<urlset><url><loc> https://a.com/x </loc></url><url><loc>ftp://b</loc></url></urlset>'), (2, 'junk<LOC>http://c.org</LOC>'), (3, '')) v(id, xml) LEFT JOIN LATERAL (SELECT trim(l) AS loc FROM (SELECT unnest(regexp_extract_all(xml, '(?i)<loc>([^<]+)</loc>', 1)) AS l) WHERE regexp_matches(trim(l), '^https?://')) ON true")
 def sitemap_locations(t):
     rows = [(1, "<urlset><url><loc> https://a.com/x </loc></url><url><loc>ftp://b</loc></url></urlset>"), (2, "junk<LOC>http://c.org</LOC>"), (3, "")]
     return t.rows(rows, "id int, xml string").select("id", F.explode_outer(U.locations(F.col("xml"))).alias("loc"))
@@ -281,10 +286,15 @@ def duration_format(t):
     return rows.select("l_orderkey", "l_linenumber", N.format_minutes(F.col("m")).alias("label"))
 
 
-@query()
+TIMES = [(1, "bake for 20 to 25 minutes at 350°F, rest 2 hours"), (2, "about 5 mins then 5 min, 180 C"), (3, "no time"), (4, None), (5, "1 hr 30 minutes"), (6, "90 mins - 2 hours; 10-15 minutes")]
+
+
+@query(r"""SELECT id, array_to_string(list_sort(list_distinct([x::BIGINT for x in regexp_extract_all(s, '(?i)([0-9]+)(?:\s*(?:to|-)\s*[0-9]+)?\s*(?:minutes?|mins?)', 1)] || [x::BIGINT for x in regexp_extract_all(s, '(?i)[0-9]+\s*(?:to|-)\s*([0-9]+)\s*(?:minutes?|mins?)', 1)]
+  || [x::BIGINT * 60 for x in regexp_extract_all(s, '(?i)([0-9]+)(?:\.[0-9]+)?\s*(?:hours?|hrs?)', 1)]))[1:2], ',') AS timers, CASE WHEN regexp_matches(s, '([0-9]+)\s*°?\s*([CFcf])') THEN regexp_extract(s, '([0-9]+)\s*°?\s*([CFcf])', 1) || upper(regexp_extract(s, '([0-9]+)\s*°?\s*([CFcf])', 2)) END AS temperature
+  FROM (VALUES """ + ", ".join(f"({i}, {'NULL' if x is None else chr(39) + x + chr(39)})" for i, x in TIMES) + ") v(id, s)")
 def timers_extract(t):
-    rows = [(1, "bake for 20 to 25 minutes, rest 2 hours"), (2, "about 5 mins then 5 min"), (3, "no time"), (4, None)]
-    return t.rows(rows, "id int, text string").select("id", N.timers(F.col("text")).alias("timers"), N.temperature(F.lit("350°F")).alias("temperature"))
+    degrees = N.temperature(F.col("text"))
+    return t.rows(TIMES, "id int, text string").select("id", F.array_join(N.timers(F.col("text")), ",").alias("timers"), F.concat(degrees["value"].cast("string"), degrees["unit"]).alias("temperature"))
 
 
 @query("SELECT o_orderkey, greatest(least(o_totalprice, 100000.0), 1000.0) AS clamped, CASE WHEN o_totalprice >= 1000000 THEN printf('%.1fM', floor(o_totalprice / 100000 + 0.5) / 10) WHEN o_totalprice >= 1000 THEN printf('%.1fK', floor(o_totalprice / 100 + 0.5) / 10) ELSE 'small' END AS label, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS rounded FROM orders")
