@@ -6,14 +6,15 @@ another role, merged into the turn before it (of the same role), and empty turns
 can be put in before it or at the end, each at a cost.  The automaton's state is
 the role of the last turn, so a turn is a 4 x 4 matrix of least costs, and a run
 of turns is the product of its matrices in the (min, +) semiring.  Of repairs of
-equal cost those with fewer turns win, then those through lesser states.
+equal cost those with fewer turns win; of these the one whose turns' new roles have
+the least sum of numbers that a hash of turn, role and text gives them.  So the
+choice is a function of the turns, wherever a conversation is cut.
 
 Turns are sorted by conversation, turn, role and text over range partitions, so a
 conversation of any size is spread over tasks.  A task first returns the matrices
-of the conversations at its two ends; the driver composes them over the tasks, a
-row for each; then each task traces its turns' repairs back from the known states.
-(Only the choice among equally good repairs of a conversation that spans tasks
-depends on where it is cut.)
+of the conversations at its two ends; those of one conversation, a row for each task
+that it spans, are composed in a group; then each task meets the states at its ends
+and traces its turns' repairs back from them.  The driver gets nothing.
 
 The result has a row for each turn, and a conversation's rendering is its rows'
 fragments in a row, so no task holds a conversation as one string.  Null
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, pieces_of, table
+from .common import id_key, partitions, pieces_of, table
 
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {SYSTEM: "system", USER: "user", ASSISTANT: "assistant"}
@@ -39,10 +40,11 @@ CODES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 MERGE, INSERT, RELABEL, NAME = 1, 3, 2, 1  # NAME: give an unknown role one
 FOLLOWS = {NONE: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 UNIT = 1 << 32  # costs above, counts of turns below
-NEVER = 1 << 61
+TIE, SHARE = 64, 21  # bits of the sums that settle ties, below both; and of one turn's number for a role
+NEVER = 1 << 61 + TIE
 START = [0, NEVER, NEVER, NEVER]
 #: Bytes of text that a task holds.
-PART = 256 << 20
+PART = 64 << 20
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 
 
@@ -68,38 +70,43 @@ def _steps(code: int) -> list[list[tuple[int, str, tuple[int, ...]]]]:
 
 
 STEPS = [_steps(code) for code in range(4)]
-WEIGHTS = [[[w for w, _, _ in row] for row in m] for m in STEPS]
+WEIGHTS = [[[w << TIE if w < NEVER else NEVER for w, _, _ in row] for row in m] for m in STEPS]
 #: What a conversation that ends in a state still needs.
 TAILS = {NONE: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 
 
-def after(vector: list[int], code: int) -> list[int]:
-    w = WEIGHTS[code]
-    return [min(NEVER, *(vector[s] + w[s][t] for s in range(4))) for t in range(4)]
+def settle(tie: int) -> list[int]:
+    """A turn's numbers for each state after it."""
+    return [0, *(tie >> SHARE * k & (1 << SHARE) - 1 for k in range(3))]
+
+
+def after(vector: list[int], code: int, tie: int) -> list[int]:
+    w, more = WEIGHTS[code], settle(tie)
+    return [min(NEVER, *(vector[s] + w[s][t] for s in range(4))) + more[t] for t in range(4)]
 
 
 def through(vector: list[int], matrix: list[list[int]]) -> list[int]:
     return [min(NEVER, *(vector[s] + matrix[s][t] for s in range(4))) for t in range(4)]
 
 
-def matrix(codes: list[int]) -> list[list[int]]:
+def matrix(turns: list[tuple[int, int]]) -> list[list[int]]:
     rows = [[0 if s == t else NEVER for t in range(4)] for s in range(4)]
-    for code in codes:
-        rows = [after(v, code) for v in rows]
+    for code, tie in turns:
+        rows = [after(v, code, tie) for v in rows]
     return rows
 
 
 def last_state(vector: list[int]) -> int:
-    return min(range(4), key=lambda s: vector[s] + len(TAILS[s]) * (INSERT * UNIT + 1))
+    return min(range(4), key=lambda s: vector[s] + (len(TAILS[s]) * (INSERT * UNIT + 1) << TIE))
 
 
-def trace(codes: list[int], vector: list[int], end: int) -> list[int]:
-    """States after each turn of the best repair that begins with ``vector`` and ends in ``end``; first the one before."""
+def trace(turns: list[tuple[int, int]], vector: list[int], end: int | None) -> list[int]:
+    """States after each turn of the best repair that begins with ``vector`` and ends in ``end`` (None: in the best state); first the one before."""
     vectors = [vector]
-    for code in codes:
-        vectors.append(after(vectors[-1], code))
-    states = [end]
-    for code, before in zip(reversed(codes), reversed(vectors[:-1]), strict=True):
+    for code, tie in turns:
+        vectors.append(after(vectors[-1], code, tie))
+    states = [last_state(vectors[-1]) if end is None else end]
+    for (code, _), before in zip(reversed(turns), reversed(vectors[:-1]), strict=True):
         w, t = WEIGHTS[code], states[-1]
         states.append(min(range(4), key=lambda s: (before[s] + w[s][t], s)))
     return states[::-1]
@@ -110,9 +117,9 @@ def _segments(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first, [*first[1:], len(keys)], strict=True))
 
 
-ORDERED = "part int, seq long, key long, conv_id long, turn long, role string, code int, text string"
+ORDERED = "part int, seq long, key long, conv_id long, turn long, role string, code int, text string, tie long"
 OUT = "conv_id long, turn long, role string, action string, new_role string, out_turn long, n_inserted int, cost int, fragment string"
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -127,42 +134,65 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq += n
 
 
-ENDS = "part int, first long, last long, segments int, head array<long>, tail array<long>"
-
-
-def _ends(got: pa.Table) -> pa.Table:
-    got = got.sort_by("seq")
-    keys, codes = got["key"].to_numpy(), got["code"].to_pylist()
-    cuts = _segments(keys)
-    flat = lambda a, b: sum(matrix(codes[a:b]), [])
-    row = [got["part"][0].as_py(), int(keys[0]), int(keys[-1]), len(cuts), flat(*cuts[0]), flat(*cuts[-1])]
-    return pa.table([[x] for x in row], schema=_schema(ENDS))
-
-
-def link(ends: list) -> dict[int, tuple]:
-    """For each task: the vector and count before its first conversation's turns, and the states at its two ends if those go on elsewhere."""
-    ends = sorted(ends, key=lambda r: r.part)
-    square = lambda x: [list(x[i : i + 4]) for i in range(0, 16, 4)]
-    before, vector, key = [], START, None
-    for r in ends:
-        before.append(vector if r.first == key else START)
-        vector = through(before[-1] if r.segments == 1 else START, square(r.tail))
-        key = r.last
-    out: dict[int, tuple] = {}
-    enters = None  # state that the next task's first conversation begins in, if it began before
-    for n in range(len(ends) - 1, -1, -1):
-        r = ends[n]
-        goes_on = n + 1 < len(ends) and ends[n + 1].first == r.last
-        leaves = enters if goes_on else None
-        came = n > 0 and ends[n - 1].last == r.first
-        enters = None
-        if came:
-            head = square(r.head)
-            v = through(before[n], head)
-            end = leaves if r.segments == 1 and leaves is not None else last_state(v)
-            enters = min(range(4), key=lambda s: (before[n][s] + head[s][end], s))
-        out[r.part] = (enters, before[n][enters] % UNIT if enters is not None else 0, leaves)
-    return out
+def _by_part(run):
+    """``run`` over each part's rows by themselves; rows come by part."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)].tolist()
+            for a, b in zip(edges, edges[1:]):
+                if held and held[0].column("part")[0].as_py() != part[a]:
+                    yield from run(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(held)
+
+    return each
+
+
+ENDS = "key long, part int, matrix array<string>"
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matrices of a task's first and last conversations; its rows come in order."""
+    schema = _schema(ENDS)
+    open_, first = None, True  # key, part, rows of the matrix of the conversation at hand
+
+    def row() -> pa.RecordBatch:
+        key, part, rows = open_
+        return pa.record_batch([[key], [part], [[str(x) for r in rows for x in r]]], schema=schema)
+
+    for batch in batches:
+        for part, key, code, tie in zip(*(batch.column(n).to_pylist() for n in ("part", "key", "code", "tie")), strict=True):
+            if open_ is None or key != open_[0]:
+                if open_ is not None and first:
+                    yield row()
+                    first = False
+                open_ = (key, part, matrix([]))
+            open_ = (key, part, [after(v, code, tie) for v in open_[2]])
+    if open_ is not None:
+        yield row()
+
+
+KNOWN = "part int, key long, enters int, turns long, leaves int"
+
+
+def _link(got: pa.Table) -> pa.Table:
+    """For each task that a conversation spans: the state and count of turns before its part there, and the state after it; null at the conversation's own ends."""
+    rows = sorted(zip(got["part"].to_pylist(), got["matrix"].to_pylist(), strict=True))
+    squares = [[[int(x) for x in m[i : i + 4]] for i in range(0, 16, 4)] for _, m in rows]
+    before = [START]
+    for m in squares:
+        before.append(through(before[-1], m))
+    out, end = [], last_state(before[-1])
+    for n in range(len(rows) - 1, -1, -1):
+        begin = min(range(4), key=lambda s: (before[n][s] + squares[n][s][end], s)) if n else None
+        out.append((rows[n][0], got["key"][0].as_py(), begin, (before[n][begin] >> TIE) % UNIT if n else 0, end if n < len(rows) - 1 else None))
+        end = begin
+    return pa.table([list(c) for c in zip(*out, strict=True)], schema=_schema(KNOWN))
 
 
 def repair(rows: list[tuple], codes: list[int], states: list[int], turns: int, closed: bool) -> Iterator[tuple]:
@@ -190,25 +220,24 @@ def repaired(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tu
         F.coalesce(F.when(F.col(role).isNotNull(), code), F.lit(NONE)).alias("code"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     order = ("key", "turn", "role", F.xxhash64("text"))
-    ordered = table(rows.repartitionByRange(pieces_of(rows, "text", PART), *order).sortWithinPartitions(*order, "text").mapInArrow(_number, ORDERED), "ordered")
-    ends = ordered.select("part", "seq", "key", "code").groupBy("part").applyInArrow(_ends, ENDS).collect()  # a row for each task
-    known = link(ends)
-
-    def run(got: pa.Table) -> pa.Table:
+    rows = rows.withColumn("tie", F.xxhash64("turn", "role", "text"))
+    ordered = rows.repartitionByRange(pieces_of(rows, "text", PART), *order).sortWithinPartitions(*order, "text")
+    ordered = table(ordered.mapInArrow(_number, ORDERED), "ordered")
+    # a file's rows are in order but its splits are tasks of their own, so parts are put together again
+    parts = ordered.select("part", "seq", "key", "code", "tie").repartition(partitions(ordered.sparkSession), "part").sortWithinPartitions("part", "seq")
+    known = table(parts.mapInArrow(_by_part(_ends), ENDS).groupBy("key").applyInArrow(_link, KNOWN), "known")
+
+    def run(got: pa.Table, ends: pa.Table) -> pa.Table:
         got = got.sort_by("seq")
-        enters, turns, leaves = known[got["part"][0].as_py()]
-        keys, codes = got["key"].to_numpy(), got["code"].to_pylist()
+        at = {k: (e, n, x) for k, e, n, x in zip(*(ends[c].to_pylist() for c in ("key", "enters", "turns", "leaves")), strict=True)}
+        keys, turns = got["key"].to_numpy(), list(zip(got["code"].to_pylist(), got["tie"].to_pylist(), strict=True))
         rows = list(zip(*(got[n].to_pylist() for n in ("conv_id", "turn", "role", "text")), strict=True))
-        cuts, out = _segments(keys), []
-        for n, (a, b) in enumerate(cuts):
-            start = NONE if n or enters is None else enters
-            vector = [0 if s == start else NEVER for s in range(4)]
-            on = leaves if n == len(cuts) - 1 else None
-            end = vector
-            for c in codes[a:b]:
-                end = after(end, c)
-            states = trace(codes[a:b], vector, last_state(end) if on is None else on)
-            out += repair(rows[a:b], codes[a:b], states, turns if n == 0 else 0, on is None)
-        return pa.table([list(c) for c in zip(*out, strict=True)], schema=_schema(OUT))
-
-    return ordered.groupBy("part").applyInArrow(run, OUT)
+        out = []
+        for a, b in _segments(keys):
+            enters, count, leaves = at.get(int(keys[a]), (None, 0, None))
+            start = NONE if enters is None else enters
+            states = trace(turns[a:b], [0 if s == start else NEVER for s in range(4)], leaves)
+            out += repair(rows[a:b], [c for c, _ in turns[a:b]], states, count, leaves is None)
+        return pa.table([list(c) for c in zip(*out, strict=True)] if out else [[] for _ in _schema(OUT)], schema=_schema(OUT))
+
+    return ordered.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, OUT)

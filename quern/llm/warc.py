@@ -1,8 +1,10 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are sorted by id and dealt to shards by key ranges.  The bounds come from
-the ``SAMPLE`` ids with the least hashes, a function of the data alone, so the
-same rows give the same files on any cluster.  Of records with equal payloads of
+Records are sorted by id and payload digest and dealt to shards by ranges of these.
+The bounds are every ``SAMPLE``-th key of those whose hashes are least, ``SAMPLE`` for
+each shard, a function of the data alone, so the same rows give the same files on any
+cluster; the driver meets one bound for each shard (28 bytes for ``SHARD`` bytes of
+payload).  An id that many records share is split by their digests.  Of records with equal payloads of
 ``least`` bytes at least, the one with the largest id is the response and the
 others are revisits that refer to it; the digests meet in an aggregation that
 combines before its shuffle, and only the few facts about revisits join the
@@ -10,7 +12,8 @@ payloads' one shuffle.  A task writes its shards one by one, each record a gzip
 member of its own, and begins a new file when the compressed size reaches the
 limit.  A file is written under a temporary name and renamed when complete; a
 manifest of the files, committed last, is what readers go by, so a lost task's
-leftovers are never read and a repeated task writes the same bytes again.
+leftovers are never read and a repeated task writes the same bytes again.  The
+temporary folder goes when the manifest is there.
 
 Null payload counts as empty.  A null id counts as the smallest and reads back as
 null.  Rows that repeat an id and a payload with the largest id are all responses.
@@ -29,12 +32,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.report import numbered
+
 from .common import NULL_ID, cleaned, id_key, new_path, partitions, table
 
-SAMPLE = 1 << 14
+SAMPLE = 32
 #: Bytes of payload meant for a shard, and compressed bytes at which a file ends.
 SHARD, FILE = 32 << 20, 64 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -80,8 +85,8 @@ class _File:
 
     def __init__(self, root: str, name: str) -> None:
         self.fs, base = fs.FileSystem.from_uri(root)
-        self.name, self.target, self.temporary = name, f"{base}/{name}", f"{base}/_temporary-{uuid.uuid4().hex}"
-        self.fs.create_dir(base, recursive=True)
+        self.name, self.target, self.temporary = name, f"{base}/{name}", f"{base}/_temporary/{uuid.uuid4().hex}"
+        self.fs.create_dir(f"{base}/_temporary", recursive=True)
         self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.records, self.size, self.sha, self.first, self.last = 0, 0, hashlib.sha256(), None, None
         self.write(record("warcinfo", [("WARC-Record-ID", f"<urn:file:{name}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
@@ -97,6 +102,11 @@ class _File:
         return self.name, self.records, self.size, self.sha.hexdigest(), self.first, self.last
 
 
+def _key(id_: str, sha: str) -> Column:
+    """Bytes whose order is that of id and digest."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col(id_).bitwiseXOR(F.lit(NULL_ID))), 16, "0")), F.col(sha))
+
+
 def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, shard_bytes: int = SHARD, file_bytes: int = FILE) -> DataFrame:
     """Write the archive under ``root`` and return its manifest."""
     spark = pages.sparkSession
@@ -107,18 +117,26 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
     facts = marks.where(F.col("size") >= least).join(heads, "sha").where("id < head").groupBy("id", "sha").agg(F.max("head").alias("head"))
     total = marks.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    sample = np.sort([r[0] for r in marks.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(min(SAMPLE, 32 * shards)).collect()])
-    bounds = np.unique(sample[[len(sample) * k // shards for k in range(1, shards)]]) if len(sample) else sample
+    keys = marks.select(_key("id", "sha").alias("key"))
+    n = marks.count()
+    if shards > 1:
+        share = (2**64 - 1) * min(n, SAMPLE * shards) // n - 2**63
+        drawn = table(keys.where(F.xxhash64("key") <= share), "sample")
+        step = max(1, drawn.count() // shards)
+        bounds = [bytes(r[0]) for r in numbered(drawn, "key").where(F.col("number") % step == 0).orderBy("number").select("key").collect()]
+    else:
+        bounds = []
+    edges = np.unique(np.array(bounds, "S28"))
 
     @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+    def shard(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, np.array(keys.tolist(), "S28"), side="right").astype(np.int32))
 
     void = F.lit(None)
     both = rows.select("id", "sha", F.lit(1).alias("kind"), "url", "payload", "size", void.cast("long").alias("head")).unionByName(
         facts.select("id", "sha", F.lit(0).alias("kind"), void.cast("string").alias("url"), void.cast("binary").alias("payload"), F.lit(0).cast("long").alias("size"), "head")
     )
-    dealt = both.withColumn("shard", shard("id")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
+    dealt = both.withColumn("shard", shard(_key("id", "sha"))).repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
     schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (x.split() for x in MANIFEST.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +163,9 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
 
     with cleaned(spark):
         dealt.mapInArrow(run, MANIFEST).write.parquet(f"{root}/_manifest")
+    system, base = fs.FileSystem.from_uri(root)
+    if system.get_file_info(f"{base}/_temporary").type != fs.FileType.NotFound:
+        system.delete_dir(f"{base}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{root}/_manifest")
 
 

@@ -53,3 +53,17 @@ def test_repairs(spark):
         assert text.count("<|end|>") == len(said)
         assert (sum(r.cost for r in got), len(said)) == cheapest(source[conv]), conv
     assert c.repaired(frame.limit(0)).count() == 0
+
+
+def test_cuts_change_nothing(spark, monkeypatch):
+    """The same rows out, whatever the partitions; conversations that span tasks have many equally good repairs."""
+    rnd = random.Random(4)
+    rows = [(conv, t, rnd.choice(["user", "assistant", "system", "tool", None]), f"{conv} {t} " + "x" * rnd.randint(0, 300)) for conv in range(6) for t in range(rnd.choice([3, 200, 900]))]
+    rows += [(7, 1, "user", "y" * 2_000_000), (7, 2, "user", None), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = None
+    for parts, size in ((1, 1 << 40), (4, 20_000), (13, 3_000)):
+        monkeypatch.setattr(c, "PART", size)
+        got = sorted(map(tuple, c.repaired(frame.repartition(parts)).collect()), key=str)
+        assert len(got) == len(rows) and (want is None or got == want)
+        want = got

@@ -43,8 +43,18 @@ def test_files(spark):
         for m in manifest:
             with open(f"{folder}/{m.file}", "rb") as f:
                 assert hashlib.sha256(f.read()).hexdigest() == m.sha256
-        assert not [x for x in os.listdir(folder) if "temporary" in x]
+        assert sorted(x for x in os.listdir(folder) if not x.startswith("part-")) == ["_manifest"]
         found.append([tuple(m) for m in manifest])
         payloads = {r.page_id: bytes(r.payload) for r in warc.read(spark, root).where("record_type = 'response'").collect()}
         assert all(payloads[i] == (t or "").encode() for i, _, t in rows() if i is not None and i in payloads)
     assert found[0] == found[1] and len(found[0]) > 3
+
+
+def test_one_id_with_many_records(spark):
+    """Records of one id, and those without any, are spread over shards."""
+    data = [(7, f"u{i}", f"{i} " * 3000) for i in range(400)] + [(None, f"v{i}", f"n{i} " * 3000) for i in range(400)] + [(1, "w", "one")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    root = new_path(spark, "w")
+    manifest = warc.write(pages, root, shard_bytes=1 << 20).collect()
+    assert len({m.file.split("-")[1] for m in manifest}) > 4 and sum(m.records for m in manifest) == len(data)
+    assert sorted((str(r.page_id), r.url, bytes(r.payload).decode()) for r in warc.read(spark, root).collect()) == sorted((str(i), u, h) for i, u, h in data)
