@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, id_key, sliced, table, text_key
+from .common import discard, fresh, id_key, lean, sliced, table, text_key
 
 DEPTH, SHARE, MIN_DOCS = 2, 0.5, 5
 #: Tenths of a line's plain tokens that are constant in a template, at least.
@@ -131,7 +131,7 @@ def constants(lines: DataFrame, min_docs: int) -> DataFrame:
 def dropped(docs: DataFrame, doc_id: str, text: str, min_docs: int) -> DataFrame:
     """id, th, lines: the numbers of the lines that go."""
     keyed = docs.select(id_key(doc_id).alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
-    lines = table(keyed.where(F.octet_length("text") > 0).mapInArrow(scan, LINES), "lines")
+    lines = table(keyed.where(F.octet_length("text") > 0).mapInArrow(lean(scan), LINES), "lines")
     leaves = table(lines.where(F.col("new").bitwiseAND(1) == 1).groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     live = table(lines.join(leaves, "leaf", "left_semi"), "live")
     discard(lines, leaves)

@@ -26,8 +26,8 @@ import numpy as np
 
 #: Added to the changes of counts, which a token's length bounds, to keep them positive.
 BIAS = 192
-#: States that a worker holds.
-STATES = 400_000
+#: States that a worker holds, and those that it keeps from one task to the next.
+STATES, KEPT = 400_000, 60_000
 #: Pieces under which a batch's rest goes piece by piece.
 FEW = 24
 _TURN = np.uint32(0x9E3779B1)
@@ -153,6 +153,11 @@ class MergeAutomaton:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def rest(self) -> None:
+        """Make room for other work between tasks."""
+        if len(self.states) > KEPT:
+            self._reset(self.states[:1])
+
     def crossed(self, a: int, b: int, inner: bool = False) -> bool:
         """Whether a merge would take the end of ``a`` with the beginning of ``b`` before both are complete.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_key, sliced, strings, table, text_key
+from .common import fresh, id_key, lean, sliced, strings, table, text_key
 from .simhash import Forest, hashes_of, links, majority, stars
 
 WORDS, LEAST = 5, 0.8
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in numbers), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
-    return keyed.mapInArrow(run, SKETCH)
+    return keyed.mapInArrow(lean(run), SKETCH)
 
 
 def similar(sets: list[np.ndarray], least: float = LEAST, apart: np.ndarray | None = None) -> np.ndarray:

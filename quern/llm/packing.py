@@ -32,7 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, strings, table
+from .common import lean, sliced, strings, table
+from .merge_automaton import MergeAutomaton
+from .token_counts import SLICE
 from .token_counts import ids as ids_of
 from .vocabulary import default_path
 
@@ -120,7 +122,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, size: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64).tolist()
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             rows = []
             for i, ids in zip(batch.column(0).to_pylist(), ids_of(strings(batch, "text"), tokenizer), strict=True):
                 ids += last
@@ -133,8 +135,9 @@ def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, size: int =
                     at, k = to, k + 1
             if rows:
                 yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=schema)
+        MergeAutomaton.of(tokenizer).rest()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:

@@ -18,7 +18,6 @@ repeated ids and clashing column names don't matter.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import sliced, strings, table
+from .common import lean, sliced, strings, table
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters", "n_odd_words", "n_stutters", "n_plain")
 THRESHOLD = 0.5
@@ -47,8 +46,8 @@ _LETTER = _UPPER | (_ALL >= 97) & (_ALL <= 122)
 _SPACE = (_ALL >= 9) & (_ALL <= 13) | (_ALL == 32)
 _STARTS = (_ALL & 0xC0) != 0x80
 _PLAIN = _LETTER | (_ALL >= 48) & (_ALL <= 57) | (_ALL >= 0xC0)
-#: A word without letter or digit, or with two ASCII signs in a row.
-_odd = re.compile(rb"(?<!\S)(?:[^\s0-9A-Za-z\x80-\xff]+(?!\S)|[^\s!-/:-@\[-`{-~]*(?:[!-/:-@\[-`{-~][^\s!-/:-@\[-`{-~]+)*[!-/:-@\[-`{-~]{2}\S*)").findall
+#: Bytes by kind: white space, ASCII sign "!", letter, digit or beyond ASCII "a", control ".".
+_KINDS = bytes(32 if _SPACE[i] else 97 if i >= 128 or _PLAIN[i] else 33 if 33 <= i <= 126 else 46 for i in range(256))
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -71,6 +70,14 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
+def odd_words(data: bytes) -> int:
+    """Words without letter or digit, or with two ASCII signs in a row."""
+    kinds = data.translate(_KINDS)
+    if b"!!" not in kinds and b" !" not in kinds and b" ." not in kinds and kinds[:1] not in (b"!", b"."):
+        return 0
+    return sum(b"!!" in w or b"a" not in w for w in kinds.split())
+
+
 def measure(text: str) -> tuple[int, ...]:
     data = text.encode()
     words = data.split()
@@ -80,7 +87,7 @@ def measure(text: str) -> tuple[int, ...]:
     return (
         len(words), int(count[_STARTS].sum() - count[_SPACE].sum()), int(count[_SYMBOL].sum()), len(lines) - len(set(lines)),
         repeat_words(words), len(lines), int(count[_MARK].sum()), int(count[_UPPER].sum()), letters,
-        len(_odd(data)), sum(map(eq, words, islice(words, 1, None))), int(count[_PLAIN].sum()),
+        odd_words(data), sum(map(eq, words, islice(words, 1, None))), int(count[_PLAIN].sum()),
     )
 
 
@@ -171,7 +178,7 @@ def features(docs: DataFrame, doc_id: str | None = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *_measures(strings(batch, "text"))], ["id", *MEASURES])
 
     key = F.col(doc_id) if doc_id else F.lit(None)
-    return docs.select(key.cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in MEASURES))
+    return docs.select(key.cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lean(run), "id long, " + ", ".join(f"{x} long" for x in MEASURES))
 
 
 def learned(found: DataFrame) -> Model:
@@ -210,4 +217,4 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *_measures(strings(batch, own))], [*names, *MEASURES])
 
     schema = StructType([*plain.schema.fields, *(StructField(x, LongType()) for x in MEASURES)])
-    return plain.mapInArrow(run, schema).where(kept(model)).select(*names).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), schema).where(kept(model)).select(*names).toDF(*docs.columns)

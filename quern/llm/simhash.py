@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_key, partitions, sliced, strings, table, text_key
+from .common import fresh, id_key, lean, partitions, sliced, strings, table, text_key
 
 BUDGET, BLOCK = 3, 16
 #: Bits beside a block, and of each of their sub-blocks.
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.record_batch([batch.column(0), batch.column(1), got.view(np.int64)], schema=schema)
 
     keyed = docs.select(F.col(doc_id).cast("long").alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
-    return keyed.mapInArrow(run, "id long, th long, fp long")
+    return keyed.mapInArrow(lean(run), "id long, th long, fp long")
 
 
 class Forest:

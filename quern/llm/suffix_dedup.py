@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, anchors, mixed
-from .common import fresh, id_key, partitions, pieces_of, strings, table, text_key
+from .common import fresh, id_key, lean, partitions, pieces_of, strings, table, text_key
 from .suffix_sort import common_prefix, deep_shallow_sort
 
 GRAM = 32
@@ -295,13 +295,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     spark = docs.sparkSession
     n = partitions(spark)
     keyed = docs.select(id_key(doc_id).alias("id"), text_key(text).alias("th"), F.col(text).alias("text"))
-    scanned = keyed.where(F.octet_length("text") >= width).mapInArrow(scan(width, GRAM, pieces_of(keyed, "text", BUCKET)), SCANNED)
+    scanned = keyed.where(F.octet_length("text") >= width).mapInArrow(lean(scan(width, GRAM, pieces_of(keyed, "text", BUCKET))), SCANNED)
     settled = scanned.groupBy("bucket").applyInArrow(settle(width, LARGE), SETTLED)
     settled = settled.groupBy("id", "th").agg(F.collect_list("spans").alias("spans"), F.collect_list("open").alias("open"))
     settled = table(settled, "settled")
     # shuffle_hash keeps the texts from being sorted; the build side has a few bytes for each anchor
     still = settled.where(F.size("open") > 0).select("id", "th", "open").hint("shuffle_hash")
-    opened = table(keyed.join(still, ["id", "th"]).select("id", "th", "text", "open").mapInArrow(contexts(width), CONTEXTS), "contexts")
+    opened = table(keyed.join(still, ["id", "th"]).select("id", "th", "text", "open").mapInArrow(lean(contexts(width)), CONTEXTS), "contexts")
     schema = _schema("id long, th long, spans binary")
     small = opened.where(~F.col("large")).select("g1", "id", "th", "at", "lo", "hi", "context").repartition(n, "g1").sortWithinPartitions("g1")
     by_sort = small.mapInArrow(sort_groups(width, schema), "id long, th long, spans binary")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, strings
+from .common import lean, sliced, strings
 from .merge_automaton import MergeAutomaton
 from .vocabulary import SPECIAL, Classes, default_path
 
@@ -40,6 +40,8 @@ HERE, BEFORE = 1, 2
 WORDS = (LETTER, STMD, R, V, L_, E_)
 #: Characters after which lanes are looked at for having come to one state.
 SETTLING = 64
+#: Bytes of text read at a time.
+SLICE = 2 << 20
 
 
 def transducer() -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +210,10 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             got = count(strings(batch, "text"), path)
             size = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             yield pa.record_batch([batch.column("doc_id"), size, got, got > limit], schema=schema)
+        MergeAutomaton.of(path).rest()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
