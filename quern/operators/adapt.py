@@ -56,6 +56,33 @@ def shape(c: Column) -> Column:
     return F.when(v.isNull(), "text").when(F.startswith(kind, F.lit("ARRAY")), "array").when(F.startswith(kind, F.lit("OBJECT")), "object").otherwise("text")
 
 
+def api_record(v: Column) -> Column:
+    """A record of a nested API answer: items with amounts over zero, steps of the first analysed block, a summary without tags, named nutrients."""
+    items = F.transform(v["items"], lambda x, i: F.struct(x["original"].alias("text"), F.coalesce(x["original_name"], x["name"]).alias("name"), F.when(x["amount"] > 0, x["amount"]).alias("quantity"), F.nullif(x["unit"], F.lit("")).alias("unit"), i.alias("order_index")))
+    steps = F.transform(F.coalesce(F.get(v["analyzed"], 0)["steps"], F.array().cast("array<struct<number: int, step: string>>")), lambda s: F.struct(s["number"].alias("step_number"), s["step"].alias("text")))
+    nutrient = lambda name: F.get(F.filter(v["nutrients"], lambda n: n["name"] == name), 0)["amount"].alias(name.lower())
+    slug = F.concat(F.regexp_replace(F.lower(v["title"]), r"\s+", "-"), F.lit("-"), v["id"].cast("string"))
+    return F.struct(
+        v["title"].alias("title"), F.regexp_replace(v["summary"], "<[^>]*>", "").alias("description"), F.coalesce(F.nullif(v["url"], F.lit("")), slug).alias("source"), items.alias("items"), steps.alias("steps"),
+        F.get(v["cuisines"], 0).alias("cuisine"), F.concat(v["cuisines"], v["dishes"], v["diets"]).alias("tags"), nutrient("Calories"), nutrient("Protein"),
+    )
+
+
+def linked_data(v: Column) -> dict[str, Column]:
+    """Author, minutes, nutrients and tags of a linked-data JSON text, under any of their names."""
+    get = lambda *paths: F.coalesce(*(F.get_json_object(v, "$." + p) for p in paths))
+    raw = get("author")
+    author = F.when(F.startswith(raw, F.lit("[")), get("author[0].name", "author[0]")).when(F.startswith(raw, F.lit("{")), get("author.name", "author['@name']", "author.title")).otherwise(raw)
+    number = lambda *paths: F.nullif(F.regexp_extract(F.regexp_replace(get(*paths), "[^0-9.]", ""), r"^[0-9]*\.?[0-9]+", 0).try_cast("double"), F.lit(0.0))
+    words = F.filter(F.transform(F.split(F.coalesce(get("keywords"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    meal = "(?i)^(breakfast|lunch|dinner|dessert|snack|appetizer|side dish)$"
+    return {
+        "author": author, "prep": get("prepTime.text", "prepTime", "preparationTime"), "fat": number("nutrition.fatContent", "nutrition.fat", "nutrition.Fat"),
+        "protein": number("nutrition.proteinContent", "nutrition.protein", "nutrition.Protein"), "sodium": number("nutrition.sodiumContent", "nutrition.sodium", "nutrition.Sodium"),
+        "meals": F.filter(words, lambda x: x.rlike(meal)), "tags": F.filter(words, lambda x: ~x.rlike(meal)),
+    }
+
+
 def matching(df: DataFrame, substring: Column, wanted: str, exact: Column, level: str, limit: int, *order: str) -> DataFrame:
     """Case-blind substring and equality filters, then the first rows in order."""
     return df.where(F.contains(F.lower(substring), F.lit(wanted.lower())) & (F.lower(exact) == level.lower())).orderBy(*order).limit(limit)

@@ -94,6 +94,7 @@ def sampled(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 # Ordered patterns of messages.
 PATTERNS = (("timeout", "Network Timeout"), ("failed to fetch", "Fetch Error"), ("json-ld", "JSON-LD Parsing Error"), ("validation failed", "QA Validation Failed"), ("selector", "HTML Selector Error"), ("404", "404 Not Found"), ("50", "Server Error (5xx)"))
 REGISTRY = (("cloudflare|cf-ray", "cloudflare"), ("captcha", "captcha"), ("403|forbidden|unauthorized", "authentication"), ("429|rate limit", "rate_limit"), ("timeout|timed out", "timeout"), ("parse|invalid|format", "invalid_format"))
+CRAWL = (("429|rate limit", "rate_limit"), ("403|forbidden", "forbidden"), ("timeout", "timeout"))
 OPERATION = (("timeout", "timeout"), ("403|forbidden", "bot_detection"), ("429|rate limit", "rate_limit"), ("parse|extract", "parsing_error"))
 # End of fixed values.
 
@@ -114,3 +115,8 @@ def registry_error(message: Column) -> Column:
 def operation_error(message: Column) -> Column:
     """Case matters here."""
     return first_pattern(message, OPERATION, "http_error")
+
+
+def crawl_error(message: Column) -> Column:
+    """Case matters here, too."""
+    return first_pattern(message, CRAWL, "unknown")

@@ -93,3 +93,41 @@ def robots_lines(t):
 
     rows = [(1, "User-agent: *\nSitemap: https://a.com/s.xml\nsitemap:https://b.com/t.xml"), (2, "none"), (3, None)]
     return t.rows(rows, "id int, text string").select("id", F.explode_outer(robots_sitemaps(F.col("text"))).alias("sitemap"))
+
+
+API = "id int, title string, summary string, url string, items array<struct<original: string, original_name: string, name: string, amount: double, unit: string>>, analyzed array<struct<steps: array<struct<number: int, step: string>>>>, cuisines array<string>, dishes array<string>, diets array<string>, nutrients array<struct<name: string, amount: double>>"
+ANSWERS = [
+    (1, "Big Pie", "<b>Good</b> pie", "http://a.com/1", [("2 cups flour", None, "flour", 2.0, "cups"), ("salt", "sea salt", "salt", 0.0, "")], [([(1, "Mix"), (2, "Bake")],), ([(1, "Other")],)], ["French"], ["main"], [], [("Protein", 5.0), ("Calories", 300.0)]),
+    (2, "Plain  Soup", None, "", [], [], [], ["soup"], ["vegan"], []),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'Big Pie', 'Good pie', 'http://a.com/1', 'flour|2.0|cups;sea salt||', '1 Mix;2 Bake', 'French', 'French,main', 300.0::DOUBLE, 5.0::DOUBLE), (2, 'Plain  Soup', NULL, 'plain-soup-2', '', '', NULL, 'soup,vegan', NULL, NULL)) v(id, title, description, source, items, steps, cuisine, tags, calories, protein)")
+def api_records(t):
+    rows = t.rows(ANSWERS, API)
+    r = rows.select("id", A.api_record(F.struct(*rows.columns)).alias("r")).select("id", "r.*")
+    items = F.transform("items", lambda x: F.concat_ws("|", x["name"], F.coalesce(x["quantity"].cast("string"), F.lit("")), F.coalesce(x["unit"], F.lit(""))))
+    steps = F.transform("steps", lambda x: F.concat_ws(" ", x["step_number"], x["text"]))
+    return r.select("id", "title", "description", "source", F.array_join(items, ";").alias("items"), F.array_join(steps, ";").alias("steps"), "cuisine", F.array_join("tags", ",").alias("tags"), "calories", "protein")
+
+
+LINKED = [
+    (1, '{"author": "Ann", "prepTime": "PT10M", "nutrition": {"fatContent": "12.5 g", "Sodium": "300 mg"}, "keywords": "quick, Dinner, vegan"}'),
+    (2, '{"author": [{"name": "Bob"}, "C"], "preparationTime": "20 min", "nutrition": {"protein": "7"}}'),
+    (3, '{"author": {"title": "Chef"}, "prepTime": {"text": "5 min"}, "nutrition": {"fat": "none"}, "keywords": "lunch"}'),
+    (4, "no json"),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'Ann', 'PT10M', 12.5::DOUBLE, NULL::DOUBLE, 300.0::DOUBLE, 'Dinner', 'quick,vegan'), (2, 'Bob', '20 min', NULL, 7.0, NULL, '', ''), (3, 'Chef', '5 min', NULL, NULL, NULL, 'lunch', ''), (4, NULL, NULL, NULL, NULL, NULL, '', '')) v(id, author, prep, fat, protein, sodium, meals, tags)")
+def linked_records(t):
+    d = A.linked_data(F.col("json"))
+    return t.rows(LINKED, "id int, json string").select("id", *(d[k].alias(k) for k in ("author", "prep", "fat", "protein", "sodium")), F.array_join(d["meals"], ",").alias("meals"), F.array_join(d["tags"], ",").alias("tags"))
+
+
+SHAPES = [(1, '[{"a": 1}]'), (2, '{"a": 1}'), (3, "plain"), (4, "12"), (5, None), (6, "")]
+
+
+@query("SELECT * FROM (VALUES (1, 'array'), (2, 'object'), (3, 'text'), (4, 'text'), (5, 'text'), (6, 'text')) v(id, shape)")
+def payload_shapes(t):
+    return t.rows(SHAPES, "id int, c string").select("id", A.shape(F.col("c")).alias("shape"))

@@ -37,6 +37,25 @@ def qa_log_patterns(t):
     return messages(t).groupBy(R.error_pattern(m).alias("pattern"), R.registry_error(m).alias("kind"), R.operation_error(m).alias("operation")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT CASE WHEN contains(m, '429') OR contains(m, 'rate limit') THEN 'rate_limit' WHEN contains(m, '403') OR contains(m, 'forbidden') THEN 'forbidden' WHEN contains(m, 'timeout') THEN 'timeout' ELSE 'unknown' END AS kind, count(*) AS n FROM (SELECT {MESSAGE} AS m FROM events) GROUP BY 1")
+def crawl_errors(t):
+    return messages(t).groupBy(R.crawl_error(F.col("message")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS kind, count(*) FILTER (value < 50) AS temporary, count(*) FILTER (value >= 50) AS permanent, count(*) AS total FROM events WHERE event_type IN ('error', 'click', 'signup') GROUP BY ROLLUP (event_type)")
+def block_statistics(t):
+    """Blocks by kind of error and together; small values stand for temporary ones."""
+    rows = t("events").where(F.col("event_type").isin("error", "click", "signup"))
+    sums = rows.rollup("event_type").agg(F.count_if(F.col("value") < 50).alias("temporary"), F.count_if(F.col("value") >= 50).alias("permanent"), F.count("*").alias("total"), F.grouping("event_type").alias("g"))
+    return sums.select(F.when(F.col("g") == 1, "all").otherwise(F.col("event_type")).alias("kind"), "temporary", "permanent", "total")
+
+
+@query("SELECT user_id, count(*) AS requests, CASE WHEN count(*) > 0 THEN printf('%.2f', count(*) FILTER (event_type = 'view') * 100.0 / count(*)) || '%' ELSE '0%' END AS hit_rate FROM events GROUP BY 1")
+def hit_rates(t):
+    hits = F.count_if(F.col("event_type") == "view")
+    return t("events").groupBy("user_id").agg(F.count("*").alias("requests"), F.concat(F.format_string("%.2f", hits * 100.0 / F.count("*")), F.lit("%")).alias("hit_rate"))
+
+
 @query("SELECT CASE WHEN grouping(event_type) = 0 THEN event_type ELSE 'hour ' || h END AS key, count(*) AS n FROM (SELECT event_type, CAST(hour(ts) AS VARCHAR) AS h FROM events) GROUP BY GROUPING SETS ((event_type), (h))")
 def qa_log_one_pass(t):
     rows = t("events").select("event_type", F.hour("ts").cast("string").alias("h"))
