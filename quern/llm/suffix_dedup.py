@@ -11,10 +11,11 @@ array: its sparse suffix array over the anchors suffices.
 2.  A bucket settles all contexts but the first of equal ones.  First ones whose
     gram has other contexts too may share some windows only: they stay open.
 3.  Open contexts come together by gram.  The suffixes that start at the anchors
-    are put in order by deep-shallow sorting; neighbours' common prefixes and the
-    common left sides give the windows that two contexts share.  A gram with over
-    ``LARGE`` contexts sends its windows' 128-bit hashes through a Spark
-    aggregation instead, which combines them before the shuffle.
+    and the left sides, read backwards, are put in order by deep-shallow sorting;
+    neighbours' common prefixes give the windows that contexts share, in time that
+    grows with their number.  So that no task gets a gram of any size, one with over
+    ``LARGE`` contexts sends its windows' 128-bit hashes through a Spark aggregation
+    instead, which combines them before the shuffle.
 4.  The settled byte ranges join the documents by key and are cut.
 
 Order of texts: by id (null first), then by hash of the text.  Rows that agree in
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 
 from .anchors import Hashes, anchors, mixed
 from .common import fresh, id_key, lean, partitions, pieces_of, strings, table, text_key
-from .suffix_sort import common_prefix, deep_shallow_sort
+from .suffix_sort import deep_shallow_sort
 
 GRAM = 32
-#: Contexts of one gram that are sorted together.
-LARGE = 256
+#: Contexts of one gram that are sorted together at most, and of several grams that are looked at together.
+LARGE, TOGETHER = 4096, 4096
 #: Bytes of text whose anchors a bucket gets.
 BUCKET = 64 << 20
 #: Bytes of text hashed at a time, and anchors held before they are sent.
@@ -245,47 +246,67 @@ def contexts(width: int):
     return run
 
 
-def shared_windows(group: list[tuple], width: int) -> Iterator[tuple[int, int, int, int]]:
-    """Byte ranges (id, th, start, end) of a gram's contexts (id, th, at, lo, hi, bytes) that an earlier one has too."""
-    right = [g[5][g[2] - g[3] :] for g in group]
-    left = [g[5][: g[2] - g[3]][::-1] for g in group]
-    order, shared = deep_shallow_sort(right)
-    for x, i in enumerate(order):
-        prefix = width
-        for y in range(x + 1, len(order)):
-            prefix = min(prefix, shared[y])
-            j = order[y]
-            if group[i][:3] == group[j][:3]:  # a repeated row
-                continue
-            late, early = (group[i], group[j]) if group[i][:3] > group[j][:3] else (group[j], group[i])
-            suffix = common_prefix(left[i], left[j])
-            least = max(late[2] - late[4], early[2] - early[4], width - prefix)
-            most = min(late[2] - late[3], early[2] - early[3], suffix)
-            if least <= most:
-                yield late[0], late[1], late[2] - most, late[2] - least + width
-            if width - prefix > max(late[2] - late[3], early[2] - early[3]) and prefix < GRAM:
-                break
+def shared_windows(groups: list[list[tuple]], width: int) -> np.ndarray:
+    """Byte ranges of the contexts (id, th, at, lo, hi, bytes) of each gram that an earlier one of the same gram has too.
+
+    A window begins ``a`` bytes before its anchor.  Two contexts share it if the suffixes at their anchors agree in
+    ``width - a`` bytes and their left sides, read backwards, in ``a``.  Both are sorted; in the order, runs of neighbours
+    with so long a common prefix are the classes of equal ones, for all values of ``a`` at once.
+    """
+    rows = [x for g in groups for x in g]
+    ids, ths, at, lo, hi = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+    _, rank = np.unique(np.rec.fromarrays([ids, ths, at]), return_inverse=True)
+    a = np.arange(int((at - lo).max()) + 1)
+    classes = []
+    for depth, side in ((width - a, lambda r: r[5][r[2] - r[3] :]), (a, lambda r: r[5][: r[2] - r[3]][::-1])):
+        order, shared, base = [], [], 0
+        for g in groups:
+            own, prefix = deep_shallow_sort([side(r) for r in g])
+            order += [base + i for i in own]
+            shared += [-1, *prefix[1:]]
+            base += len(g)
+        number = np.empty((len(rows), len(a)), np.int64)
+        number[order] = np.cumsum(np.array(shared)[:, None] < depth, axis=0)
+        classes.append(number)
+    i, k = np.nonzero((a <= (at - lo)[:, None]) & (a >= (at - hi)[:, None]))
+    key = (classes[0][i, k] * (len(rows) + 1) + classes[1][i, k]) * len(a) + k
+    order = np.lexsort((rank[i], key))
+    i, k, key = i[order], k[order], key[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
+    late = rank[i] > rank[i[first]]
+    i, k = i[late], k[late]
+    order = np.lexsort((k, i))
+    i, k = i[order], k[order]
+    begin = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1] + 1)][: len(i)])
+    end = np.r_[begin[1:], len(i)] - 1
+    out = np.empty(len(begin), _SPAN)
+    out["id"], out["th"] = ids[i[begin]], ths[i[begin]]
+    out["start"], out["end"] = at[i[begin]] - k[end], at[i[begin]] - k[begin] + width
+    return out
 
 
 def sort_groups(width: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list) -> pa.RecordBatch:
-            spans = [np.array([(a, b)], _RANGE).tobytes() for *_, a, b in found]
-            return pa.record_batch([[x[0] for x in found], [x[1] for x in found], spans], schema=schema)
-
-        group: list[tuple] = []
-        key, found = None, []
+        def out(groups: list[list[tuple]]) -> pa.RecordBatch:
+            found = shared_windows(groups, width)
+            keys, own = np.unique(found[["id", "th"]], return_inverse=True)
+            cut_ = [found[["start", "end"]][at].astype(_RANGE).tobytes() for _, at in _groups(own, len(keys))]
+            return pa.record_batch([keys["id"].copy(), keys["th"].copy(), pa.array(cut_, pa.binary())], schema=schema)
+
+        groups: list[list[tuple]] = []
+        key, held = None, 0
         for batch in batches:
             for g, *rest in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
                 if g != key:
-                    found += shared_windows(group, width)
-                    key, group = g, []
-                    if len(found) > 10_000:
-                        yield out(found)
-                        found = []
-                group.append(tuple(rest))
-        found += shared_windows(group, width)
-        yield out(found)
+                    if held >= TOGETHER:
+                        yield out(groups)
+                        groups, held = [], 0
+                    groups.append([])
+                    key = g
+                groups[-1].append(tuple(rest))
+                held += 1
+        if groups:
+            yield out(groups)
 
     return run
 

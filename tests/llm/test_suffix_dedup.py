@@ -55,8 +55,9 @@ def test_sort():
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, large in ((1, 256), (2, 5)):
+    for seed, large, together in ((1, 256, 4096), (2, 5, 4096), (3, 60, 3)):
         monkeypatch.setattr(suffix_dedup, "LARGE", large)
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
         rows = corpus(seed)
         got = digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
         assert sorted(tuple(r)[1:] for r in got.collect()) == brute(rows)
