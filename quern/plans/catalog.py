@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adapters, classification, extraction, fields, items, matching, merging, recipes, reports, scoring, state, texts, workflow  # noqa: F401
+from . import adapters, classification, extraction, fields, items, matching, merging, recipes, reports, scoring, sources, state, texts, workflow  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -24,15 +24,19 @@ def session(name: str = "quern", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir and read again.  Where that is unset, a temporary one serves on a single machine."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the folder in spark.checkpoint.dir.  Where that is unset, a temporary one serves on a single machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quern-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to a new folder and read again."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

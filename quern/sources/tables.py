@@ -32,7 +32,7 @@ def priority(category: Column, listed: Column) -> Column:
 def positional_sites(spark: SparkSession, path: str) -> DataFrame:
     """Eight columns by position; rows with fewer than four are out; "www." goes."""
     names = ["name", "url", "category", "host", "sitemap", "notes", "priority", "crawlable"]
-    rows = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=False, quote='"', mode="PERMISSIVE")
+    rows = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=False, quote='"', escape='"', mode="PERMISSIVE")
     return rows.where(F.col("host").isNotNull()).withColumn("host", F.regexp_replace("host", r"^www\.", "")).withColumn("crawlable", F.lit(True))
 
 
@@ -49,6 +49,12 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string, {entry}>")).alias("key", "entry")).select("entry.*")
 
 
+def save_registry(entries: DataFrame, path: str) -> None:
+    """Rows with ``domain`` as one JSON object by domain, which is the registry's format."""
+    pairs = F.collect_list(F.struct(F.col("domain").alias("key"), F.struct(*entries.columns).alias("value")))
+    entries.agg(F.to_json(F.map_from_entries(F.array_sort(pairs))).alias("value")).coalesce(1).write.text(path)
+
+
 def unblocked(urls: DataFrame, url: str, blocks: DataFrame, now: Column) -> DataFrame:
     """Rows whose host has no block, or a temporary one past its time."""
     live = blocks.where(~(F.coalesce("isTemporary", F.lit(False)) & F.coalesce(F.col("cooldownUntil") < now, F.lit(False)))).select(F.col("domain").alias("_host"))
@@ -66,6 +72,24 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
 
 
+# Columns of the records' export.
+EXPORTED = ("id", "title", "description", "cuisine_type", "servings", "prep_time", "cook_time", "total_time", "difficulty_level", "health_score", "source_url", "created_at")
+# End of fixed values.
+
+
+def record_lines(df: DataFrame, columns: tuple[str, ...] = EXPORTED) -> DataFrame:
+    """A line of CSV for each row, values as JSON; null, zero and empty are an empty string."""
+    kinds = dict(df.dtypes)
+
+    def quoted(c: str):
+        value = F.col(c)
+        if kinds[c] == "string":
+            return F.regexp_extract(F.to_json(F.array(F.coalesce(value, F.lit("")))), r"(?s)^\[(.*)\]$", 1)
+        return F.when(value.isNull() | (value == 0), '""').otherwise(value.cast("string"))
+
+    return df.select(F.concat_ws(",", *map(quoted, columns)).alias("line"))
+
+
 def export_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
