@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .classify import bound
+
 Record = Mapping[str, Column]
 LISTS = {"items", "steps", "tags", "cuisines", "meal_types", "diets", "methods"}
 NUMBERS = {"prep", "cook", "total", "servings", "effort", "calories"}
@@ -152,8 +154,8 @@ def content_issues(r: Record) -> Column:
 
 def content_score(issues: Column) -> Column:
     cost = {"spam": 0.5, "placeholder": 0.3, "items": 0.2, "steps": 0.2, "title": 0.1}
-    lost = sum((F.when(F.array_contains(issues, k), v).otherwise(0.0) for k, v in cost.items()), F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1.0 - lost)
+    lost = lambda found: sum((F.when(F.array_contains(found, k), v).otherwise(0.0) for k, v in cost.items()), F.lit(0.0))
+    return bound(issues, lambda found: F.greatest(F.lit(0.0), 1.0 - lost(found)))
 
 
 def consistency_issues(r: Record) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,22 +90,23 @@ def greedy(rows: DataFrame, edges: DataFrame, seq: str) -> DataFrame:
     rejected in any case, and only rows that are no copies take part in the rounds.
     """
     state = stored(rows.select(F.col(seq).alias("id")).join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-    rejected = stored(state.where("false"))
+    rejected = [state.where("false")]
     live = edges.select("a", "b").distinct()
     if "similarity" in edges.columns:
-        rejected = stored(edges.where("similarity = 1").select(F.col("b").alias("id")).distinct())
+        copies = stored(edges.where("similarity = 1").select(F.col("b").alias("id")).distinct())
+        rejected.append(copies)
         for end in ("a", "b"):
-            live = live.join(rejected.withColumnRenamed("id", end), end, "left_anti")
+            live = live.join(copies.withColumnRenamed("id", end), end, "left_anti")
         live = live.select("a", "b")
     live = stored(live)
     while not live.isEmpty():
         blocked = live.select(F.col("b").alias("id")).distinct()
         accepted = live.select(F.col("a").alias("id")).distinct().join(blocked, "id", "left_anti")
         out = stored(live.join(accepted, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct())
-        rejected = stored(rejected.unionByName(out))
+        rejected.append(out)
         gone = live.join(out.withColumnRenamed("id", "a"), "a", "left_anti")
         live = stored(gone.join(out.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
-    return rows.join(rejected.withColumnRenamed("id", seq), seq, "left_anti")
+    return rows.join(reduce(DataFrame.unionByName, rejected).withColumnRenamed("id", seq), seq, "left_anti")
 
 
 def match_type(title: Column, url: Column, items: Column, both: Column) -> Column:
