@@ -145,8 +145,10 @@ def valid_author(c: Column) -> Column:
 
 
 def site_author(host: Column, sites: Mapping[str, str]) -> Column:
-    known = F.element_at(F.create_map(*(F.lit(x) for kv in sites.items() for x in kv)), host) if sites else F.lit(None).cast("string")
-    return F.coalesce(known, F.concat(F.split_part(F.regexp_replace(host, r"^www\.", ""), F.lit("."), F.lit(1)), F.lit(" Chef")))
+    """The site's author, else its name; "www." doesn't count."""
+    bare = F.regexp_replace(host, r"^www\.", "")
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in sites.items() for x in kv)), bare) if sites else F.lit(None).cast("string")
+    return F.coalesce(known, F.concat(F.split_part(bare, F.lit("."), F.lit(1)), F.lit(" Chef")))
 
 
 def prep_minutes(steps: Column) -> Column:

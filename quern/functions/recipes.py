@@ -120,3 +120,14 @@ def grams(quantity: Column, unit: Column, density: Column) -> Column:
     low = F.lower(unit)
     other = F.coalesce(F.element_at(table(MILLILITRES), low) * density, F.element_at(table(WEIGHTS), low))
     return F.coalesce(quantity * F.element_at(table({k: float(v) for k, v in V.PIECES.items()}), low), half_up(quantity * other * 100) / 100)
+
+
+def grams_by_item(quantity: Column, unit: Column, item: Column) -> Column:
+    """The item's own table first, then the units', else a fixed amount of grams."""
+    own = table({f"{i} {u}": g for i, units in V.ITEM_GRAMS.items() for u, g in units.items()})
+    return quantity * F.coalesce(F.element_at(own, F.concat(item, F.lit(" "), unit)), F.element_at(table(V.UNIT_GRAMS), unit), F.lit(V.UNKNOWN_GRAMS))
+
+
+def simple_grams(quantity: Column, unit: Column) -> Column:
+    """Whole grams by the simple table, whatever the item; null for other units and for no quantity."""
+    return half_up(F.when(quantity != 0, quantity) * F.element_at(table(V.SIMPLE_GRAMS), F.lower(unit)))

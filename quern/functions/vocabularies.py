@@ -173,3 +173,30 @@ DIETS = {
     "Heart-Healthy": (("heart healthy", "heart-healthy", "low cholesterol"), ("saturated fat", "trans fat", "high sodium", "processed meats", "fried foods", "butter", "lard")),
 }
 # End of fixed values.
+
+# Authors of sites without one.
+SITE_AUTHORS = {
+    "allrecipes.com": "Allrecipes Community", "foodnetwork.com": "Food Network Kitchen", "seriouseats.com": "Serious Eats Team", "bonappetit.com": "Bon Appétit", "epicurious.com": "Epicurious",
+    "foodandwine.com": "Food & Wine", "delish.com": "Delish", "eatingwell.com": "EatingWell", "myrecipes.com": "MyRecipes", "cookinglight.com": "Cooking Light",
+    "southernliving.com": "Southern Living", "realsimple.com": "Real Simple", "tasteofhome.com": "Taste of Home", "betterhomesandgardens.com": "Better Homes & Gardens",
+    "pillsbury.com": "Pillsbury", "kraftrecipes.com": "Kraft Recipes", "campbells.com": "Campbell's Kitchen",
+}
+# End of fixed values.
+
+# Grams of units in the table with items of its own, and in the simple table.
+UNIT_GRAMS = {
+    "cup": 240.0, "c": 240.0, "tablespoon": 15.0, "tbsp": 15.0, "tbs": 15.0, "teaspoon": 5.0, "tsp": 5.0, "ts": 5.0, "pound": 453.592, "lb": 453.592, "lbs": 453.592, "ounce": 28.3495, "oz": 28.3495,
+    "gram": 1.0, "g": 1.0, "kilogram": 1000.0, "kg": 1000.0, "liter": 1000.0, "l": 1000.0, "milliliter": 1.0, "ml": 1.0, "piece": 100.0, "pcs": 100.0, "clove": 3.0, "slice": 25.0,
+}
+ITEM_GRAMS = {
+    "flour": {"cup": 120.0, "c": 120.0}, "sugar": {"cup": 200.0, "c": 200.0}, "butter": {"cup": 227.0, "c": 227.0, "tablespoon": 14.0, "tbsp": 14.0}, "milk": {"cup": 240.0, "c": 240.0},
+    "water": {"cup": 240.0, "c": 240.0}, "oil": {"cup": 218.0, "c": 218.0, "tablespoon": 13.6, "tbsp": 13.6},
+}
+UNKNOWN_GRAMS = 100.0
+SIMPLE_GRAMS = {
+    "g": 1.0, "gram": 1.0, "grams": 1.0, "kg": 1000.0, "kilogram": 1000.0, "kilograms": 1000.0, "oz": 28.35, "ounce": 28.35, "ounces": 28.35, "lb": 453.59, "pound": 453.59, "pounds": 453.59,
+    "cup": 240.0, "cups": 240.0, "tbsp": 15.0, "tablespoon": 15.0, "tablespoons": 15.0, "tsp": 5.0, "teaspoon": 5.0, "teaspoons": 5.0, "ml": 1.0, "milliliter": 1.0, "milliliters": 1.0,
+    "l": 1000.0, "liter": 1000.0, "liters": 1000.0, "handful": 80.0, "handfuls": 80.0, "pinch": 1.0, "pinches": 1.0, "dash": 1.0, "dashes": 1.0, "leaves": 1.0, "leaf": 1.0, "clove": 3.0,
+    "cloves": 3.0, "piece": 50.0, "pieces": 50.0,
+}
+# End of fixed values.

@@ -176,3 +176,24 @@ COMPOUND = "(VALUES " + ", ".join(f"({text(k)}, {i})" for i, k in enumerate(V.CO
 def compound_names(t):
     rows = t.rows([(x,) for x in LINES], "line string")
     return rows.select("line", I.core_name(F.col("line"), F.lit(1.0), V.COMPOUNDS).alias("name"))
+
+
+ITEM_UNITS = {f"{i} {u}": g for i, units in V.ITEM_GRAMS.items() for u, g in units.items()}
+MEASURES = [(1, 2.0, "cup", "flour"), (2, 2.0, "cup", "rice"), (3, 3.0, "tbsp", "oil"), (4, 1.0, "box", "pasta"), (5, 0.5, "Cups", "sugar"), (6, 0.0, "g", "salt"), (7, 1.5, "oz", "butter"), (8, None, "cup", "milk"), (9, 2.0, "pinches", "salt"), (10, 1.0, None, "water")]
+
+
+@query("SELECT id, round(quantity * coalesce(i.g, u.g, 100.0), 6)::DOUBLE AS by_item, CAST(floor(nullif(quantity, 0) * s.g + 0.5) AS BIGINT) AS simple FROM (VALUES "
+  + ", ".join(f"({i}, {'NULL' if q is None else q}::DOUBLE, {'NULL' if u is None else text(u)}, {text(n)})" for i, q, u, n in MEASURES)
+  + f") a(id, quantity, unit, name) LEFT JOIN {pairs_of(ITEM_UNITS)} i(k, g) ON i.k = name || ' ' || unit LEFT JOIN {pairs_of(V.UNIT_GRAMS)} u(k, g) ON u.k = unit LEFT JOIN {pairs_of(V.SIMPLE_GRAMS)} s(k, g) ON s.k = lower(unit)")
+def unit_variants(t):
+    rows = t.rows(MEASURES, "id int, quantity double, unit string, name string")
+    q, u = F.col("quantity"), F.col("unit")
+    return rows.select("id", F.round(R.grams_by_item(q, u, F.col("name")), 6).alias("by_item"), R.simple_grams(q, u).alias("simple"))
+
+
+HOSTS = ["allrecipes.com", "www.delish.com", "campbells.com", "my-kitchen.org", ""]
+
+
+@query(f"SELECT host, coalesce(a.v, string_split(bare, '.')[1] || ' Chef') AS author FROM (SELECT host, regexp_replace(host, '^www[.]', '') AS bare FROM (SELECT unnest({list_of([h for h in HOSTS if h])}) AS host)) LEFT JOIN (VALUES " + ", ".join(f"({text(k)}, {text(v)})" for k, v in V.SITE_AUTHORS.items()) + ") a(k, v) ON a.k = bare")
+def site_authors(t):
+    return t.rows([(h,) for h in HOSTS if h], "host string").select("host", I.site_author(F.col("host"), V.SITE_AUTHORS).alias("author"))
