@@ -6,8 +6,6 @@ from itertools import chain
 
 import numpy as np
 
-#: Words remembered by a Python worker; beyond that the memory starts anew.
-REMEMBERED = 500_000
 SPECIAL = "<|endoftext|>"
 
 
