@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import items as I
-from ..functions import text as T
 from ..functions.urls import host
 from ..operators import dedup as D
 from .matching import SHARED, TITLES, names, titled, tokens
