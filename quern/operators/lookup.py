@@ -45,14 +45,20 @@ def contains_either(key: str, name: str) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
+def like_lengths(keys: DataFrame, key: str, entries: DataFrame, name: str, least: float) -> DataFrame:
+    """Pairs whose lengths allow a similarity of ``least``: a key meets the entries of each such length, so the join has an equality."""
+    n = F.length(key)
+    lengths = F.sequence(F.ceil(least * n - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))
+    ranged = keys.withColumn("_length", F.explode(lengths))
+    return ranged.join(bounded(entries.withColumn("_length", F.length(name))), "_length").drop("_length")
+
+
 def best_match(keys: DataFrame, key: str, entries: DataFrame, name: str, score, least: float, boost: float = 0.0) -> DataFrame:
     """For each distinct key the entry with the greatest score of ``least`` at least, over 0; ties to the least ord.
 
     Lengths that differ too much for a similarity of ``least - boost`` aren't compared.
     """
-    a, b = F.length(key), F.length(name)
-    may = F.abs(a - b) <= (1 - (least - boost)) * F.greatest(a, b) + 1e-9
-    pairs = keys.select(key).distinct().join(bounded(entries), may).withColumn("score", score(F.col(key), F.col(name)))
+    pairs = like_lengths(keys.select(key).distinct(), key, entries, name, least - boost).withColumn("score", score(F.col(key), F.col(name)))
     pairs = pairs.where((F.col("score") >= least) & (F.col("score") > 0))
     return pairs.groupBy(key).agg(F.max_by(F.struct(F.col(name).alias("match"), "score"), F.struct("score", -F.col("ord"))).alias("b")).select(key, "b.match", "b.score")
 

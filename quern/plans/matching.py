@@ -72,7 +72,7 @@ def lookup_phonetic(t):
 
 @query(f"SELECT p_name, name FROM {NAMES}, {VALUES} WHERE {LEV} >= 0.7 OR ({LEV} >= 0.5 AND {SOUNDS} > 0)")
 def close_match_pairs(t):
-    return names(t).join(L.bounded(entries(t)), S.close(F.col("p_name"), F.col("name"))).select("p_name", "name")
+    return L.like_lengths(names(t), "p_name", entries(t), "name", 0.5).where(S.close(F.col("p_name"), F.col("name"))).select("p_name", "name")
 
 
 @query(f"""WITH n AS {NAMES}, x AS (SELECT p_name, e.name AS m1 FROM n LEFT JOIN {VALUES} ON p_name = name), y AS (SELECT x.*, a.name AS m2 FROM x LEFT JOIN (SELECT alias, arg_min(name, ord) AS name FROM {ALIAS_VALUES} GROUP BY alias) a ON p_name = alias),
