@@ -27,7 +27,7 @@ import numpy as np
 #: Added to the changes of counts, which a token's length bounds, to keep them positive.
 BIAS = 192
 #: States that a worker holds, and those that it keeps from one task to the next.
-STATES, KEPT = 400_000, 60_000
+STATES, KEPT = 400_000, 200_000
 #: Pieces under which a batch's rest goes piece by piece.
 FEW = 24
 _TURN = np.uint32(0x9E3779B1)
