@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.report import numbered
 
-from .common import NULL_ID, cleaned, id_key, new_path, partitions, table
+from .common import NULL_ID, cleaned, id_key, lean, new_path, partitions, sliced, table
 
 SAMPLE = 32
 #: Bytes of payload meant for a shard, and compressed bytes at which a file ends.
@@ -141,7 +141,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, file, here, part, fact = [], None, None, 0, None
-        for batch in batches:
+        for batch in sliced(batches, "payload"):
             for key, sha, kind, link, body, size, head, shard in zip(*(batch.column(n).to_pylist() for n in range(8)), strict=True):
                 if not kind:
                     fact = key, sha, head
@@ -162,7 +162,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
             yield pa.record_batch([list(c) for c in zip(*done, strict=True)], schema=schema)
 
     with cleaned(spark):
-        dealt.mapInArrow(run, MANIFEST).write.parquet(f"{root}/_manifest")
+        dealt.mapInArrow(lean(run), MANIFEST).write.parquet(f"{root}/_manifest")
     system, base = fs.FileSystem.from_uri(root)
     if system.get_file_info(f"{base}/_temporary").type != fs.FileType.NotFound:
         system.delete_dir(f"{base}/_temporary")
@@ -218,7 +218,7 @@ def read(spark: SparkSession, root: str, with_payload: bool = True) -> DataFrame
                     yield pa.record_batch([list(c) for c in zip(*rows, strict=True)], schema=schema)
 
     files = spark.read.schema(MANIFEST).parquet(f"{root}/_manifest").select("file")
-    return files.repartition(partitions(spark)).mapInArrow(run, RECORDS)
+    return files.repartition(partitions(spark)).mapInArrow(lean(run), RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
