@@ -4,8 +4,9 @@ A task gathers the distinct words that its texts have and that it doesn't know
 yet; a word is a match of the pattern.  In the recursive query a row is a token of
 a word with its place; each step joins neighbours with the merge table and
 contracts each word's pairs of least rank, from the left; a word without such a
-pair takes no further step.  Ordered aggregations over the rows that are left,
-joined with the vocabulary, give the ids and the bytes that they decode to.
+pair takes no further step.  The rows that are left, joined with the vocabulary and
+put in order (one thread, so aggregates take them in it), are aggregated to the ids
+and the bytes that they decode to; these must be the words' own.
 
 One contraction after another, leftmost first, is the rule.  A step contracts all
 of a word's pairs of the least rank at once only where that is the same: if no
@@ -55,11 +56,11 @@ WITH RECURSIVE work(pos, step, word, fin, tok) USING KEY (pos) AS (
   ), tied AS (
     SELECT p.* FROM paired p JOIN least USING (word, rank)
   ), numbered AS (
-    SELECT *, row_number() OVER w AS n, lag(fin) OVER w IS DISTINCT FROM pos AS new FROM tied WHERE twin OR alone WINDOW w AS (PARTITION BY word ORDER BY pos)
+    SELECT *, row_number() OVER w AS n, lag(fin) OVER w IS DISTINCT FROM pos AS new FROM tied WHERE twin AND NOT alone WINDOW w AS (PARTITION BY word ORDER BY pos)
   ), chosen AS (
     SELECT pos, fin, fin2, rank FROM tied WHERE NOT twin AND NOT alone
-    UNION ALL SELECT pos, fin, fin2, rank FROM (SELECT *, n - max(CASE WHEN new THEN n END) OVER (PARTITION BY word ORDER BY pos) AS k FROM numbered)
-    WHERE CASE WHEN alone THEN n = 1 ELSE k % 2 = 0 END
+    UNION ALL SELECT pos, fin, fin2, rank FROM (SELECT *, n - max(CASE WHEN new THEN n END) OVER (PARTITION BY word ORDER BY pos) AS k FROM numbered) WHERE k % 2 = 0
+    UNION ALL SELECT min(pos), arg_min(fin, pos), arg_min(fin2, pos), any_value(rank) FROM tied WHERE alone GROUP BY word
   ), edits AS (
     SELECT pos, fin2 AS fin, rank AS tok FROM chosen UNION ALL SELECT fin, fin, -1 FROM chosen
   )
@@ -67,8 +68,8 @@ WITH RECURSIVE work(pos, step, word, fin, tok) USING KEY (pos) AS (
   FROM work w JOIN least l ON l.word = w.word LEFT JOIN edits e ON e.pos = w.pos
   WHERE w.tok >= 0)
 )
-SELECT string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded
-FROM work JOIN vocabulary USING (tok) GROUP BY word ORDER BY word
+SELECT string_agg(tok::VARCHAR, ' ') AS ids, unhex(string_agg(hex, '')) AS decoded
+FROM (SELECT word, pos, tok, hex FROM work JOIN vocabulary USING (tok) ORDER BY word, pos) GROUP BY word ORDER BY word
 """
 
 
@@ -115,7 +116,10 @@ class Encoder:
         self.db.register("begin_rows", pa.table({"word": word, "pos": pos, "fin": pos + np.int32(1), "tok": token}))
         found = self.db.sql(CONTRACT).to_arrow_table()
         self.db.unregister("begin_rows")
-        return list(zip(found["ids"].cast(pa.binary()).to_pylist(), found["decoded"].to_pylist(), strict=True))
+        decoded = found["decoded"].to_pylist()
+        if decoded != words:
+            raise ValueError("ids don't decode to their words")
+        return list(zip(found["ids"].cast(pa.binary()).to_pylist(), decoded, strict=True))
 
     def learn(self, pieces: set[bytes]) -> None:
         new = sorted(self.known.unknown(pieces), key=len)  # words of like length take like numbers of steps
