@@ -275,9 +275,11 @@ def shared_windows(groups: list[list[tuple]], width: int) -> np.ndarray:
     first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
     late = rank[i] > rank[i[first]]
     i, k = i[late], k[late]
+    if not len(i):
+        return np.empty(0, _SPAN)
     order = np.lexsort((k, i))
     i, k = i[order], k[order]
-    begin = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1] + 1)][: len(i)])
+    begin = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (k[1:] != k[:-1] + 1)])
     end = np.r_[begin[1:], len(i)] - 1
     out = np.empty(len(begin), _SPAN)
     out["id"], out["th"] = ids[i[begin]], ths[i[begin]]

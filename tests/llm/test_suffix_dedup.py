@@ -63,6 +63,16 @@ def test_against_brute_force(spark, monkeypatch):
         assert sorted(tuple(r)[1:] for r in got.collect()) == brute(rows)
 
 
+def test_contexts_that_share_no_window():
+    """Equal grams whose surroundings differ, alone and beside a group that shares some."""
+    gram = b"g" * 32
+    apart = [(1, 1, 40, 0, 8, b"a" * 40 + gram + b"b" * 36), (2, 2, 40, 0, 8, b"c" * 40 + gram + b"d" * 36)]
+    alike = [(3, 3, 40, 0, 8, b"e" * 40 + gram + b"f" * 36), (4, 4, 41, 1, 9, b"e" * 40 + gram + b"f" * 35 + b"x")]
+    assert len(suffix_dedup.shared_windows([apart], 100)) == 0
+    found = suffix_dedup.shared_windows([apart, alike, [apart[0]]], 100)
+    assert [tuple(map(int, x)) for x in found] == [(4, 4, 1, 108)]
+
+
 def test_odd_input(spark):
     rnd = random.Random(3)
     long = "".join(rnd.choice("abc ") for _ in range(300_000))
