@@ -44,7 +44,9 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     pairs = stored(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
     with_a = pairs.join(distinct.toDF("a", "ta"), "a")
     both = with_a.join(distinct.toDF("b", "tb"), "b")
-    scored = both.withColumn("similarity", S.jaccard(F.col("ta"), F.col("tb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    shared = F.size(F.array_intersect("ta", "tb"))  # the sets have no repeats, so their union needn't be made
+    scored = both.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("m"), shared.alias("shared"))
+    scored = scored.select("a", "b", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= least)
     copies = sets.join(first, "_set").where(F.col(seq) != F.col("_first")).select(F.col("_first").alias("a"), F.col(seq).alias("b"), F.lit(1.0).alias("similarity"))
     return scored.unionByName(copies)
 
