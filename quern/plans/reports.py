@@ -53,7 +53,8 @@ def block_statistics(t):
 @query("SELECT user_id, count(*) AS requests, CASE WHEN count(*) > 0 THEN printf('%.2f', count(*) FILTER (event_type = 'view') * 100.0 / count(*)) || '%' ELSE '0%' END AS hit_rate FROM events GROUP BY 1")
 def hit_rates(t):
     hits = F.count_if(F.col("event_type") == "view")
-    return t("events").groupBy("user_id").agg(F.count("*").alias("requests"), F.concat(F.format_string("%.2f", hits * 100.0 / F.count("*")), F.lit("%")).alias("hit_rate"))
+    # format_number rounds the double's exact value, halves to even, as C's printf does; format_string rounds halves up
+    return t("events").groupBy("user_id").agg(F.count("*").alias("requests"), F.concat(F.format_number(hits * 100.0 / F.count("*"), 2), F.lit("%")).alias("hit_rate"))
 
 
 @query("SELECT CASE WHEN grouping(event_type) = 0 THEN event_type ELSE 'hour ' || h END AS key, count(*) AS n FROM (SELECT event_type, CAST(hour(ts) AS VARCHAR) AS h FROM events) GROUP BY GROUPING SETS ((event_type), (h))")

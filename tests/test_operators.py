@@ -12,6 +12,7 @@ from quern.operators import dedup as D
 from quern.operators import extract as X
 from quern.operators import graph as G
 from quern.operators import merge as M
+from quern.plans import catalog
 from quern.sources import tables as ST
 
 
@@ -155,3 +156,11 @@ def test_stream_windows(spark, tmp_path):
     assert sorted(r.n for r in found["sessions"]) == [1, 5, 5]
     assert sum(r.n for r in found["sliding"] if r.n > 1) == 20
     assert {0, 1} <= {r.k for r in found["firsts"]}
+
+
+def test_hit_rates_round_as_printf(spark, tmp_path):
+    """Halves that a double holds exactly go to the even cent: 1 of 32 is 3.125."""
+    rows = [(user, "view" if i < hits else "click") for user, (hits, n) in enumerate([(1, 32), (3, 32), (1, 800), (7, 7), (0, 3), (201, 20000)]) for i in range(n)]
+    spark.createDataFrame(rows, "user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["hit_rates"](spark, str(tmp_path)).orderBy("user_id").collect()
+    assert [r.hit_rate for r in got] == ["3.12%", "9.38%", "0.12%", "100.00%", "0.00%", "1.00%"]
