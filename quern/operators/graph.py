@@ -1,11 +1,10 @@
-"""Traversal of edge tables, and nearest vectors."""
+"""Traversal of edge tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import similarity as S
 from ..session import stored
 
 
@@ -24,14 +23,3 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
             break
         seen = stored(seen.unionByName(level))
     return seen
-
-
-def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """The ``k`` candidates most like each query by cosine (six decimals), ties to lesser ids.  A stated query set, sent to all tasks."""
-    from .lookup import bounded
-
-    q = bounded(queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))
-    pairs = candidates.join(q, F.col("vec_id") != F.col("query"))
-    scored = pairs.select("query", "vec_id", F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    n = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("_n", n).where(F.col("_n") <= k).drop("_n")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import graph as G
 from ..operators import lookup as L
+from ..operators import vectors as V
 from .registry import query
 from .texts import TITLE_KEY
 
@@ -202,7 +203,7 @@ COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 @query(f"SELECT query, vec_id, similarity FROM (SELECT q.vec_id AS query, c.vec_id, round({COS}, 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 6) DESC, c.vec_id) AS n FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE n <= 10")
 def cosine_topk(t):
     e = t("embeddings")
-    return G.nearest(e.where("vec_id % 50 = 0"), e, 10)
+    return V.nearest(e.where("vec_id % 50 = 0"), e, 10)
 
 
 @query(f"SELECT query, label, similarity FROM (SELECT q.vec_id AS query, c.label, round(max({COS}), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)")
