@@ -209,6 +209,4 @@ def cosine_topk(t):
 @query(f"SELECT query, label, similarity FROM (SELECT q.vec_id AS query, c.label, round(max({COS}), 6) AS similarity FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)")
 def nearest_by_label(t):
     e = t("embeddings")
-    q = L.bounded(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")))
-    pairs = e.join(q, F.col("vec_id") != F.col("query"))
-    return pairs.groupBy("query", "label").agg(F.round(F.max(S.cosine(F.col("q"), F.col("embedding"))), 6).alias("similarity"))
+    return V.nearest_by_group(e.where("vec_id % 50 = 0"), e, "label")
