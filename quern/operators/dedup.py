@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..session import stored
+from ..session import discard, stored
 
 
 def first_of_key(df: DataFrame, key: Column, seq: str) -> DataFrame:
@@ -17,37 +21,107 @@ def first_of_key(df: DataFrame, key: Column, seq: str) -> DataFrame:
     return df.withColumn("_n", F.when(key.isNull(), 1).otherwise(n)).where("_n = 1").drop("_n")
 
 
+#: Counters of tokens, by hash: what is rare goes first.
+COUNTERS = 1 << 18
+#: Numbers of 64 parities that ride along with the rarest tokens.
+FOLD = 4
+FOLDED = [f"p{i}" for i in range(FOLD)]
+
+
+def _sketches(counts: np.ndarray, least: float):
+    """For each row of token hashes its size, the rarest of them and where they begin, and parities of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            column = given.column(1)
+            sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            flat = flat[np.lexsort((flat, counts[flat & (COUNTERS - 1)], row))]
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            kept = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+            prefix = flat[np.arange(len(flat)) - starts[row] < kept[row]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(prefix))
+            parities, folded = [], np.empty((len(sizes), FOLD), np.int64)
+            for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=False)):
+                bits = max(64 * FOLD, 1 << (2 * n - 1).bit_length())
+                parity = np.packbits((np.bincount(flat[a : a + n] & (bits - 1), minlength=bits) & 1).astype(np.uint8))
+                parities.append(parity.tobytes())
+                folded[i] = np.bitwise_xor.reduce(parity.reshape(-1, 8 * FOLD), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([given.column(0), pa.array(sizes, pa.int32()), lists, pa.array(parities, pa.binary()), *map(pa.array, np.ascontiguousarray(folded.T))], ["id", "n", "prefix", "parity", *FOLDED])
+
+    return run
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """How many parities differ: two sets differ by as many tokens at least.  The longer row is folded."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(least: float):
+    """Pairs whose parities don't rule the similarity out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            rows = zip(*(given.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
+            keep = [_apart(x, y) <= (n + m) * (1 - least) / (1 + least) + 1e-6 for n, m, x, y in rows]
+            yield given.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def digest(items: str) -> Column:
+    """Of an array as a set."""
+    return F.sha2(F.to_json(F.array_sort(F.array_distinct(items))), 256)
+
+
 def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame:
     """Pairs (a < b) of rows with Jaccard similarity of ``least`` at least.
 
     Exact, by prefix and place: tokens are ordered by rarity, and two sets that
     similar share one of each one's first size - ceil(least * size) + 1 tokens, at
-    places from which enough of both is left.  Only ids, sizes and places ride
-    along with the tokens; sets are joined to the candidates that are left.  Rows
-    with equal sets are one while pairs are sought, so copies cost no more.  What is
-    joined is written before, so Spark can split the rows of a frequent token.
+    places from which enough of both is left.  Tokens are hashes of 32 bits there, and
+    rarity is that of a counter: tokens that share a hash share more, never less, and
+    any one order will do.  Pairs that are found so have their parities compared (a
+    token in one set only changes one bit at most), first 256 that ride along and then
+    as many as the sizes call for, and the tokens themselves are joined to what is left.  Rows with equal sets are one while pairs are sought, so
+    copies cost no more.  What is joined is written before, so Spark can split the rows
+    of a frequent token; ``df`` is read anew for each step that needs whole sets.
     """
-    sets = df.select(seq, F.array_sort(F.array_distinct(tokens)).alias("t")).where(F.size("t") > 0).withColumn("_set", F.sha2(F.to_json("t"), 256))
-    sets = stored(sets)
-    first = stored(sets.groupBy("_set").agg(F.min(seq).alias("_first")))
-    distinct = stored(sets.join(first, (sets["_set"] == first["_set"]) & (F.col(seq) == F.col("_first"))).select(F.col("_first").alias("id"), "t"))
-    each = distinct.select("id", F.explode("t").alias("token"))
-    rarity = stored(each.groupBy("token").agg(F.count("*").alias("df")))
-    ranked = each.join(rarity, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
-    size = F.size("r")
-    places = F.posexplode(F.slice(F.col("r.token"), F.lit(1), size - F.ceil(least * size).cast("int") + 1)).alias("place", "token")
-    prefix = stored(ranked.select("id", size.alias("n"), places))
+    kind = df.schema[seq].dataType.simpleString()
+    sets = df.select(F.col(seq).alias("id"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
+    hashes = F.transform("t", lambda x: F.shiftright(F.xxhash64(x), 32).cast("int"))
+    hashed = stored(sets.select("id", digest("t").alias("set"), hashes.alias("h")))
+    first = stored(hashed.groupBy("set").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    counted = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("h")).count()
+    got = counted.toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[got["h"].to_numpy()] = got["count"].to_numpy()
+    sketch = hashed.select("id", "h").mapInArrow(_sketches(counts, least), f"id {kind}, n int, prefix array<int>, parity binary, " + ", ".join(f"{x} long" for x in FOLDED))
+    sketch = stored(sketch.join(first.select(F.col("first").alias("id")), "id", "left_semi"))
+    prefix = sketch.select("id", "n", *FOLDED, F.posexplode("prefix").alias("place", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & F.col("b.n").between(F.ceil(least * F.col("a.n")), F.floor(F.col("a.n") / least))
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & F.col("b.n").between(F.ceil(least * F.col("a.n") - 1e-9), F.floor(F.col("a.n") / least + 1e-9))
     near &= left + F.least("a.place", "b.place") >= F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in FOLDED])
+    near &= apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-6
     pairs = stored(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    with_a = pairs.join(distinct.toDF("a", "ta"), "a")
-    both = with_a.join(distinct.toDF("b", "tb"), "b")
+    parity = sketch.select("id", "n", "parity")
+    both = pairs.join(parity.toDF("a", "n", "x"), "a").join(parity.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    possible = stored(both.mapInArrow(_possible(least), f"a {kind}, b {kind}"))
+    ids = possible.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    whole = stored(sets.join(ids, "id", "left_semi"))
+    both = possible.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
     shared = F.size(F.array_intersect("ta", "tb"))  # the sets have no repeats, so their union needn't be made
     scored = both.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("m"), shared.alias("shared"))
-    scored = scored.select("a", "b", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= least)
-    copies = sets.join(first, "_set").where(F.col(seq) != F.col("_first")).select(F.col("_first").alias("a"), F.col(seq).alias("b"), F.lit(1.0).alias("similarity"))
+    scored = stored(scored.select("a", "b", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= least))
+    copies = hashed.select("id", "set").join(first.where("copies > 1"), "set").where("id <> first")
+    copies = stored(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    discard(hashed, first, sketch, pairs, possible, whole)
     return scored.unionByName(copies)
 
 
@@ -55,27 +129,33 @@ def composite(title_a: Column, title_b: Column, items_a: Column, items_b: Column
     return S.similarity(title_a, title_b, empty=0.0) * 0.6 + S.jaccard(items_a, items_b) * 0.4
 
 
-def composite_pairs(df: DataFrame, seq: str, title: str, items: str, least: float = 0.85) -> DataFrame:
+def composite_need(least: float = 0.85) -> float:
+    """What similarity of items a composite score of ``least`` needs: titles give 0.6 at most."""
+    return (least - 0.6) / 0.4
+
+
+def composite_pairs(df: DataFrame, seq: str, title: str, items: str, least: float = 0.85, links: DataFrame | None = None) -> DataFrame:
     """Pairs (a < b) whose composite score is ``least`` at least.
 
-    Titles give 0.6 at most, so items must have a similarity of (least - 0.6) / 0.4: pairs come from ``token_pairs``.
-    Rows of equal sets count by their first row there, so each pair of rows that one link stands for is scored by its own
-    titles: rows are joined to the sets' firsts, a title once for each set.
+    Titles give 0.6 at most, so items must have a similarity of ``composite_need``: pairs come from ``token_pairs``, or
+    ``links`` are these pairs.  Rows of equal sets count by their first row there, so each pair of rows that one link stands
+    for is scored by its own titles: rows are joined to the sets' firsts, a title once for each set.  Items stay where they
+    are; a digest stands for them.
     """
-    need = (least - 0.6) / 0.4
-    rows = stored(df.select(F.col(seq).alias("id"), F.col(title).alias("k"), F.array_sort(F.array_distinct(items)).alias("t")))
-    titles = rows.withColumn("set", F.sha2(F.to_json("t"), 256)).groupBy("set", "k").agg(F.min("id").alias("id"), F.first("t").alias("t"))
+    rows = stored(df.select(F.col(seq).alias("id"), F.col(title).alias("k"), digest(items).alias("set"), (F.size(items) > 0).alias("filled")))
+    titles = rows.groupBy("set", "k").agg(F.min("id").alias("id"), F.first("filled").alias("filled"))
     firsts = stored(titles.withColumn("first", F.min("id").over(Window.partitionBy("set"))))
-    links = token_pairs(firsts.where("id = first").select("id", "t"), "id", "t", need).select("a", "b", "similarity")
-    own = firsts.where(F.size("t") > 0).select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    links = token_pairs(df, seq, items, composite_need(least)) if links is None else links
+    links = links.select("a", "b", "similarity").join(firsts.select(F.col("first").alias("b")).distinct(), "b", "left_semi").select("a", "b", "similarity")
+    own = firsts.where("filled").select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(1.0).alias("similarity")).distinct()
     links = stored(links.unionByName(own))
     one = firsts.select(F.col("first").alias("a"), F.col("id").alias("x"), F.col("k").alias("kx"))
     two = firsts.select(F.col("first").alias("b"), F.col("id").alias("y"), F.col("k").alias("ky"))
     score = S.similarity(F.col("kx"), F.col("ky"), empty=0.0) * 0.6 + F.col("similarity") * 0.4
     found = links.join(one, "a").join(two, "b").where("a <> b OR x < y").withColumn("score", score).where(F.col("score") >= least)
     found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
-    copies = rows.withColumn("set", F.sha2(F.to_json("t"), 256)).join(firsts.select("set", "k", F.col("id").alias("a")), ["set", "k"]).where("id <> a")
-    same = F.when(F.length("k") > 0, 0.6).otherwise(0.0) + F.when(F.size("t") > 0, 0.4).otherwise(0.0)
+    copies = rows.join(firsts.select("set", "k", F.col("id").alias("a")), ["set", "k"]).where("id <> a")
+    same = F.when(F.length("k") > 0, 0.6).otherwise(0.0) + F.when(F.col("filled"), 0.4).otherwise(0.0)
     copies = copies.select("a", F.col("id").alias("b"), same.alias("score")).where(F.col("score") >= least)
     return found.unionByName(copies)
 

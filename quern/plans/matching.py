@@ -150,10 +150,13 @@ SHARED = f"""w AS ({TOKENS}), x AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok
   shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS hits FROM x a JOIN x b ON a.token = b.token AND a.doc_id < b.doc_id AND a.n <= b.n / 0.62 AND b.n <= a.n / 0.62 GROUP BY 1, 2)"""
 
 
+def words():
+    """The distinct words of all lines."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \n]+"), lambda x: x != ""))
+
+
 def tokens(t):
-    """The words of all lines."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \n]+"), lambda x: x != "")
-    return t("documents").select("doc_id", F.array_distinct(words).alias("t"))
+    return t("documents").select("doc_id", words().alias("t"))
 
 
 @query(f"WITH {SHARED} SELECT DISTINCT b AS doc_id FROM shared WHERE hits >= 0.75 * (n + m - hits)")
@@ -168,7 +171,7 @@ TITLES = f"""k AS (SELECT doc_id, {TITLE_KEY.format("split_part(text, chr(10), 1
 
 def titled(t):
     """doc_id, k (key of the first line), t (the words of all lines)."""
-    return t("documents").select("doc_id", T.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k")).join(tokens(t), "doc_id")
+    return t("documents").select("doc_id", T.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("k"), words().alias("t"))
 
 
 @query(f"WITH {SHARED}, {TITLES} SELECT DISTINCT b AS doc_id FROM composite WHERE score >= 0.85")

@@ -1,5 +1,6 @@
 """Copies of rejected rows, and rows without a key."""
 
+import os
 import random
 
 from quern.operators import dedup as D
@@ -69,3 +70,23 @@ def test_token_pairs_of_long_sets(spark):
     want = {(a, b) for a, s in rows for b, t in rows if a < b and len(set(s) & set(t)) >= 0.75 * len(set(s) | set(t))}
     got = D.token_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", 0.75)
     assert want and {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_token_pairs_leave_whole_sets_out(spark, monkeypatch):
+    """Of long sets that are like no other, only what finds pairs is written, and tables go when they are read."""
+    sizes, tables = [], []
+
+    def stored(df, kept=D.stored):
+        out = kept(df)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        tables.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(D, "stored", stored)
+    rnd = random.Random(9)
+    rows = [(i, [f"{rnd.getrandbits(120):030x}" for _ in range(200)]) for i in range(300)]
+    rows += [(300, rows[0][1][:199] + ["new"]), (301, list(rows[1][1]))]
+    pairs = D.token_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", 0.75)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(0, 300), (1, 301)}
+    assert sum(sizes) < sum(len(x) for _, t in rows for x in t) / 3
+    assert sum(os.path.exists(f.removeprefix("file://")) for files in tables for f in files) <= sum(len(files) for files in tables[-2:])
