@@ -134,7 +134,8 @@ def duplicate_cascade(t):
     docs = titled(t).select("doc_id", "k")
     first = docs.groupBy("k").agg(F.min("doc_id").alias("first"))
     yes, no = F.lit(True), F.lit(False)
-    near = D.token_pairs(tokens(t), "doc_id", "t", 0.75).select(F.col("b").alias("doc_id")).distinct().withColumn("near", yes)
-    both = D.composite_pairs(titled(t), "doc_id", "k", "t").select(F.col("b").alias("doc_id")).distinct().withColumn("both", yes)
+    links = D.token_pairs(tokens(t), "doc_id", "t", D.composite_need())
+    near = links.where("similarity >= 0.75").select(F.col("b").alias("doc_id")).distinct().withColumn("near", yes)
+    both = D.composite_pairs(titled(t), "doc_id", "k", "t", links=links).select(F.col("b").alias("doc_id")).distinct().withColumn("both", yes)
     rows = docs.join(first.withColumnRenamed("k", "key"), F.col("k").eqNullSafe(F.col("key"))).join(near, "doc_id", "left").join(both, "doc_id", "left")
     return rows.select("doc_id", D.match_type(F.col("first") < F.col("doc_id"), no, F.coalesce("near", no), F.coalesce("both", no)).alias("match"))

@@ -90,3 +90,12 @@ def test_token_pairs_leave_whole_sets_out(spark, monkeypatch):
     assert {(r.a, r.b) for r in pairs.collect()} == {(0, 300), (1, 301)}
     assert sum(sizes) < sum(len(x) for _, t in rows for x in t) / 3
     assert sum(os.path.exists(f.removeprefix("file://")) for files in tables for f in files) <= sum(len(files) for files in tables[-2:])
+
+
+def test_cascade_seeks_pairs_once(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(D, "token_pairs", lambda *a, kept=D.token_pairs: calls.append(a[-1]) or kept(*a))
+    rows = [(1, "red fox\na b c d e f"), (2, "red dog\na b c d e f"), (3, "blue hat\nx y z"), (4, "red foxs\na b c d e g")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["duplicate_cascade"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, None), (2, "ingredients"), (3, None), (4, "title")] and len(calls) == 1
