@@ -26,51 +26,103 @@ COUNTERS = 1 << 18
 #: Numbers of 64 parities that ride along with the rarest tokens.
 FOLD = 4
 FOLDED = [f"p{i}" for i in range(FOLD)]
+#: Tokens of a set that the parities can tell apart: larger sets go in 2, 4, 8, ... parts of as many.
+PART = 256
+#: Rows of which sketches are made at once.
+SLICE = 1000
 
 
 def _sketches(counts: np.ndarray, least: float):
-    """For each row of token hashes its size, the rarest of them and where they begin, and parities of the hashes."""
+    """For each part of each row of token hashes its size, the rarest of them and parities of the hashes."""
+
+    def levels(sizes: np.ndarray) -> np.ndarray:
+        return np.ceil(np.log2(np.maximum(sizes / PART, 1))).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for given in batches:
+        for given in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             column = given.column(1)
             sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = column.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            flat = flat[np.lexsort((flat, counts[flat & (COUNTERS - 1)], row))]
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            kept = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
-            prefix = flat[np.arange(len(flat)) - starts[row] < kept[row]]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(prefix))
-            parities, folded = [], np.empty((len(sizes), FOLD), np.int64)
-            for i, (a, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=False)):
-                bits = max(64 * FOLD, 1 << (2 * n - 1).bit_length())
-                parity = np.packbits((np.bincount(flat[a : a + n] & (bits - 1), minlength=bits) & 1).astype(np.uint8))
-                parities.append(parity.tobytes())
-                folded[i] = np.bitwise_xor.reduce(parity.reshape(-1, 8 * FOLD), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([given.column(0), pa.array(sizes, pa.int32()), lists, pa.array(parities, pa.binary()), *map(pa.array, np.ascontiguousarray(folded.T))], ["id", "n", "prefix", "parity", *FOLDED])
+            top, low = levels(sizes), levels(np.ceil(least * sizes - 1e-9))
+            order = np.lexsort((flat, counts[flat & (COUNTERS - 1)], row))
+            row, flat = row[order], flat[order]
+            for down in range(int((top - low).max()) + 1):
+                level = top - down
+                use = (level >= low)[row]
+                r, h = row[use], flat[use]
+                part = (h >> 20) & ((1 << level[r]) - 1)
+                order = np.lexsort((part, r))  # stable: rare tokens stay first
+                r, h, part = r[order], h[order], part[order]
+                begins = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (part[1:] != part[:-1])]))
+                n = np.diff(np.concatenate([begins, [len(h)]]))
+                kept = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+                prefix = h[np.arange(len(h)) - np.repeat(begins, n) < np.repeat(kept, n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(prefix))
+                bits = np.repeat(np.arange(len(n)), n) * (64 * FOLD) + (h & (64 * FOLD - 1))
+                parity = (np.bincount(bits, minlength=len(n) * 64 * FOLD) & 1).astype(np.uint8).reshape(-1, 64 * FOLD)
+                folded = np.ascontiguousarray(np.packbits(parity, axis=1).view(np.int64).T)
+                of = r[begins]
+                columns = [pa.array(x, pa.int32()) for x in (sizes[of], level[of], n)]
+                yield pa.RecordBatch.from_arrays([given.column(0).take(pa.array(of)), *columns, lists, *map(pa.array, folded)], ["id", "size", "level", "n", "prefix", *FOLDED])
 
     return run
 
 
-def _apart(x: bytes, y: bytes) -> int:
-    """How many parities differ: two sets differ by as many tokens at least.  The longer row is folded."""
-    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+#: Of rows with one least neighbour so many are held against as many others at once, and so many tokens make a group of these blocks.
+BLOCK, GROUP_TOKENS = 128, 1 << 20
+
+
+def _scores(least: float):
+    """Pairs of a group whose sets are similar enough; with them come the sets, each once."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        t = sets["t"].combine_chunks()
+        size = pa.compute.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = t.flatten().dictionary_encode()
+        word, has = words.indices.to_numpy(zero_copy_only=False), np.zeros(len(words.dictionary), bool)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        a, b = (pa.compute.index_in(pairs[x], value_set=sets["id"]).to_numpy().astype(np.int64) for x in ("a", "b"))
+        order = np.argsort(a, kind="stable")
+        a, b, shared = a[order], b[order], np.empty(len(a), np.int64)
+        for i in range(0, len(a), BLOCK):
+            cuts = i + np.flatnonzero(np.diff(a[i : i + BLOCK], prepend=-1, append=-1))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                one, n = word[begin[a[x]] : begin[a[x] + 1]], size[b[x:y]]
+                has[one] = True
+                at = np.cumsum(n) - n
+                shared[x:y] = np.add.reduceat(has[word[np.arange(n.sum()) + np.repeat(begin[b[x:y]] - at, n)]].astype(np.int64), at)
+                has[one] = False
+        similarity = shared / (size[a] + size[b] - shared)
+        found = similarity >= least
+        got = pairs.select(["a", "b"]).take(pa.array(order[found]))
+        return got.append_column("similarity", pa.array(similarity[found]))
 
+    return run
 
-def _possible(least: float):
-    """Pairs whose parities don't rule the similarity out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for given in batches:
-            rows = zip(*(given.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
-            keep = [_apart(x, y) <= (n + m) * (1 - least) / (1 + least) + 1e-6 for n, m, x, y in rows]
-            yield given.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _scored(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (a < b) of rows of ``sets`` (id, t) with their similarity, where it is ``least`` at least.
 
-    return run
+    Pairs go to groups by blocks of rows that have their least neighbour in common, so a
+    set is sent once for each block that its own block meets, not once for each pair.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    ends = pairs.select(F.col("b").alias("id"), F.col("a").alias("lead")).unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("lead")))
+    leads = stored(ends.groupBy("id").agg(F.min("lead").alias("lead")))
+    chunks = leads.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    rows = stored(leads.join(chunks, "lead").select("id", "lead", F.pmod(F.xxhash64("id"), "chunks").alias("chunk")))
+    blocks = [rows.select(F.col("id").alias(x), F.struct("lead", "chunk").alias(f"block_{x}")) for x in ("a", "b")]
+    dealt = stored(pairs.join(blocks[0], "a").join(blocks[1], "b").select("a", "b", F.xxhash64("block_a", "block_b").alias("block")))
+    whole = stored(sets.join(leads.select("id"), "id", "left_semi"))
+    met = dealt.select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+    tokens = met.join(whole.select("id", F.size("t").alias("n")), "id").agg(F.sum("n")).first()[0] or 0
+    group = F.pmod("block", F.lit(tokens // GROUP_TOKENS + 1)).alias("group")
+    sent = met.select(group, "id").distinct().join(whole, "id")
+    out = dealt.select(group, "a", "b").groupBy("group").cogroup(sent.groupBy("group"))
+    out = stored(out.applyInArrow(_scores(least), f"a {kind}, b {kind}, similarity double"))
+    discard(leads, rows, dealt, whole)
+    return out
 
 
 def digest(items: str) -> Column:
@@ -81,13 +133,18 @@ def digest(items: str) -> Column:
 def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame:
     """Pairs (a < b) of rows with Jaccard similarity of ``least`` at least.
 
-    Exact, by prefix and place: tokens are ordered by rarity, and two sets that
-    similar share one of each one's first size - ceil(least * size) + 1 tokens, at
-    places from which enough of both is left.  Tokens are hashes of 32 bits there, and
+    Exact, by parts, prefix and place.  Tokens are dealt to parts by their hashes, to as
+    many as the smaller of two sets calls for; if two sets are that similar, so are their
+    tokens of one part at least (if all parts differed by more than that share of their
+    sizes, so would the sets).  Tokens of a part are ordered by rarity, and two parts
+    that similar share one of each one's first n - ceil(least * n) + 1 tokens; from the
+    first that they share on, as many as they must share are left of both.  Tokens are
+    hashes of 32 bits there, and
     rarity is that of a counter: tokens that share a hash share more, never less, and
     any one order will do.  Pairs that are found so have their parities compared (a
-    token in one set only changes one bit at most), first 256 that ride along and then
-    as many as the sizes call for, and the tokens themselves are joined to what is left.  Rows with equal sets are one while pairs are sought, so
+    token in one set only changes one bit at most), first 256 of the part, which ride
+    along, and then as many as the sizes call for, and the tokens themselves are joined
+    to what is left.  Rows with equal sets are one while pairs are sought, so
     copies cost no more.  What is joined is written before, so Spark can split the rows
     of a frequent token; ``df`` is read anew for each step that needs whole sets.
     """
@@ -100,28 +157,26 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     got = counted.toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[got["h"].to_numpy()] = got["count"].to_numpy()
-    sketch = hashed.select("id", "h").mapInArrow(_sketches(counts, least), f"id {kind}, n int, prefix array<int>, parity binary, " + ", ".join(f"{x} long" for x in FOLDED))
+    kinds = f"id {kind}, size int, level int, n int, prefix array<int>, " + ", ".join(f"{x} long" for x in FOLDED)
+    sketch = hashed.select("id", "h").mapInArrow(_sketches(counts, least), kinds)
     sketch = stored(sketch.join(first.select(F.col("first").alias("id")), "id", "left_semi"))
-    prefix = sketch.select("id", "n", *FOLDED, F.posexplode("prefix").alias("place", "token"))
+    prefix = sketch.select("id", "size", "level", "n", *FOLDED, F.posexplode("prefix").alias("place", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.id") < F.col("b.id"))
+    smaller, parts = F.least("a.size", "b.size"), F.expr("shiftleft(1L, a.level)")
+    near &= (smaller <= PART * parts) & ((F.col("a.level") == 0) | (2 * smaller > PART * parts))
+    for n in ("size", "n"):
+        near &= F.col(f"b.{n}").between(F.ceil(least * F.col(f"a.{n}") - 1e-9), F.floor(F.col(f"a.{n}") / least + 1e-9))
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & F.col("b.n").between(F.ceil(least * F.col("a.n") - 1e-9), F.floor(F.col("a.n") / least + 1e-9))
-    near &= left + F.least("a.place", "b.place") >= F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    near &= left >= F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in FOLDED])
     near &= apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-6
     pairs = stored(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    parity = sketch.select("id", "n", "parity")
-    both = pairs.join(parity.toDF("a", "n", "x"), "a").join(parity.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    possible = stored(both.mapInArrow(_possible(least), f"a {kind}, b {kind}"))
-    ids = possible.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    whole = stored(sets.join(ids, "id", "left_semi"))
-    both = possible.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))  # the sets have no repeats, so their union needn't be made
-    scored = both.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("m"), shared.alias("shared"))
-    scored = stored(scored.select("a", "b", (F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= least))
+    discard(sketch)
+    scored = _scored(pairs, sets, least)
     copies = hashed.select("id", "set").join(first.where("copies > 1"), "set").where("id <> first")
     copies = stored(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    discard(hashed, first, sketch, pairs, possible, whole)
+    discard(hashed, first, pairs)
     return scored.unionByName(copies)
 
 

@@ -99,3 +99,32 @@ def test_cascade_seeks_pairs_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.queries()["duplicate_cascade"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, None), (2, "ingredients"), (3, None), (4, "title")] and len(calls) == 1
+
+
+def test_token_pairs_of_long_unlike_sets(spark, monkeypatch):
+    """Long sets that only share some tokens don't become pairs; large groups of near copies keep all theirs."""
+    found = []
+
+    def stored(df, kept=D.stored):
+        out = kept(df)
+        if out.columns == ["a", "b"]:
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(D, "stored", stored)
+    rnd = random.Random(3)
+    rows = [(i, [f"w{x}" for x in rnd.sample(range(12000), 1000 + 10 * i)]) for i in range(40)]
+    rows += [(100 + i, [*rows[0][1][: 1000 - 7 * i], *(f"n{i}.{j}" for j in range(7 * i))]) for i in range(1, 30)]
+    near = [f"c{x}" for x in range(40)]
+    rows += [(200 + i, [x for j, x in enumerate(near) if j not in (i % 20, i // 20)]) for i in range(300)]
+    sets = {i: frozenset(t) for i, t in rows}
+    first = {}
+    for i, t in sets.items():
+        first.setdefault(t, i)
+    firsts = [(i, t) for t, i in first.items()]
+    want = {(a, b) for a, s in firsts for b, t in firsts if a < b and len(s & t) >= 0.75 * len(s | t)}
+    copies = {(first[t], i) for i, t in sets.items() if first[t] != i}
+    frame = spark.createDataFrame(rows, "id long, t array<string>").repartition(3)
+    got = [(r.a, r.b) for r in D.token_pairs(frame, "id", "t", 0.75).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | copies
+    assert sum(found) < len(want) + 200
