@@ -24,10 +24,10 @@ def first_of_key(df: DataFrame, key: Column, seq: str) -> DataFrame:
 #: Counters of tokens, by hash: what is rare goes first.
 COUNTERS = 1 << 18
 #: Numbers of 64 parities that ride along with the rarest tokens.
-FOLD = 4
+FOLD = 2
 FOLDED = [f"p{i}" for i in range(FOLD)]
 #: Tokens of a set that the parities can tell apart: larger sets go in 2, 4, 8, ... parts of as many.
-PART = 256
+PART = 128
 #: Rows of which sketches are made at once.
 SLICE = 1000
 
@@ -127,7 +127,7 @@ def _scored(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def digest(items: str) -> Column:
     """Of an array as a set."""
-    return F.sha2(F.to_json(F.array_sort(F.array_distinct(items))), 256)
+    return F.sha2(F.to_json(F.sort_array(F.array_distinct(items))), 256)
 
 
 def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame:
@@ -149,9 +149,10 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     of a frequent token; ``df`` is read anew for each step that needs whole sets.
     """
     kind = df.schema[seq].dataType.simpleString()
-    sets = df.select(F.col(seq).alias("id"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
+    sets = df.select(F.col(seq).alias("id"), F.array_distinct(tokens).alias("t"))
     hashes = F.transform("t", lambda x: F.shiftright(F.xxhash64(x), 32).cast("int"))
-    hashed = stored(sets.select("id", digest("t").alias("set"), hashes.alias("h")))
+    written = stored(sets.select("id", digest("t").alias("set"), hashes.alias("h")))
+    hashed = written.where(F.size("h") > 0)  # of what is written: on the sets it would make them twice
     first = stored(hashed.groupBy("set").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     counted = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(COUNTERS - 1)).alias("h")).count()
     got = counted.toArrow()
@@ -160,7 +161,7 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     kinds = f"id {kind}, size int, level int, n int, prefix array<int>, " + ", ".join(f"{x} long" for x in FOLDED)
     sketch = hashed.select("id", "h").mapInArrow(_sketches(counts, least), kinds)
     sketch = stored(sketch.join(first.select(F.col("first").alias("id")), "id", "left_semi"))
-    prefix = sketch.select("id", "size", "level", "n", *FOLDED, F.posexplode("prefix").alias("place", "token"))
+    prefix = sketch.select("id", "size", "n", *FOLDED, "level", F.posexplode("prefix").alias("place", "token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.id") < F.col("b.id"))
     smaller, parts = F.least("a.size", "b.size"), F.expr("shiftleft(1L, a.level)")
@@ -176,7 +177,7 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     scored = _scored(pairs, sets, least)
     copies = hashed.select("id", "set").join(first.where("copies > 1"), "set").where("id <> first")
     copies = stored(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    discard(hashed, first, pairs)
+    discard(written, first, pairs)
     return scored.unionByName(copies)
 
 
