@@ -17,6 +17,19 @@ def similarity(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.when(longest == 0, F.lit(empty)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def similarity_from(a: Column, b: Column, least: Column, empty: float = 1.0) -> Column:
+    """``similarity`` where it is ``least`` at least; below, that or null.
+
+    Distances are sought within bounds, small ones first, so the work is length times distance and never exceeds what ``least`` allows.
+    """
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.greatest(F.lit(0), F.least(longest, F.floor((1 - least) * longest) + 1)).cast("int")
+    bounds = F.array(*(F.lit(16**i) for i in range(1, 8)))
+    within = lambda t: F.call_function("levenshtein", a, b, F.least(t, most))
+    distance = F.aggregate(bounds, F.lit(-1), lambda d, t: F.when((d >= 0) | (t / 16 >= F.greatest(most, F.lit(2))), d).otherwise(within(t)))
+    return F.when(longest == 0, F.lit(empty)).when(a == b, 1.0).when(distance >= 0, 1 - distance / longest)
+
+
 def score(a: Column, b: Column) -> Column:
     """Case-blind similarity."""
     return similarity(F.lower(a), F.lower(b))

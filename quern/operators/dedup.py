@@ -26,17 +26,28 @@ COUNTERS = 1 << 18
 #: Numbers of 64 parities that ride along with the rarest tokens.
 FOLD = 2
 FOLDED = [f"p{i}" for i in range(FOLD)]
-#: Tokens of a set that the parities can tell apart: larger sets go in 2, 4, 8, ... parts of as many.
-PART = 128
+#: Sizes of parts, largest first: larger sets go in 2, 4, 8, ... parts of as many tokens.
+PARTS = (128, 64, 32, 16)
+#: Rounds in which pairs are sought, and tokens of all sets from which on there is one more: a round joins its share of the tokens.
+ROUNDS, ROUND_TOKENS = 4, 1 << 22
 #: Rows of which sketches are made at once.
 SLICE = 1000
 
 
+def part_size(least: float) -> int:
+    """The largest part that the parities can tell apart: what parts as similar as ``least`` may differ in is four deviations below what unlike ones do."""
+    bits = 64 * FOLD
+    told = [n for n in PARTS if bits / 2 * (1 - (1 - 2 / bits) ** (2 * n)) - 2 * n * (1 - least) / (1 + least) >= 2 * bits**0.5]
+    return told[0] if told else PARTS[-1]
+
+
 def _sketches(counts: np.ndarray, least: float):
     """For each part of each row of token hashes its size, the rarest of them and parities of the hashes."""
 
+    whole = part_size(least)
+
     def levels(sizes: np.ndarray) -> np.ndarray:
-        return np.ceil(np.log2(np.maximum(sizes / PART, 1))).astype(np.int64)
+        return np.ceil(np.log2(np.maximum(sizes / whole, 1))).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
@@ -142,11 +153,13 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     hashes of 32 bits there, and
     rarity is that of a counter: tokens that share a hash share more, never less, and
     any one order will do.  Pairs that are found so have their parities compared (a
-    token in one set only changes one bit at most), first 256 of the part, which ride
-    along, and then as many as the sizes call for, and the tokens themselves are joined
-    to what is left.  Rows with equal sets are one while pairs are sought, so
+    token in one set only changes one bit at most), those of the part, which ride
+    along; parts are as small as that takes (``part_size``).  The tokens themselves are
+    joined to what is left.  Rows with equal sets are one while pairs are sought, so
     copies cost no more.  What is joined is written before, so Spark can split the rows
     of a frequent token; ``df`` is read anew for each step that needs whole sets.
+    Tokens are joined in rounds, each over its share of them, so that only that share
+    lies on disk at once; a round leaves out the pairs of those before.
     """
     kind = df.schema[seq].dataType.simpleString()
     sets = df.select(F.col(seq).alias("id"), F.array_distinct(tokens).alias("t"))
@@ -161,23 +174,30 @@ def token_pairs(df: DataFrame, seq: str, tokens: str, least: float) -> DataFrame
     kinds = f"id {kind}, size int, level int, n int, prefix array<int>, " + ", ".join(f"{x} long" for x in FOLDED)
     sketch = hashed.select("id", "h").mapInArrow(_sketches(counts, least), kinds)
     sketch = stored(sketch.join(first.select(F.col("first").alias("id")), "id", "left_semi"))
-    prefix = sketch.select("id", "size", "n", *FOLDED, "level", F.posexplode("prefix").alias("place", "token"))
-    a, b = prefix.alias("a"), prefix.alias("b")
+    copies = hashed.select("id", "set").join(first.where("copies > 1"), "set").where("id <> first")
+    copies = stored(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    discard(written, first)
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.id") < F.col("b.id"))
     smaller, parts = F.least("a.size", "b.size"), F.expr("shiftleft(1L, a.level)")
-    near &= (smaller <= PART * parts) & ((F.col("a.level") == 0) | (2 * smaller > PART * parts))
+    part = part_size(least)
+    near &= (smaller <= part * parts) & ((F.col("a.level") == 0) | (2 * smaller > part * parts))
     for n in ("size", "n"):
         near &= F.col(f"b.{n}").between(F.ceil(least * F.col(f"a.{n}") - 1e-9), F.floor(F.col(f"a.{n}") / least + 1e-9))
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
     near &= left >= F.ceil(least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in FOLDED])
     near &= apart <= (F.col("a.n") + F.col("b.n")) * ((1 - least) / (1 + least)) + 1e-6
-    pairs = stored(a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    prefix = sketch.select("id", "size", "n", *FOLDED, "level", F.posexplode("prefix").alias("place", "token"))
+    rounds, found = min(ROUNDS, int(counts.sum()) // ROUND_TOKENS + 1), []
+    for i in range(rounds):
+        rows = prefix.where(F.pmod("token", F.lit(rounds)) == i)
+        pairs = rows.alias("a").join(rows.alias("b"), near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        if found:
+            pairs = pairs.join(reduce(DataFrame.unionByName, found), ["a", "b"], "left_anti")
+        found.append(stored(pairs))
     discard(sketch)
-    scored = _scored(pairs, sets, least)
-    copies = hashed.select("id", "set").join(first.where("copies > 1"), "set").where("id <> first")
-    copies = stored(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
-    discard(written, first, pairs)
+    scored = _scored(reduce(DataFrame.unionByName, found), sets, least)
+    discard(*found)
     return scored.unionByName(copies)
 
 
@@ -207,7 +227,8 @@ def composite_pairs(df: DataFrame, seq: str, title: str, items: str, least: floa
     links = stored(links.unionByName(own))
     one = firsts.select(F.col("first").alias("a"), F.col("id").alias("x"), F.col("k").alias("kx"))
     two = firsts.select(F.col("first").alias("b"), F.col("id").alias("y"), F.col("k").alias("ky"))
-    score = S.similarity(F.col("kx"), F.col("ky"), empty=0.0) * 0.6 + F.col("similarity") * 0.4
+    need = (F.lit(least) - F.col("similarity") * 0.4) / 0.6
+    score = S.similarity_from(F.col("kx"), F.col("ky"), need, empty=0.0) * 0.6 + F.col("similarity") * 0.4
     found = links.join(one, "a").join(two, "b").where("a <> b OR x < y").withColumn("score", score).where(F.col("score") >= least)
     found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
     copies = rows.join(firsts.select("set", "k", F.col("id").alias("a")), ["set", "k"]).where("id <> a")

@@ -3,6 +3,9 @@
 import os
 import random
 
+from pyspark.sql import functions as F
+
+from quern.functions import similarity as S
 from quern.operators import dedup as D
 from quern.plans import catalog
 
@@ -128,3 +131,64 @@ def test_token_pairs_of_long_unlike_sets(spark, monkeypatch):
     got = [(r.a, r.b) for r in D.token_pairs(frame, "id", "t", 0.75).collect()]
     assert len(got) == len(set(got)) and set(got) == want | copies
     assert sum(found) < len(want) + 200
+
+
+def test_token_pairs_at_low_similarity(spark, monkeypatch):
+    """Unlike sets don't become pairs where 0.625 is enough either."""
+    found = []
+
+    def stored(df, kept=D.stored):
+        out = kept(df)
+        if out.columns == ["a", "b"]:
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(D, "stored", stored)
+    rnd = random.Random(4)
+    rows = [(i, [f"w{x}" for x in rnd.sample(range(2000), 128)]) for i in range(300)]
+    rows += [(300 + i, [*t[:100], *(f"n{i}.{j}" for j in range(28))]) for i, t in rows[:20]]
+    got = D.token_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", 0.625)
+    assert {(r.a, r.b) for r in got.collect()} == {(i, 300 + i) for i in range(20)}
+    assert sum(found) < 100
+
+
+def test_token_pairs_in_rounds(spark, monkeypatch):
+    """Rounds find each pair once, and the hashes of all tokens are off the disk by then."""
+    tables, found = {}, []
+
+    def stored(df, kept=D.stored):
+        out = kept(df)
+        if out.columns == ["a", "b"]:
+            found.append({(r.a, r.b) for r in out.collect()})
+            assert not any(os.path.exists(f) for f in tables["h"])
+        tables[out.columns[-1]] = [f.removeprefix("file://") for f in out.inputFiles()]
+        return out
+
+    monkeypatch.setattr(D, "stored", stored)
+    monkeypatch.setattr(D, "ROUND_TOKENS", 1)
+    rnd = random.Random(5)
+    rows = [(i, list({rnd.choice("abcdefghijkl") for _ in range(rnd.randint(0, 9))})) for i in range(200)]
+    sets = {i: frozenset(t) for i, t in rows if t}
+    first = {}
+    for i, t in sets.items():
+        first.setdefault(t, i)
+    firsts = [(i, t) for t, i in first.items()]
+    want = {(a, b) for a, s in firsts for b, t in firsts if a < b and len(s & t) >= 0.625 * len(s | t)}
+    got = [(r.a, r.b) for r in D.token_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", "t", 0.625).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(first[t], i) for i, t in sets.items() if first[t] != i}
+    assert len(found) == D.ROUNDS and sum(map(len, found)) == len(set().union(*found)) and sum(map(bool, found)) > 1
+
+
+def test_similarity_from(spark):
+    """Bounded distances give the plain similarity wherever it is enough."""
+    rnd = random.Random(7)
+    rows = [("", "", 0.5), (None, "a", 0.5), ("a" * 20000, "a" * 20000 + "b", 0.9)]
+    for _ in range(400):
+        a = [rnd.choice("abcd ") for _ in range(rnd.choice([1, 5, 60, 400]))]
+        b = list(a)
+        for _ in range(rnd.choice([0, 1, 17, 40, 200])):
+            b[rnd.randrange(len(b))] = rnd.choice(["", "x", "yz"])
+        rows.append(("".join(a), "".join(b), rnd.choice([-0.2, 0.0, 0.5, 0.75, 0.9, 1.0, 1.1])))
+    frame = spark.createDataFrame(rows, "a string, b string, least double")
+    for r in frame.select("least", S.similarity(F.col("a"), F.col("b")).alias("s"), S.similarity_from(F.col("a"), F.col("b"), F.col("least")).alias("t")).collect():
+        assert r.t == r.s or r.s < r.least and r.t is None
