@@ -136,6 +136,8 @@ def duplicate_cascade(t):
     yes, no = F.lit(True), F.lit(False)
     links = D.token_pairs(tokens(t), "doc_id", "t", D.composite_need())
     near = links.where("similarity >= 0.75").select(F.col("b").alias("doc_id")).distinct().withColumn("near", yes)
-    both = D.composite_pairs(titled(t), "doc_id", "k", "t", links=links).select(F.col("b").alias("doc_id")).distinct().withColumn("both", yes)
+    # Of rows that the items decide none needs a score: those are the ends of such links, copies of a set included.
+    far = links.join(near.select(F.col("doc_id").alias("b")), "b", "left_anti")
+    both = D.composite_pairs(titled(t), "doc_id", "k", "t", links=far).select(F.col("b").alias("doc_id")).distinct().withColumn("both", yes)
     rows = docs.join(first.withColumnRenamed("k", "key"), F.col("k").eqNullSafe(F.col("key"))).join(near, "doc_id", "left").join(both, "doc_id", "left")
     return rows.select("doc_id", D.match_type(F.col("first") < F.col("doc_id"), no, F.coalesce("near", no), F.coalesce("both", no)).alias("match"))

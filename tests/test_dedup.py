@@ -192,3 +192,18 @@ def test_similarity_from(spark):
     frame = spark.createDataFrame(rows, "a string, b string, least double")
     for r in frame.select("least", S.similarity(F.col("a"), F.col("b")).alias("s"), S.similarity_from(F.col("a"), F.col("b"), F.col("least")).alias("t")).collect():
         assert r.t == r.s or r.s < r.least and r.t is None
+
+
+def test_cascade_scores_what_items_leave(spark, tmp_path, monkeypatch):
+    """Links to rows that the items decide have no titles compared; the other rows keep theirs."""
+    given = []
+    monkeypatch.setattr(D, "composite_pairs", lambda *a, kept=D.composite_pairs, links: given.extend(map(tuple, links.select("a", "b").collect())) or kept(*a, links=links))
+    one = "one very long and winding title"
+    rows = [(1, f"{one}\na b c d e f g h i j k l"), (2, f"hat {one[4:]}\na b c d e f g h i j k l"), (3, f"{one}d\na b c d e f g h i j x y"), (4, f"{one}\nq r s")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = dict(map(tuple, catalog.queries()["duplicate_cascade"](spark, str(tmp_path)).collect()))
+    sets = {i: set(t.lower().split()) for i, t in rows}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    items = {b for (a, b), x in like.items() if x >= 0.75}
+    assert set(given) == {(a, b) for (a, b), x in like.items() if x >= 0.625 and b not in items}
+    assert items == {2} and got == {1: None, 2: "ingredients", 3: "composite", 4: "title"}
